@@ -14,7 +14,7 @@ MATURITY_DAYS = 21
 def key_uniform(key: Column | str) -> Column:
     """A number in [0, 1) that depends on the key alone, so every recomputation draws the same sample."""
     key = F.col(key) if isinstance(key, str) else key
-    return F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
+    return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit(""))), 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
 
 
 def join_labels(df: DataFrame, labels: DataFrame, on: list[str], label: str) -> DataFrame:
