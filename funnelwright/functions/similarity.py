@@ -19,12 +19,15 @@ WORD_WEIGHT, SIMILARITY_WEIGHT, SCORE_THRESHOLD = 0.85, 0.75, 0.4
 _CHAR_BUCKETS = 64
 
 
-@F.pandas_udf("double")
-def similarity(query: pd.Series, value: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp ratio, query first (the ratio is not symmetric)."""
+def _ratios(query: pd.Series, value: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, q, v).ratio() for q, v in zip(query, value)], dtype="float64")
 
 
+def similarity(query: Column, value: Column) -> Column:
+    """Ratcliff-Obershelp ratio, query first (the ratio is not symmetric)."""
+    return F.pandas_udf(_ratios, "double")(query, value)
+
+
 def similarity_bound(query: Column, value: Column) -> Column:
     """The ratio cannot exceed this value."""
     lq, lv = F.length(query), F.length(value)

@@ -238,7 +238,7 @@ def rca_package(
             df = df.withColumn(column, default)
         else:
             df = df.join(table.select("alert_id", column), "alert_id", "left")
-            df = df.withColumn(column, F.coalesce(F.col(column), default.cast(df.schema[column].dataType)))
+            df = df.withColumn(column, F.coalesce(F.col(column), default))
 
     meta = F.col("metadata")
     df = df.withColumns(

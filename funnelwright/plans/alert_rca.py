@@ -15,6 +15,7 @@ from funnelwright.operators.daily import daily_metrics, days_of
 from funnelwright.operators.drivers import driver_package, segment_counts, top_per_dimension
 from funnelwright.operators.funnel import FunnelRules, FunnelTables, counts_from_cells, funnel_cells
 from funnelwright.operators.rca import OBSERVED, rca_package
+from funnelwright.sources.tables import cut_lineage
 
 WINDOW_FIELDS = ["start_date", "end_date", "baseline_start_date", "baseline_end_date"]
 
@@ -139,9 +140,10 @@ def analyze_alerts(alerts: DataFrame, metadata: DataFrame, tables: RcaTables, to
 
     Each fact table is scanned once for all alerts together: counts are kept per day and
     summed over the windows of the alerts afterwards. Baselines are per-day averages, so a
-    3-day window compares with a 28-day one.
+    3-day window compares with a 28-day one. The resolved alerts are written once to the
+    shared folder, because every branch starts from them.
     """
-    known = resolved_alerts(alerts, metadata, today)
+    known = cut_lineage(resolved_alerts(alerts, metadata, today))
     good = known.where(F.col("status") == "success")
     per_alert = alert_windows(good)
     windows = per_alert.select("window_id", "start_date", "end_date").distinct()

@@ -33,6 +33,8 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        # Recording the Python call site of every Column costs more than building it.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for name, value in SETTINGS.items():
         builder = builder.config(name, value)
