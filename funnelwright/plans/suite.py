@@ -58,6 +58,10 @@ def money(c: Column | str) -> Column:
     return F.round(c, 2)
 
 
+def average(c: Column | str) -> Column:
+    return F.round(c, 6)
+
+
 # ---------------------------------------------------------------- stand-in tables
 
 
@@ -331,7 +335,7 @@ def driver_all_dimensions(spark: SparkSession, sf: str) -> DataFrame:
 
 def daily_metric_delta(spark: SparkSession, sf: str) -> DataFrame:
     daily = with_delta(daily_metric(authorizations(spark, sf).where(in_dates("trans_dt", *WHOLE)), "trans_dt", "amount"))
-    return daily.withColumns({c: money(c) for c in ("avg_metric", "metric_delta")}).orderBy("trans_dt")
+    return daily.withColumns({c: average(c) for c in ("avg_metric", "metric_delta")}).orderBy("trans_dt")
 
 
 def sample_by_label(spark: SparkSession, sf: str) -> DataFrame:
@@ -631,28 +635,27 @@ def response_tools(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def alert_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """One alert per order of the highest priority, about a part of the catalog."""
+    """One structured alert per order of the highest priority, about a part of the catalog."""
     orders = table(spark, sf, "orders").where(F.col("o_orderpriority") == "1-URGENT")
-    code = F.concat(F.lit("PRT_"), F.lpad((F.col("o_custkey")).cast("string"), 6, "0"))
     return orders.select(
         F.col("o_orderkey").alias("alert_id"),
-        F.concat(code, F.lit(" got a lower-limit alert on "), F.date_format("o_orderdate", "yyyy-MM-dd")).alias("user_query"),
+        F.concat(F.lit("PRT_"), F.lpad(F.col("o_custkey").cast("string"), 6, "0")).alias("variable_id"),
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("alert_date"),
+        F.lit("lower_limit_breach").alias("alert_type"),
     )
 
 
 def alert_history(spark: SparkSession, sf: str) -> DataFrame:
-    """Daily history around each alert; the metric column depends on the part's type."""
+    """Daily history of the week before each alert; the metric column depends on the part's type."""
     metadata = feature_metadata(spark, sf).withColumn(
         "variable_name", F.when(F.col("model_family").isin("ECONOMY", "SMALL"), "line_count").otherwise("amount")
     )
-    alerts = alert_rows(spark, sf)
-    day = F.to_date(F.substring("user_query", -10, 10))
-    windows = alerts.withColumns({"start_date": F.date_sub(day, 6), "end_date": day})
+    alerts = alert_rows(spark, sf).withColumn("start_date", F.date_sub(F.to_date("alert_date"), 6))
     rows = authorizations(spark, sf).withColumn("line_count", F.length("cm11").cast("double"))
     history = daily_history(
-        alert_requests(windows, metadata, TODAY), {"orders": rows}, {"orders": ["amount", "line_count"]}
+        alert_requests(alerts, metadata, TODAY), {"orders": rows}, {"orders": ["amount", "line_count"]}
     )
-    return history.withColumns({c: money(c) for c in ("avg_metric", "metric_delta")})
+    return history.withColumns({c: average(c) for c in ("avg_metric", "metric_delta")})
 
 
 def alert_rca(spark: SparkSession, sf: str) -> DataFrame:
@@ -675,8 +678,8 @@ def alert_rca(spark: SparkSession, sf: str) -> DataFrame:
         F.col("resolved_variable_metadata.variable_id").alias("variable_id"),
         F.col("analysis_window.start_date").alias("start_date"),
         F.col("baseline_window.start_date").alias("baseline_start_date"),
-        money("metric_decomposition.numerator.value").alias("numerator_value"),
-        money("metric_decomposition.denominator.baseline").alias("denominator_baseline"),
+        average("metric_decomposition.numerator.value").alias("numerator_value"),
+        average("metric_decomposition.denominator.baseline").alias("denominator_baseline"),
         F.round(F.col("stage_diagnostics")[0]["current_count"], 6).alias("base_per_day"),
         F.round(F.col("stage_diagnostics")[0]["baseline_count"], 6).alias("base_per_day_before"),
         stage["stage"].alias("flagged_stage"),
