@@ -631,7 +631,12 @@ def response_tools(spark: SparkSession, sf: str) -> DataFrame:
         .otherwise(F.concat(F.lit("Here it is "), call, F.lit(" as asked")))
     )
     answers = table(spark, sf, "conversations").select("conv_id", "turn", composed.alias("answer_text"))
-    return chatlog.tool_calls(chatlog.parse_responses(answers, "answer_text"), ["conv_id", "turn", "next_action"])
+    calls = chatlog.tool_calls(chatlog.parse_responses(answers, "answer_text"), ["conv_id", "turn", "next_action"])
+    argument = F.col("argument")
+    return calls.select(
+        "conv_id", "turn", "next_action", "call_order", "tool_name",
+        F.get_json_object(argument, "$.note").alias("note"), F.get_json_object(argument, "$.conv").alias("conv"),
+    )
 
 
 def alert_rows(spark: SparkSession, sf: str) -> DataFrame:
