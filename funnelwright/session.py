@@ -14,6 +14,9 @@ SETTINGS = {
     # Split a hot join key even where that costs one more shuffle further up.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # The JVM never compiles methods above 8000 bytes of code; beyond that, Spark's split-up
+    # expression code is faster than one generated method.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
