@@ -8,6 +8,7 @@ into Spark's ``noop`` sink. One small query runs first, so that the session star
 from __future__ import annotations
 
 import json
+import logging
 import os
 import sys
 import time
@@ -31,6 +32,7 @@ def main() -> None:
     names = os.environ.get("BENCH_QUERIES", "").split(",") if os.environ.get("BENCH_QUERIES") else list(QUERIES)
     spark = local_session(cpus, shuffle_partitions=int(cpus) if cpus.isdigit() else 8, memory="16g")
     spark.sparkContext.setLogLevel("OFF")
+    logging.disable(logging.ERROR)
     run(spark, "daily_metric_delta", sf_dir)
     seconds = {name: round(run(spark, name, sf_dir), 3) for name in names}
     spark.stop()

@@ -18,6 +18,8 @@ MAX_HISTORY = 10
 LOOKBACK_DAYS = 30
 # Rows of one entity per window group in history_map.
 BLOCK_ROWS = 4096
+# Unit of time within which an entity's rows are numbered by one task.
+TIME_BUCKET = "minute"
 
 
 def initial_sample(
@@ -55,7 +57,7 @@ def apply_exclusions(
     return sample
 
 
-def number_rows(df: DataFrame, entity: str, order: Sequence[str], time: str, name: str, bucket: str = "hour") -> DataFrame:
+def number_rows(df: DataFrame, entity: str, order: Sequence[str], time: str, name: str, bucket: str = TIME_BUCKET) -> DataFrame:
     """``row_number() over (partition by entity order by ...)`` without one task per entity.
 
     Rows are numbered within (entity, time bucket) and shifted by the number of earlier
@@ -87,11 +89,12 @@ def history_map(
     max_history: int = MAX_HISTORY,
     lookback_days: int = LOOKBACK_DAYS,
     block_rows: int = BLOCK_ROWS,
+    bucket: str = TIME_BUCKET,
 ) -> DataFrame:
     """(current, historical) pairs: each sampled transaction with the latest rows of its entity.
 
     At most ``max_history`` pairs per transaction, itself included, none older than
-    ``lookback_days``. The rows of an entity are cut into blocks of ``block_rows`` by their
+    ``lookback_days``; a transaction without an entity has none. The rows of an entity are cut into blocks of ``block_rows`` by their
     number; the last ``max_history - 1`` rows of a block are copied in front of the next
     one. Every window group therefore has a bounded size however hot the entity is, and no
     pair outside the result is ever built.
@@ -101,7 +104,7 @@ def history_map(
     keys = sample.select(key).distinct().withColumn("sampled", F.lit(True))
     slim = transactions.select(key, entity, time, date).where(F.col(entity).isNotNull())
     marked = slim.join(keys, key, "left").withColumn("sampled", F.col("sampled").isNotNull())
-    numbered = number_rows(marked, entity, [time, key], time, "seq")
+    numbered = number_rows(marked, entity, [time, key], time, "seq", bucket)
 
     block = F.floor((F.col("seq") - 1) / block_rows)
     position = (F.col("seq") - 1) % block_rows

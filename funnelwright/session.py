@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
+import funnelwright
+
 # Broadcasts are never hinted in this library: Spark broadcasts a side only after comparing
 # its measured size with spark.sql.autoBroadcastJoinThreshold, and shuffles it beyond that.
 SETTINGS = {
@@ -20,6 +23,10 @@ SETTINGS = {
 }
 
 
+# The functions that run inside tasks travel with them: executors need no copy of the package.
+cloudpickle.register_pickle_by_value(funnelwright)
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to a session that somebody else built."""
     for name, value in SETTINGS.items():
