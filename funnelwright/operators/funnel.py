@@ -23,6 +23,7 @@ from funnelwright.operators.daily import days_of
 from funnelwright.operators.sampling import (
     DEFAULT_SAMPLE_RATE,
     MATURITY_DAYS,
+    drawn_keys_only,
     label_preserving_sample,
     maturity_rule,
 )
@@ -148,15 +149,20 @@ def count_frames(frames: dict[str, DataFrame]) -> DataFrame:
 def weighted_rows(tables: FunnelTables, rules: FunnelRules, days: Column) -> DataFrame:
     """Sampled authorizations with one weight column per stage (rows the stage chain would hold)."""
     base = sampled_authorizations(tables, rules, days)
-    ok = zero_value_ok("zero_value_auth_ind")
-    analytics = tables.analytics.where(days).groupBy("cas_pkey", "trans_dt").agg(
-        F.count(F.lit(1)).alias("zva_rows"), F.count_if(ok).alias("zva_ok_rows")
+    labels = tables.labels.where(days)
+
+    def sampled_keys(side: DataFrame) -> DataFrame:
+        return drawn_keys_only(side, labels, "cas_pkey", "lift_frd_in", rules.sample_rate)
+
+    analytics = tables.analytics.where(days).select("cas_pkey", "trans_dt", "zero_value_auth_ind")
+    analytics = sampled_keys(analytics).groupBy("cas_pkey", "trans_dt").agg(
+        F.count(F.lit(1)).alias("zva_rows"), F.count_if(zero_value_ok("zero_value_auth_ind")).alias("zva_ok_rows")
     )
     # Both tables below are keyed by cas_pkey: one union, one aggregation, one join.
     not_policy = 1 - code_flag("referral_rsn_cd", rules.policy_codes)
     credit = tables.credit_flags.select("cas_pkey", F.lit(1).alias("credit"), F.lit(0).alias("ref"), F.lit(0).alias("ok"))
     referral = tables.referrals.select("cas_pkey", F.lit(0).alias("credit"), F.lit(1).alias("ref"), not_policy.alias("ok"))
-    by_key = credit.unionByName(referral).groupBy("cas_pkey").agg(
+    by_key = sampled_keys(credit.unionByName(referral)).groupBy("cas_pkey").agg(
         F.max("credit").alias("credit"), F.sum("ref").alias("ref_rows"), F.sum("ok").alias("ref_ok_rows")
     )
     abusers = tables.first_party.where(F.col("frap_in") == 1).select("cm13").distinct().withColumn("abuser", F.lit(1))

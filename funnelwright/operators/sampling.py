@@ -57,3 +57,17 @@ def label_preserving_sample(
     positive = labels.where(F.col(label) > 0)
     rescued = df.where(u < F.lit(1.0 - rate)).join(positive, on, "inner").where(sample_rule(label, u, rate))
     return drawn.unionByName(rescued.withColumn(label, F.coalesce(F.col(label), F.lit(0))))
+
+
+def drawn_keys_only(side: DataFrame, labels: DataFrame, key: str, label: str, rate: float) -> DataFrame:
+    """Rows of a side table whose key can be in ``label_preserving_sample`` at this rate.
+
+    Those are the keys with a high enough draw (a scan filter) and the positively labelled
+    ones (a semi join with few keys), so the rest is dropped before it is shuffled.
+    """
+    if rate >= 1:
+        return side
+    u = key_uniform(key)
+    positive = labels.where(F.col(label) > 0).select(key)
+    drawn, low = side.where(u >= F.lit(1.0 - rate)), side.where(u < F.lit(1.0 - rate))
+    return drawn.unionByName(low.join(positive, key, "left_semi"))

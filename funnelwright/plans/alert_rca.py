@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from funnelwright.functions.measures import derive_windows
+from funnelwright.functions.measures import derive_windows, in_dates
 from funnelwright.functions.text import normalize_token, parse_structured_alerts
 from funnelwright.operators.catalog import resolve
 from funnelwright.operators.daily import daily_metrics, days_of
@@ -74,9 +74,20 @@ def _days_scanned(windows: DataFrame, date: str = "trans_dt") -> DataFrame:
     return days_of(windows, "start_date", "end_date", ["window_id", "end_date"], date)
 
 
-def window_stage_counts(tables: FunnelTables, rules: FunnelRules, windows: DataFrame) -> DataFrame:
+def days_spanned(windows: DataFrame) -> Column:
+    """Filter on trans_dt for the days from the first window to the last, as literal dates.
+
+    Literals reach the scans as pushed filters and prune date partitions.
+    """
+    first, last = windows.agg(F.min("start_date"), F.max("end_date")).first()
+    return F.lit(False) if first is None else in_dates("trans_dt", first, last)
+
+
+def window_stage_counts(
+    tables: FunnelTables, rules: FunnelRules, windows: DataFrame, days: Column | None = None
+) -> DataFrame:
     """Rows per day of each funnel stage and window, from one scan for all windows."""
-    cells = funnel_cells(tables, rules, F.col("trans_dt").isNotNull())
+    cells = funnel_cells(tables, rules, days_spanned(windows) if days is None else days)
     counts = counts_from_cells(cells, windows, rules, ["window_id"])
     length = F.datediff("end_date", "start_date") + 1
     lengths = windows.select("window_id", length.alias("days"))
@@ -149,9 +160,10 @@ def analyze_alerts(alerts: DataFrame, metadata: DataFrame, tables: RcaTables, to
     windows = per_alert.select("window_id", "start_date", "end_date").distinct()
     current = per_alert.where(F.col("role") == "current").select("alert_id", "window_id")
 
+    days = days_spanned(windows)
     stages = drivers = metrics = None
     if tables.funnel is not None:
-        counts = window_stage_counts(tables.funnel, tables.rules, windows)
+        counts = window_stage_counts(tables.funnel, tables.rules, windows, days)
         stages = (
             per_alert.select("alert_id", "role", "window_id")
             .join(counts, "window_id")
@@ -162,9 +174,11 @@ def analyze_alerts(alerts: DataFrame, metadata: DataFrame, tables: RcaTables, to
             )
         )
     if tables.driver_rows is not None:
-        drivers = current.join(window_drivers(tables, windows), "window_id")
+        scanned = replace(tables, driver_rows=tables.driver_rows.where(days))
+        drivers = current.join(window_drivers(scanned, windows), "window_id")
     if tables.metric_rows is not None:
-        metrics = observed_metrics(good, per_alert, window_metrics(tables, windows))
+        scanned = replace(tables, metric_rows=tables.metric_rows.where(days))
+        metrics = observed_metrics(good, per_alert, window_metrics(scanned, windows))
 
     package = rca_package(good, metrics, stages, drivers, tables.checks)
     heads = known.select("alert_id", "status", F.when(F.col("status") != "success", F.col("candidates")).alias("candidates"))
