@@ -97,12 +97,16 @@ def history_map(
     ``lookback_days``; a transaction without an entity has none. The rows of an entity are cut into blocks of ``block_rows`` by their
     number; the last ``max_history - 1`` rows of a block are copied in front of the next
     one. Every window group therefore has a bounded size however hot the entity is, and no
-    pair outside the result is ever built.
+    pair outside the result is ever built. A sample that also names the entity is used to
+    leave out all other entities first.
     """
     if not 1 <= max_history <= block_rows:
         raise ValueError("max_history must be between 1 and block_rows")
     keys = sample.select(key).distinct().withColumn("sampled", F.lit(True))
     slim = transactions.select(key, entity, time, date).where(F.col(entity).isNotNull())
+    if entity in sample.columns:
+        # Entities without a sampled row need no history; most of the long tail ends here.
+        slim = slim.join(sample.select(entity).distinct(), entity, "left_semi")
     marked = slim.join(keys, key, "left").withColumn("sampled", F.col("sampled").isNotNull())
     numbered = number_rows(marked, entity, [time, key], time, "seq", bucket)
 
