@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import json
-import tempfile
 import uuid
 from collections.abc import Mapping
 from dataclasses import dataclass, field
@@ -100,29 +98,23 @@ def _is_finished(spark: SparkSession, target: Source) -> bool:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; on one machine a temporary one where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return _local_folder(spark.sparkContext.applicationId)
-
-
-@functools.cache
-def _local_folder(application: str) -> str:
-    return tempfile.mkdtemp(prefix=f"funnelwright-{application}-")
+    """The folder in ``spark.checkpoint.dir``; where it is unset, one in the session's warehouse."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/stages"
+    return folder.rstrip("/")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """``df`` written as a table in the shared folder and read back.
 
     For a small result that several branches of a job start from: they read the table
-    instead of repeating its plan, and a lost executor costs no recomputation.
+    instead of repeating its plan, and a lost executor costs no recomputation. The table goes
+    when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
     return spark.read.schema(df.schema).parquet(path)
 
 
