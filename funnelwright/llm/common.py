@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from funnelwright.sources.tables import cut_lineage
+from funnelwright.sources.tables import cut_lineage, shared_folder
 
-__all__ = ["cut_lineage", "connected_components", "crc_fold", "table", "words", "pieces"]
+__all__ = ["connected_components", "crc_fold", "cut_lineage", "pieces", "shared_path", "table", "words"]
 
 #: A task works on texts of about so many bytes at a time.
 CHUNK_BYTES = 4 << 20
@@ -21,6 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_path(spark: SparkSession) -> str:
+    """A new path in the shared folder, removed when the application ends."""
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
+
+
 def crc_fold(key: Column, folds: int) -> Column:
     """crc32 of the key as text, modulo ``folds``; null for a null key."""
     return F.crc32(key.cast("string").cast("binary")) % folds
