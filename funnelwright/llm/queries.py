@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from funnelwright.llm import simhash, suffix_dedup, topk, warc
-from funnelwright.llm.common import shared_path, table
+from funnelwright.llm import langid, simhash, suffix_dedup, topk, warc
+from funnelwright.llm.common import crc_fold, shared_path, table
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +22,14 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archive(spark, path, payloads=False).drop("payload")
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(crc_fold(F.col("doc_id"), 3) == 1, F.lit(False))
+    # A null id has no fold: it is not held out, and not learnt from either.
+    learnt = langid.profiles(docs.where((crc_fold(F.col("doc_id"), 3) != 1)))
+    return langid.predict(docs, learnt).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.scaled(table(spark, sf_dir, "embeddings"))
     return topk.top_k(vectors.where("vec_id % 100 = 0"), vectors)
@@ -34,6 +42,7 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc": op3_warc,
+    "op5_language": op5_language,
     "op8_topk": op8_topk,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_simhash": op10_simhash,
