@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from funnelwright.llm import langid, simhash, suffix_dedup, topk, warc
+from funnelwright.llm import htmltext, langid, simhash, suffix_dedup, topk, warc
 from funnelwright.llm.common import crc_fold, shared_path, table
 
 
@@ -30,6 +30,10 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, learnt).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.scaled(table(spark, sf_dir, "embeddings"))
     return topk.top_k(vectors.where("vec_id % 100 = 0"), vectors)
@@ -43,6 +47,7 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc": op3_warc,
     "op5_language": op5_language,
+    "op6_html_text": op6_html_text,
     "op8_topk": op8_topk,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_simhash": op10_simhash,
