@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from funnelwright.llm import htmltext, langid, simhash, suffix_dedup, topk, warc
+from funnelwright.llm import decontam, hmm, htmltext, langid, simhash, suffix_dedup, topk, warc
 from funnelwright.llm.common import crc_fold, shared_path, table
 
 
@@ -16,12 +16,22 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", simhash.fingerprint_hex().alias("fingerprint"), "component_id")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", F.round("lcs", 6).alias("lcs"), F.round("answer", 6).alias("answer"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark)
     warc.write_archive(table(spark, sf_dir, "pages"), path)
     return warc.read_archive(spark, path, payloads=False).drop("payload")
 
 
+def op4_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = crc_fold(F.col("doc_id"), 7)
+    return hmm.score(table(spark, sf_dir, "documents"), fold != 2, fold == 2)
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(crc_fold(F.col("doc_id"), 3) == 1, F.lit(False))
@@ -45,7 +55,9 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_decontamination": op2_decontamination,
     "op3_warc": op3_warc,
+    "op4_hidden_markov": op4_hidden_markov,
     "op5_language": op5_language,
     "op6_html_text": op6_html_text,
     "op8_topk": op8_topk,
