@@ -13,8 +13,8 @@ a suffix is rewritten a logarithmic number of times.
 
 Spans. Matched suffixes with equal regions are wholly repeated. The rest are compared byte by byte
 with the distinct regions at the same suffix, to the left and to the right: a common extension
-(left, right) repeats every window inside. Suffixes with very many distinct regions go another,
-equally exact way: each window is counted by its digest. Digests have 64 bits for the order and 64
+(left, right) repeats every window inside. Suffixes with many distinct regions go another, equally
+exact way: each window is counted by its digest. Digests have 64 bits for the order and 64
 more for regions and windows.
 """
 
@@ -33,8 +33,9 @@ from funnelwright.llm.common import cut_lineage, pieces
 LENGTH, CONTEXT, BATCHES = 400, 128, 4
 #: Windows of a long text that a task works on at a time; a place in them takes PLACE bits.
 PLACE = 20
-#: Distinct regions at one suffix beyond which its windows are counted instead of compared.
-HOT_REGIONS = 1024
+#: Distinct regions at one suffix beyond which their windows are counted by digest instead of
+#: compared in pairs, and beyond which they are counted in a shuffle instead of one task.
+PAIRED, HOT_REGIONS = 64, 8192
 
 
 @cache
@@ -203,6 +204,28 @@ def repeated_windows(rows: dict[str, np.ndarray], regions: list[bytes], length:
     return np.cumsum(marks, axis=1)[:, : ahead + 1] > 0
 
 
+def counted_windows(rows: dict[str, np.ndarray], regions: list[bytes], length: int, context: int) -> np.ndarray:
+    """The same as ``repeated_windows`` for the regions of one key, by the digests of the windows."""
+    digests: list[list[np.ndarray]] = [[], []]
+    sizes = np.array([len(r) - length + 1 for r in regions])
+    for data in regions:
+        data = np.frombuffer(data, np.uint8)
+        for which, column in enumerate(digests):
+            sums = _sums(data, which)
+            column.append(_digests(sums, slice(0, len(data) - length + 1), slice(length, len(data) + 1), which))
+    a, b = (np.concatenate(x) for x in digests)
+    order = np.lexsort((b, a))
+    same = (a[order][1:] == a[order][:-1]) & (b[order][1:] == b[order][:-1])
+    again = np.zeros(len(a), bool)
+    again[order[1:]] |= same
+    again[order[:-1]] |= same
+    row = np.repeat(np.arange(len(regions)), sizes)
+    window = np.arange(len(a)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    marked = np.zeros((len(regions), length - context + 1), bool)
+    marked[row[again], rows["lead"].astype(np.int64)[row[again]] - window[again]] = True
+    return marked
+
+
 def _spans_of(rows: dict[str, np.ndarray], marked: np.ndarray, length: int) -> pa.RecordBatch:
     """Marked windows as byte spans (rid, first, past)."""
     edges = np.diff(np.pad(marked.astype(np.int8), ((0, 0), (1, 1))), axis=1)
@@ -220,8 +243,18 @@ def _compare(length: int, context: int):
         rest: pa.Table | None = None
 
         def spans(part: pa.Table) -> pa.RecordBatch:
-            rows = {k: part.column(k).to_numpy() for k in ("key", "rid", "start", "lead", "span", "n")}
-            marked = repeated_windows(rows, part.column("bytes").to_pylist(), length, context)
+            rows = {k: part.column(k).to_numpy() for k in ("key", "rid", "start", "lead", "span", "n", "regions")}
+            regions = part.column("bytes").to_pylist()
+            marked = np.zeros((len(regions), length - context + 1), bool)
+
+            def mark(at: np.ndarray, by) -> None:
+                if len(at):
+                    marked[at] = by({k: x[at] for k, x in rows.items()}, [regions[i] for i in at.tolist()], length, context)
+
+            few = rows["regions"] <= PAIRED
+            mark(np.flatnonzero(few), repeated_windows)
+            for key in np.unique(rows["key"][~few]):
+                mark(np.flatnonzero(rows["key"] == key), counted_windows)
             marked[rows["n"] > 1] = False
             return _spans_of(rows, marked, length)
 
@@ -263,7 +296,14 @@ def _windows(length: int):
     return of
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, context: int = CONTEXT, batches: int = BATCHES, key: str = "doc_id") -> DataFrame:
+def repeated_spans(
+    docs: DataFrame,
+    length: int = LENGTH,
+    context: int = CONTEXT,
+    batches: int = BATCHES,
+    key: str = "doc_id",
+    hot_regions: int = HOT_REGIONS,
+) -> DataFrame:
     """(rid, first, past): byte spans that strings of ``length`` repeated bytes cover; they may overlap."""
     marked = _with_rid(docs, key)
     suffixes = marked.select("rid", "text").mapInArrow(
@@ -276,7 +316,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, context: int = CONTEXT
     for more in matched[1:]:
         keys = keys.union(more)
     # Also the earlier partner of a match: the semi join reaches it by its key.
-    hits = cut_lineage(suffixes.drop("batch").join(keys.distinct(), "key", "left_semi"))
+    # The keys are a table of their own, so that a hot key can be split in this join.
+    hits = cut_lineage(suffixes.drop("batch").join(cut_lineage(keys.distinct()), "key", "left_semi"))
     classes = hits.groupBy("key", "region").agg(
         F.count("*").alias("n"), F.min(F.struct("rid", "start", "lead", "span")).alias("at")
     )
@@ -294,12 +335,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, context: int = CONTEXT
     cut = texts.select("places", "text").mapInArrow(_regions(length), f"{_REGION}, bytes binary")
     cut = cut_lineage(cut.dropDuplicates(["rid", "start", "key"]))
     compared = (
-        cut.where(F.col("regions") <= HOT_REGIONS)
+        cut.where(F.col("regions") <= hot_regions)
         .repartition("key")
         .sortWithinPartitions("key")
         .mapInArrow(_compare(length, context), "rid long, first int, past int")
     )
-    windows = cut.where(F.col("regions") > HOT_REGIONS).mapInArrow(
+    windows = cut.where(F.col("regions") > hot_regions).mapInArrow(
         _windows(length), "a long, b long, rid long, first int, whole boolean"
     )
     again = windows.groupBy("a", "b").count().where("count > 1").select("a", "b")
