@@ -1,41 +1,77 @@
 """From raw documents to a training mix: each stage calls one operator of ``funnelwright.llm``.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and
-read again as the next stage's documents.
+read again as the next stage's documents. All but the last keep the columns of ``documents``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from funnelwright.llm import simhash
+from funnelwright.llm import decontam, langid, mixing, secrets, simhash
 from funnelwright.llm.common import cut_lineage, table
+from funnelwright.session import configure
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+#: Texts further than this from every language are no prose in any of them.
+LEAST_SCORE = 0.2
+
+
+def _row() -> Column:
+    """Rows are told apart by id and text, so that null and repeated ids do no harm."""
+    return F.xxhash64(F.col("doc_id"), F.lit(7), F.col("text"))
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language learnt from the labelled ones; those without letters, or unlike all, go."""
+    keyed = docs.withColumn("row", _row())
+    found = langid.predict(keyed, langid.profiles(docs), key="row")
+    bad = found.where((F.col("lang_pred") == langid.UNKNOWN) | (F.col("score") < LEAST_SCORE)).select("row").distinct()
+    return keyed.join(bad, "row", "left_anti").select(docs.columns)
+
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one that names the group.
+    """One document of each group of near copies stays (five words, similarity 0.8)."""
+    return simhash.without_copies(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, or a paraphrase of one, go."""
+    keyed = docs.withColumn("row", _row())
+    bad = cut_lineage(decontam.leaks(keyed, table(spark, sf_dir, "benchmark"), key="row").select("row").distinct())
+    return keyed.join(bad, "row", "left_anti").select(docs.columns)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Confirmed secrets are replaced in the text; the documents stay."""
+    kept = secrets.redacted(docs, secrets.scan(docs))
+    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
 
-    Rows without an id, and further rows with the same id, stay only if no group claims them:
-    a group without any id keeps one row of its own.
-    """
-    groups = simhash.similar_groups(docs)
-    gone = groups.where("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents of the mix, once for each use, with weight, epoch, block_rank and doc_rank."""
+    return mixing.mixed(docs, mixing.schedule(docs))
 
 
-STAGES: list[tuple[str, Stage]] = [("near_dedup", near_dedup)]
+STAGES: list[tuple[str, Stage]] = [
+    ("language", language),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("secret_scan", secret_scan),
+    ("source_mix", source_mix),
+]
 
+#: Trained models and similarity of word runs can't be said in SQL; the tests use brute force.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what each keeps is a table in the shared folder."""
-    docs = table(spark, sf_dir, "documents")
+    docs = table(configure(spark), sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = cut_lineage(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)

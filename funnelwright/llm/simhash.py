@@ -263,8 +263,8 @@ def _word_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 fps[k].append(fingerprint(mixed ^ (mixed >> np.uint64(32))))
         longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (nodes, *fps)]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("id"), longs[0], pa.array(sizes, pa.int64()), *longs[1:]],
-            names=["id", "node", "n_words", *(f"fp{k}" for k in range(TABLES))],
+            [batch.column("row"), batch.column("id"), longs[0], pa.array(sizes, pa.int64()), *longs[1:]],
+            names=["row", "id", "node", "n_words", *(f"fp{k}" for k in range(TABLES))],
         )
 
 
@@ -332,19 +332,20 @@ def _verify(similarity: float):
 
 
 def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, key: str = "doc_id") -> DataFrame:
-    """(key, component_id): documents connected by a Jaccard similarity of their word runs.
+    """(row, key, root, component_id): documents connected by a Jaccard similarity of their word runs.
 
     Word sequences that are equal (A-Z in any case) are one text. Three fingerprints of a text's
     distinct words propose groups at the anchors; within a group the runs of ``width`` words are
     compared exactly, so no pair below ``similarity`` is linked. A fingerprint can miss a pair
     (on the test documents the three together propose over 98 % of the pairs at 0.8). Null and
     empty texts are one text. A text is known by 64 bits of its words' hash. Null keys take part
-    but never name a group.
+    but never name a group. ``row`` is a hash of id and text that equal rows share.
     """
     fps = [f"fp{k}" for k in range(TABLES)]
     kind = docs.schema[key].dataType.simpleString()
-    marks = docs.select(F.col(key).alias("id"), "text").mapInArrow(
-        _word_marks, f"id {kind}, node long, n_words long, {', '.join(f'{x} long' for x in fps)}"
+    row = F.xxhash64(F.col(key), F.lit(7), F.col("text"))
+    marks = docs.select(row.alias("row"), F.col(key).alias("id"), "text").mapInArrow(
+        _word_marks, f"row long, id {kind}, node long, n_words long, {', '.join(f'{x} long' for x in fps)}"
     )
     marks = cut_lineage(marks)
     texts = cut_lineage(
@@ -391,4 +392,23 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, key
     roots = connected_components(links)
     rooted = texts.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root")
-    return marks.join(named.select("node", "component_id"), "node").select(F.col("id").alias(key), "component_id")
+    return marks.join(named.select("node", "root", "component_id"), "node").select(
+        "row", F.col("id").alias(key), "root", "component_id"
+    )
+
+
+def without_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, key: str = "doc_id") -> DataFrame:
+    """``docs`` with one row of each group of ``similar_groups``: the one with the smallest key.
+
+    Of several rows with that key one stays; a group of null keys keeps one row.
+    """
+    groups = cut_lineage(similar_groups(docs, width, similarity, key))
+    best = groups.groupBy("root").agg(F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), "row")).alias("best"))
+    chosen = cut_lineage(best.select(F.col("best.row").alias("row")))
+    # Equal rows share their hash; only those are made distinct.
+    repeated = groups.groupBy("row").count().where("count > 1").select("row").join(chosen, "row", "left_semi")
+    kept = docs.withColumn("row", F.xxhash64(F.col(key), F.lit(7), F.col("text"))).join(
+        chosen.join(repeated.withColumn("repeated", F.lit(True)), "row", "left"), "row"
+    )
+    single, several = kept.where("repeated is null"), kept.where("repeated").dropDuplicates(["row"])
+    return single.union(several).select(docs.columns)
