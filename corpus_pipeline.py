@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from funnelwright.llm import decontam, langid, mixing, secrets, simhash
-from funnelwright.llm.common import cut_lineage, table
+from funnelwright.llm.common import cut_lineage, fresh, row_hash, table
 from funnelwright.session import configure
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -21,17 +21,17 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 LEAST_SCORE = 0.2
 
 
-def _row() -> Column:
-    """Rows are told apart by id and text, so that null and repeated ids do no harm."""
-    return F.xxhash64(F.col("doc_id"), F.lit(7), F.col("text"))
+def _without(docs: DataFrame, row: str, bad: DataFrame) -> DataFrame:
+    """``docs`` (with their row hash in column ``row``) that aren't listed, as they were."""
+    return docs.join(bad.select(row).distinct(), row, "left_anti").drop(row)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language learnt from the labelled ones; those without letters, or unlike all, go."""
-    keyed = docs.withColumn("row", _row())
-    found = langid.predict(keyed, langid.profiles(docs), key="row")
-    bad = found.where((F.col("lang_pred") == langid.UNKNOWN) | (F.col("score") < LEAST_SCORE)).select("row").distinct()
-    return keyed.join(bad, "row", "left_anti").select(docs.columns)
+    row = fresh(docs, "row")
+    keyed = docs.withColumn(row, row_hash("doc_id"))
+    found = langid.predict(keyed, langid.profiles(docs), key=row)
+    return _without(keyed, row, found.where((F.col("lang_pred") == langid.UNKNOWN) | (F.col("score") < LEAST_SCORE))).select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,9 +41,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, or a paraphrase of one, go."""
-    keyed = docs.withColumn("row", _row())
-    bad = cut_lineage(decontam.leaks(keyed, table(spark, sf_dir, "benchmark"), key="row").select("row").distinct())
-    return keyed.join(bad, "row", "left_anti").select(docs.columns)
+    row = fresh(docs, "row")
+    keyed = docs.withColumn(row, row_hash("doc_id"))
+    return _without(keyed, row, decontam.leaks(keyed, table(spark, sf_dir, "benchmark"), key=row)).select(docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,12 +7,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from funnelwright.sources.tables import cut_lineage, shared_folder
 
-__all__ = ["connected_components", "crc_fold", "cut_lineage", "pieces", "shared_path", "table", "words"]
+__all__ = ["connected_components", "crc_fold", "cut_lineage", "fresh", "pieces", "row_hash", "shared_path", "table", "words"]
 
 #: A task works on texts of about so many bytes at a time.
 CHUNK_BYTES = 4 << 20
@@ -35,6 +36,19 @@ def crc_fold(key: Column, folds: int) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % folds
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, or the name with underscores if a column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def row_hash(key: str, text: str = "text") -> Column:
+    """A hash of id and text: tells rows apart where ids may be null or repeated; equal rows share it."""
+    return F.xxhash64(F.col(key), F.lit(7), F.col(text))
+
+
 def words(text: str | None) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text with A-Z in lower case, as UTF-8.
 
@@ -46,9 +60,8 @@ def words(text: str | None) -> list[bytes]:
 def pieces(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
     """The batches cut so that the column's bytes in each stay near CHUNK_BYTES (one row at least)."""
     for batch in batches:
-        sizes = batch.column(column).fill_null("") if pa.types.is_string(batch.column(column).type) else batch.column(column)
-        lengths = np.asarray(pa.compute.binary_length(sizes).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
-        block = np.cumsum(lengths) // CHUNK_BYTES
+        lengths = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+        block = np.cumsum(lengths.astype(np.int64)) // CHUNK_BYTES
         cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), batch.num_rows]
         for start, end in zip(cuts, cuts[1:]):
             if end > start:

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from funnelwright.llm.common import cut_lineage
+from funnelwright.llm.common import cut_lineage, fresh, row_hash
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK, SEED, REPEATS = 256, "mix", 4.0
@@ -28,7 +28,7 @@ POINTS, ROUNDS, DECIMALS = 15, 8, 4
 def sized(docs: DataFrame, key: str = "doc_id", source: str = "source") -> DataFrame:
     """(row, key, source, n_tokens); null sources are the source ''. Equal rows share ``row``."""
     return docs.select(
-        F.xxhash64(F.col(key), F.lit(7), F.col("text")).alias("row"),
+        row_hash(key).alias("row"),
         F.col(key),
         F.coalesce(F.col(source), F.lit("")).alias("source"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_tokens"),
@@ -128,8 +128,13 @@ def schedule(docs: DataFrame, target: float | None = None, repeats: float = REPE
 
 
 def mixed(docs: DataFrame, plan: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The documents of a schedule, once for each use, with weight, epoch, block_rank and doc_rank added."""
+    """The documents of a schedule, once for each use, with weight, epoch, block_rank and doc_rank.
+
+    These replace columns of the same name.
+    """
     order = ["weight", "epoch", "block_rank", "doc_rank"]
+    row = fresh(docs, "row")
     # Equal rows are listed each in the schedule; one of them stands for all.
-    texts = docs.withColumn("row", F.xxhash64(F.col(key), F.lit(7), F.col("text"))).dropDuplicates(["row"])
-    return texts.join(plan.select("row", *order), "row").select(*docs.columns, *order)
+    texts = docs.withColumn(row, row_hash(key)).drop(*order).dropDuplicates([row])
+    uses = plan.select(F.col("row").alias(row), *order)
+    return texts.join(uses, row).select(*(c for c in docs.columns if c not in order), *order)

@@ -16,7 +16,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from funnelwright.llm.common import cut_lineage
+from funnelwright.llm.common import cut_lineage, fresh, row_hash
 
 VALUE = r"[A-Za-z0-9+/=_\-]{16,}"
 #: Words next to a value that name credentials, and paths whose findings are samples more often.
@@ -38,7 +38,7 @@ def candidates(docs: DataFrame, key: str = "doc_id", path: str = "source") -> Da
     hash of id and text: equal rows share it.
     """
     tokens = docs.select(
-        F.xxhash64(F.col(key), F.lit(7), F.col("text")).alias("row"),
+        row_hash(key).alias("row"),
         F.col(key),
         F.coalesce(F.col(path), F.lit("")).alias("path"),
         F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+").alias("tokens"),
@@ -169,11 +169,12 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, key: str = "doc_id"
 
 def redacted(docs: DataFrame, found: DataFrame, mark: str = "[secret]", key: str = "doc_id") -> DataFrame:
     """``docs`` with each confirmed value of ``found`` replaced by ``mark``; columns as they were."""
-    values = found.where("is_secret").groupBy("row").agg(F.collect_set("value").alias("secret_values"))
+    row, listed = fresh(docs, "row"), fresh(docs, "secret_values")
+    values = found.where("is_secret").groupBy(F.col("row").alias(row)).agg(F.collect_set("value").alias(listed))
     # The longest first: one value may be part of another.
-    ordered = F.array_sort("secret_values", lambda a, b: F.length(b) - F.length(a))
-    marked = docs.withColumn("row", F.xxhash64(F.col(key), F.lit(7), F.col("text"))).join(values, "row", "left")
-    text = F.when(F.col("secret_values").isNull(), F.col("text")).otherwise(
+    ordered = F.array_sort(listed, lambda a, b: F.length(b) - F.length(a))
+    marked = docs.withColumn(row, row_hash(key)).join(values, row, "left")
+    text = F.when(F.col(listed).isNull(), F.col("text")).otherwise(
         F.aggregate(ordered, F.col("text"), lambda text, value: F.replace(text, value, F.lit(mark)))
     )
     return marked.withColumn("text", text).select(docs.columns)

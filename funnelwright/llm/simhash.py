@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from funnelwright.llm.common import connected_components, cut_lineage, forest, pieces, words
+from funnelwright.llm.common import connected_components, cut_lineage, forest, fresh, pieces, row_hash, words
 
 SEED = 42
 THRESHOLD = 3
@@ -343,8 +343,7 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, key
     """
     fps = [f"fp{k}" for k in range(TABLES)]
     kind = docs.schema[key].dataType.simpleString()
-    row = F.xxhash64(F.col(key), F.lit(7), F.col("text"))
-    marks = docs.select(row.alias("row"), F.col(key).alias("id"), "text").mapInArrow(
+    marks = docs.select(row_hash(key).alias("row"), F.col(key).alias("id"), "text").mapInArrow(
         _word_marks, f"row long, id {kind}, node long, n_words long, {', '.join(f'{x} long' for x in fps)}"
     )
     marks = cut_lineage(marks)
@@ -407,8 +406,9 @@ def without_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, key
     chosen = cut_lineage(best.select(F.col("best.row").alias("row")))
     # Equal rows share their hash; only those are made distinct.
     repeated = groups.groupBy("row").count().where("count > 1").select("row").join(chosen, "row", "left_semi")
-    kept = docs.withColumn("row", F.xxhash64(F.col(key), F.lit(7), F.col("text"))).join(
-        chosen.join(repeated.withColumn("repeated", F.lit(True)), "row", "left"), "row"
+    name = fresh(docs, "row")
+    kept = docs.withColumn(name, row_hash(key)).join(
+        chosen.join(repeated.withColumn("again", F.lit(True)), "row", "left").toDF(name, f"{name}again"), name
     )
-    single, several = kept.where("repeated is null"), kept.where("repeated").dropDuplicates(["row"])
+    single, several = kept.where(F.col(f"{name}again").isNull()), kept.where(f"{name}again").dropDuplicates([name])
     return single.union(several).select(docs.columns)

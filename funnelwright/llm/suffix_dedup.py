@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from funnelwright.llm.common import cut_lineage, pieces
+from funnelwright.llm.common import cut_lineage, pieces, row_hash
 
 LENGTH, CONTEXT, BATCHES = 400, 128, 4
 #: Windows of a long text that a task works on at a time; a place in them takes PLACE bits.
@@ -122,7 +122,7 @@ def _suffixes(length: int, context: int):
 
 def _with_rid(docs: DataFrame, key: str) -> DataFrame:
     """Rows are known by a hash of id and text; equal rows share it and are copies of each other."""
-    return docs.select(F.xxhash64(F.col(key), F.lit(7), F.col("text")).alias("rid"), F.col(key), F.col("text"))
+    return docs.select(row_hash(key).alias("rid"), F.col(key), F.col("text"))
 
 
 def index_run(suffixes: DataFrame) -> DataFrame:
