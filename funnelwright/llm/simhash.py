@@ -240,8 +240,9 @@ def fingerprint_hex(fp: str = "fp") -> Column:
 # Near copies by similarity of word runs: fingerprints only propose, the runs decide.
 
 #: Independent fingerprints of the distinct words, their threshold at the anchors, and the distance
-#: up to which two texts that meet at an anchor are compared.
-TABLES, WORD_THRESHOLD, ACCEPT = 3, 4, 12
+#: up to which two texts that meet at an anchor are compared. Beyond 8 bits, chains of unlike short
+#: texts join groups that have nothing in common.
+TABLES, WORD_THRESHOLD, ACCEPT = 3, 4, 8
 #: A group of proposed texts is split beyond so many texts or bytes of runs.
 GROUP_TEXTS, GROUP_BYTES = 2048, 32 << 20
 
