@@ -1,12 +1,7 @@
 from __future__ import annotations
 
-import sys
-from pathlib import Path
-
 import pytest
 
-sys.path.insert(0, str(Path(__file__).parent))
-
 #: Columns that operators use inside; a table may have its own of the same names.
 CLASHING = "row id n node fp key word place path tokens weight epoch value score first root block parts".split()
 

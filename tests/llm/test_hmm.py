@@ -6,7 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from made import prose
+from llm.made import prose
 from pyspark.sql import functions as F
 
 from funnelwright.llm import hmm

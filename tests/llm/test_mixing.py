@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import math
 
-from made import prose
+from llm.made import prose
 
 from funnelwright.llm import mixing
 

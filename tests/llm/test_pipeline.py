@@ -3,7 +3,7 @@ from __future__ import annotations
 import hashlib
 
 import pytest
-from made import prose
+from llm.made import prose
 
 import corpus_pipeline
 

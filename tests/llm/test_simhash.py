@@ -3,7 +3,7 @@ from __future__ import annotations
 import itertools
 
 import numpy as np
-from made import prose
+from llm.made import prose
 from pyspark.sql import functions as F
 
 from funnelwright.llm import simhash

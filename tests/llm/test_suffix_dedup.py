@@ -3,7 +3,7 @@ from __future__ import annotations
 from collections import Counter
 
 import pytest
-from made import prose
+from llm.made import prose
 
 from funnelwright.llm import suffix_dedup
 
