@@ -86,8 +86,8 @@ def history_map(
     time: str,
     key: str = "cas_pkey",
     date: str = "trans_dt",
-    max_history: int = MAX_HISTORY,
-    lookback_days: int = LOOKBACK_DAYS,
+    max_history: int | None = MAX_HISTORY,
+    lookback_days: int | None = LOOKBACK_DAYS,
     block_rows: int = BLOCK_ROWS,
     bucket: str = TIME_BUCKET,
 ) -> DataFrame:
@@ -99,8 +99,11 @@ def history_map(
     one. Every window group therefore has a bounded size however hot the entity is, and no
     pair outside the result is ever built. A sample that also names the entity is used to
     leave out all other entities first.
+
+    ``max_history=None`` keeps all earlier rows and ``lookback_days=None`` any age; without a
+    bound on the history the pairs come from a join of the entity's rows, as many as the result has.
     """
-    if not 1 <= max_history <= block_rows:
+    if max_history is not None and not 1 <= max_history <= block_rows:
         raise ValueError("max_history must be between 1 and block_rows")
     keys = sample.select(key).distinct().withColumn("sampled", F.lit(True))
     slim = transactions.select(key, entity, time, date).where(F.col(entity).isNotNull())
@@ -109,6 +112,13 @@ def history_map(
         slim = slim.join(sample.select(entity).distinct(), entity, "left_semi")
     marked = slim.join(keys, key, "left").withColumn("sampled", F.col("sampled").isNotNull())
     numbered = number_rows(marked, entity, [time, key], time, "seq", bucket)
+    recent = F.lit(True) if lookback_days is None else F.col("date_hist") >= F.date_sub(F.col(date), lookback_days)
+    if max_history is None:
+        past = numbered.select(
+            entity, F.col(key).alias("key_hist"), F.col("seq").alias("seq_hist"), F.col(date).alias("date_hist")
+        )
+        now = numbered.where("sampled").select(entity, key, "seq", date)
+        return _named_pairs(now.join(past, entity).where((F.col("seq_hist") <= F.col("seq")) & recent), key, date)
 
     block = F.floor((F.col("seq") - 1) / block_rows)
     position = (F.col("seq") - 1) % block_rows
@@ -123,9 +133,11 @@ def history_map(
     current = blocks.withColumn("items", F.collect_list(item).over(window)).where(
         F.col("sampled") & (F.col("block") == F.col("own_block"))
     )
-    pairs = current.select(key, "seq", date, F.inline("items"))
-    recent = F.col("date_hist") >= F.date_sub(F.col(date), lookback_days)
-    return pairs.where(recent).select(
+    return _named_pairs(current.select(key, "seq", date, F.inline("items")).where(recent), key, date)
+
+
+def _named_pairs(pairs: DataFrame, key: str, date: str) -> DataFrame:
+    return pairs.select(
         key,
         F.col("key_hist").alias(f"{key}_hist"),
         F.col("seq").cast("int").alias("seq"),

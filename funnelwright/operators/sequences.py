@@ -112,11 +112,11 @@ def join_history(mapping: DataFrame, features: DataFrame, sample: DataFrame, spe
 def running_lists(joined: DataFrame, spec: SequenceSpec) -> DataFrame:
     """Running lists of every feature up to the current row, as a window.
 
-    One row per distinct current row, null values left out of the lists. Each row of a key
+    One row per distinct current row and label, null values left out of the lists. Each row of a key
     holds a growing list, so this form suits small histories; ``sequence_lists`` gives the
     same lists with bounded memory.
     """
-    window = Window.partitionBy(spec.key).orderBy("seq_hist")
+    window = Window.partitionBy(spec.key, spec.label).orderBy("seq_hist")
     lists = [F.collect_list(c).over(window).alias(c) for c in spec.columns]
     return joined.distinct().select(spec.key, "seq", "seq_hist", spec.label, *lists).where(
         F.col("seq_hist") == F.col("seq")
@@ -129,6 +129,8 @@ def _row_struct(spec: SequenceSpec) -> Column:
 
 def _null_pattern(columns: Sequence[str]) -> Column:
     """A bit per column: which of them are null."""
+    if len(columns) > 63:
+        raise ValueError(f"a null pattern holds 63 columns, not {len(columns)}")
     pattern = F.lit(0).cast("bigint")
     for position, column in enumerate(columns):
         pattern = pattern.bitwiseOR(F.when(F.col(column).isNull(), F.lit(1 << position)).otherwise(0))
@@ -150,7 +152,7 @@ def _needed_rows(rows: DataFrame, spec: SequenceSpec) -> DataFrame:
 
     def ranked(columns: Sequence[str], ascending: bool) -> DataFrame:
         ordering = [F.col(c).asc_nulls_first() if ascending else F.col(c).desc_nulls_last() for c in order]
-        window = Window.partitionBy(spec.key, "null_pattern").orderBy(*ordering)
+        window = Window.partitionBy(spec.key, spec.label, "null_pattern").orderBy(*ordering)
         marked = rows.withColumn("null_pattern", _null_pattern(columns))
         kept = marked.withColumn("rank_in_pattern", F.row_number().over(window))
         return kept.where(F.col("rank_in_pattern") <= spec.length).drop("rank_in_pattern", "null_pattern")
@@ -164,7 +166,7 @@ def _needed_rows(rows: DataFrame, spec: SequenceSpec) -> DataFrame:
 
 
 def sequence_lists(joined: DataFrame, spec: SequenceSpec, history_bound: int | None = None) -> DataFrame:
-    """One row per key: label and an ordered value array per feature column.
+    """One row per key and label: an ordered value array per feature column.
 
     Equals the running lists at the current row (``seq_hist = seq``), up to the items the
     padded sequences read. Keys without their current row give no row. Ties in ``seq_hist``
@@ -186,8 +188,7 @@ def sequence_lists(joined: DataFrame, spec: SequenceSpec, history_bound: int | N
     else:
         rows = past
         front = back = F.collect_set(item)
-    grouped = rows.groupBy(spec.key).agg(
-        F.max(spec.label).alias(spec.label),
+    grouped = rows.groupBy(spec.key, spec.label).agg(
         F.array_sort(front).alias("front_rows"),
         *([] if front is back else [F.array_sort(back).alias("back_rows")]),
         F.bool_or(is_current).alias("has_current"),

@@ -8,9 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from funnelwright.functions.text import parse_structured_alerts
 from funnelwright.operators.catalog import resolve
 from funnelwright.operators.daily import daily_metrics, days_of, with_delta
+from funnelwright.plans.alert_rca import SHOWN, parsed_requests
 from funnelwright.sources.batch import QueryRun, run_queries
 
 # Where the SQL of an answer comes from.
@@ -24,11 +24,7 @@ def alert_requests(alerts: DataFrame, metadata: DataFrame, today: str | None = N
     alert_date, start_date, end_date, sql_query. The window defaults to the alert day.
     Several candidates, or no variable at all, give ``needs_user_input``.
     """
-    parsed = parse_structured_alerts(alerts, today)
-    resolved = resolve(parsed, metadata, "variable_reference")
-    extra = [c for c in ("variable_id", "variable_name") if c in alerts.columns]
-    if extra:
-        resolved = resolved.join(alerts.select("alert_id", *[F.col(c).alias(f"stated_{c}") for c in extra]), "alert_id")
+    resolved = resolve(parsed_requests(alerts, today), metadata, "variable_reference", SHOWN)
 
     def first(*candidates: Column | str) -> Column:
         columns = [F.col(c) if isinstance(c, str) else c for c in candidates]
@@ -66,10 +62,12 @@ def alert_requests(alerts: DataFrame, metadata: DataFrame, today: str | None = N
 def daily_history(
     requests: DataFrame, tables: Mapping[str, DataFrame], metrics: Mapping[str, Sequence[str]], date: str = "trans_dt"
 ) -> DataFrame:
-    """alert_id, trans_dt, txn_cnt, avg_metric, metric_delta for every request without its own SQL.
+    """alert_id, status, trans_dt, txn_cnt, avg_metric, metric_delta: a row per day, one at least per request.
 
     Each table is scanned once for all its metrics and requests; the day rows then meet the
-    requests on table, metric and date.
+    requests on table, metric and date. A request without days has one row without a date, whose
+    status says why: ``needs_user_input``, ``custom_sql`` (it brings its own statement),
+    ``unknown_metric`` (no such table or metric here) or ``no_data``.
     """
     per_table = [
         daily_metrics(tables[name], date, {c: F.col(c) for c in metrics[name]}).withColumn("table_name", F.lit(name))
@@ -79,7 +77,22 @@ def daily_history(
     open_requests = requests.where((F.col("status") == "success") & (F.col("sql_source") == TEMPLATE))
     wanted = days_of(open_requests, "start_date", "end_date", ["alert_id", "table_name", "metric"])
     found = wanted.join(days, ["table_name", "metric", "trans_dt"])
-    return with_delta(found.select("alert_id", "trans_dt", "txn_cnt", "avg_metric"), ["alert_id"])
+    history = with_delta(found.select("alert_id", "trans_dt", "txn_cnt", "avg_metric"), ["alert_id"])
+    known = reduce(
+        Column.__or__, [(F.col("table_name") == name) & F.col("metric").isin(list(metrics[name])) for name in tables]
+    )
+    empty = (
+        F.when(F.col("status") != "success", F.col("status"))
+        .when(F.col("sql_source") != TEMPLATE, "custom_sql")
+        .when(known, "no_data")
+        .otherwise("unknown_metric")
+    )
+    asked = requests.select("alert_id", empty.alias("without_days")).distinct()
+    return asked.join(history, "alert_id", "left").select(
+        "alert_id",
+        F.when(F.col("trans_dt").isNotNull(), "success").otherwise(F.col("without_days")).alias("status"),
+        "trans_dt", "txn_cnt", "avg_metric", "metric_delta",
+    )
 
 
 def run_custom_sql(spark: SparkSession, statements: Mapping[str, str]) -> list[QueryRun]:

@@ -39,14 +39,30 @@ class RcaTables:
     checks: DataFrame | None = None
 
 
+#: Candidates shown of an ambiguous reference.
+SHOWN = 10
+
+
+def parsed_requests(alerts: DataFrame, today: str | None = None) -> DataFrame:
+    """Alerts parsed; a stated variable id, else a stated name, is the reference even beside free text.
+
+    The stated texts stay as ``stated_variable_id`` and ``stated_variable_name``.
+    """
+    stated = {
+        f"stated_{c}": F.nullif(F.trim(F.col(c).cast("string")), F.lit("")) if c in alerts.columns else F.lit(None).cast("string")
+        for c in ("variable_id", "variable_name")
+    }
+    parsed = parse_structured_alerts(alerts.withColumns(stated), today)
+    return parsed.withColumn("variable_reference", F.coalesce(*stated, "variable_reference"))
+
+
 def resolved_alerts(alerts: DataFrame, metadata: DataFrame, today: str | None = None) -> DataFrame:
     """Alerts parsed, resolved against the metadata sheet, with status and windows.
 
     ``alerts``: alert_id plus ``user_query`` or structured columns. Status is ``success``,
     ``needs_user_input`` (several candidates) or ``not_found``. Stated window columns win.
     """
-    parsed = parse_structured_alerts(alerts, today)
-    resolved = resolve(parsed, metadata, "variable_reference")
+    resolved = resolve(parsed_requests(alerts, today), metadata, "variable_reference", SHOWN)
     status = (
         F.when(F.col("resolution") == "resolved", "success")
         .when(F.col("resolution") == "ambiguous", "needs_user_input")

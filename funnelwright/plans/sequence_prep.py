@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -34,7 +35,10 @@ class PrepParams:
     """Dates, sampling and the names of the transaction columns.
 
     ``staging`` is a folder in shared storage; the four stages are then written below it and
-    reused by a rerun with the same parameters. Without it nothing is staged.
+    reused by a rerun with the same parameters, inputs, rules, exclusions and ``version``, the
+    caller's name for the state of the input data (a load date, a snapshot id), which staging
+    needs. Without ``staging`` nothing is staged. ``max_history`` and ``lookback_days`` may be
+    None: no bound.
     """
 
     start_dt: str
@@ -45,16 +49,19 @@ class PrepParams:
     key: str = "cas_pkey"
     date: str = "trans_dt"
     label: str = "lift_frd_in"
-    max_history: int = MAX_HISTORY
-    lookback_days: int = LOOKBACK_DAYS
+    max_history: int | None = MAX_HISTORY
+    lookback_days: int | None = LOOKBACK_DAYS
     reference_date: str = "2021-01-01"
     staging: str = ""
+    version: str = ""
 
     def __post_init__(self) -> None:
         if len(self.start_dt) != 10 or len(self.end_dt) != 10:
             raise ValueError("Dates must be in YYYY-MM-DD format.")
         if self.start_dt > self.end_dt:
             raise ValueError("start_dt must be less than or equal to end_dt.")
+        if self.staging and not self.version:
+            raise ValueError("staging needs a version of the input data")
 
 
 @dataclass(frozen=True)
@@ -69,14 +76,22 @@ class PrepInputs:
     keep: Column | None = None
 
 
+def _plan_text(df: DataFrame) -> str:
+    """The analysed plan, without the numbers that differ from run to run."""
+    return re.sub(r"#\d+L?|plan_id=\d+", "", df._jdf.queryExecution().analyzed().toString())
+
+
 def staged_tables(inputs: PrepInputs, params: PrepParams) -> dict[str, DataFrame]:
     """init_sample, exclusions, rnn_seq and vars_pull, each built on the one before."""
     p = params
     mark = fingerprint(**{k: v for k, v in vars(p).items() if k != "staging"})
 
-    def stage(name: str, df: DataFrame) -> DataFrame:
+    def stage(name: str, df: DataFrame, *inputs: DataFrame) -> DataFrame:
         if not p.staging:
             return df
+        nonlocal mark
+        # What a stage is made of: the mark of the one before, its own plan, and its inputs' plans.
+        mark = fingerprint(parent=mark, plans=[_plan_text(x) for x in (df, *inputs)])
         return materialize(df, Source(f"{p.staging.rstrip('/')}/{name}_{mark}", "parquet"))
 
     sample = stage(
@@ -88,10 +103,14 @@ def staged_tables(inputs: PrepInputs, params: PrepParams) -> dict[str, DataFrame
     kept = stage("exclusions", apply_exclusions(sample, inputs.exclusions, inputs.keep))
     # Scan only the days a history can reach (30 days back unless set wider).
     oldest = F.least(
-        F.date_sub(F.lit(p.start_dt).cast("date"), p.lookback_days),
+        F.date_sub(F.lit(p.start_dt).cast("date"), p.lookback_days or 0),
         F.lit(str(lookback_dates(p.start_dt)["start_dt_20"])).cast("date"),
     )
-    reachable = inputs.transactions.where(in_dates(p.date, oldest, p.end_dt))
+    reachable = inputs.transactions
+    if p.lookback_days is None:
+        reachable = reachable.where(F.col(p.date) <= F.lit(p.end_dt).cast("date"))
+    else:
+        reachable = reachable.where(in_dates(p.date, oldest, p.end_dt))
     mapping = stage(
         "rnn_seq",
         history_map(reachable, kept, p.entity, p.time, p.key, p.date, p.max_history, p.lookback_days),

@@ -505,7 +505,7 @@ def sql_batch(spark: SparkSession, sf: str) -> DataFrame:
 
 def code_requests(spark: SparkSession, sf: str) -> DataFrame:
     """A code per line item, written in three ways; some codes do not exist."""
-    number = F.lpad((F.col("l_partkey") + F.when(F.col("l_linenumber") == 7, 10_000_000).otherwise(0)).cast("string"), 6, "0")
+    number = F.format_string("%06d", F.col("l_partkey") + F.when(F.col("l_linenumber") == 7, 10_000_000).otherwise(0))
     code = (
         F.when(F.col("l_linenumber") <= 3, F.concat(F.lit("PRT_"), number))
         .when(F.col("l_linenumber") <= 5, F.concat(F.lit(" prt-"), number))
@@ -579,7 +579,7 @@ def references(spark: SparkSession, sf: str) -> DataFrame:
     """A variable reference per line item: by id, alias, part of a description, or unknown."""
     part, line = F.col("l_partkey").cast("string"), F.col("l_linenumber")
     ref = (
-        F.when(line <= 2, F.concat(F.lit("prt-"), F.lpad(part, 6, "0")))
+        F.when(line <= 2, F.format_string("prt-%06d", "l_partkey"))
         .when(line == 3, F.concat(F.lit("ITEM_"), part))
         .when(line == 4, F.concat(F.lit("Metric "), part))
         .when(line == 5, F.concat(F.lit("brand#"), (F.col("l_suppkey") % 30).cast("string"), F.lit(" e")))
@@ -640,13 +640,16 @@ def response_tools(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def alert_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """One structured alert per order of the highest priority, about a part of the catalog."""
-    orders = table(spark, sf, "orders").where(F.col("o_orderpriority") == "1-URGENT")
-    return orders.select(
+    """One structured alert per order, about a part of the catalog; some also quote another part."""
+    return table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("alert_id"),
-        F.concat(F.lit("PRT_"), F.lpad(F.col("o_custkey").cast("string"), 6, "0")).alias("variable_id"),
+        F.format_string("PRT_%06d", "o_custkey").alias("variable_id"),
         F.date_format("o_orderdate", "yyyy-MM-dd").alias("alert_date"),
         F.lit("lower_limit_breach").alias("alert_type"),
+        F.when(
+            (F.col("o_orderpriority") == "2-HIGH") & (F.year("o_orderdate") >= 2000),
+            F.concat(F.lit("on "), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(" the variable item_5 saw a drop")),
+        ).alias("user_query"),
     )
 
 

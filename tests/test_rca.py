@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from funnelwright.operators import rca
 from funnelwright.operators.daily import daily_metric, daily_metrics, with_delta
 from funnelwright.plans.alert_daily import alert_requests, daily_history, run_custom_sql
-from funnelwright.plans.alert_rca import RcaTables, analyze_alerts
+from funnelwright.plans.alert_rca import RcaTables, analyze_alerts, resolved_alerts
 from funnelwright.sources.catalogs import METADATA_FIELDS
 
 CONTEXT = {
@@ -137,9 +137,12 @@ def test_alert_daily(spark):
     rows = [(dt.date(2024, 1, d), float(d), 1.0) for d in (1, 2, 2, 3, 4)]
     tables = {"tbl": spark.createDataFrame(rows, "trans_dt date, amt_ratio double, cnt double")}
     history = daily_history(resolved, tables, {"tbl": ["amt_ratio", "cnt"]}).orderBy("alert_id", "trans_dt").collect()
-    assert [(r.alert_id, r.trans_dt.day, r.txn_cnt, r.avg_metric, r.metric_delta) for r in history] == [
+    assert [(r.alert_id, r.trans_dt.day, r.txn_cnt, r.avg_metric, r.metric_delta) for r in history if r.trans_dt and r.alert_id == 1] == [
         (1, 1, 1, 1.0, None), (1, 2, 2, 2.0, 1.0), (1, 3, 1, 3.0, 1.0),
     ]
+    # Every request has a row; without days it says why.
+    assert {r.alert_id for r in history} == {1, 2, 3, 4, 5}
+    assert {r.alert_id: r.status for r in history if r.trans_dt is None} == {3: "needs_user_input", 4: "custom_sql", 5: "unknown_metric"}
     runs = run_custom_sql(spark, {"4": "SELECT 1 AS one", "9": "SELECT nope"})
     assert [(r.name, r.status, r.row_count) for r in runs] == [("alert_rationalization_4", "success", 1), ("alert_rationalization_9", "error", 0)]
 
@@ -156,6 +159,17 @@ def test_ambiguous_alert_stops(spark):
     assert daily[3].status == "success" and daily[3].metric == "nothing_known"
 
 
+def test_a_stated_variable_wins_over_the_text(spark):
+    requests = spark.createDataFrame(
+        [(1, "on 2024-01-03 the variable OTHER12 saw a drop", "RDMC3048"), (2, "variable RDMC3048 dropped", " ")],
+        "alert_id int, user_query string, variable_id string",
+    )
+    got = {r.alert_id: r for r in resolved_alerts(requests, sheet(spark), "2024-02-02").collect()}
+    assert {i: r.metadata.variable_id for i, r in got.items()} == {1: "RDMC3048", 2: "RDMC3048"}
+    daily = {r.alert_id: r.resolved_id for r in alert_requests(requests, sheet(spark), "2024-02-02").collect()}
+    assert daily == {1: "RDMC3048", 2: "RDMC3048"}
+
+
 def test_no_matching_group_for_empty_alerts(spark):
     empty = spark.createDataFrame([], "alert_id int, user_query string")
     assert analyze_alerts(empty, sheet(spark), RcaTables(), "2024-02-02").collect() == []

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import datetime as dt
 import random
+from dataclasses import replace
 
 import pytest
 from conftest import plan
@@ -160,7 +161,7 @@ def prep_inputs(spark):
 
 def test_whole_preparation(spark, tmp_path):
     inputs = prep_inputs(spark)
-    params = PrepParams("2024-01-15", "2024-02-05", 0.3, staging=str(tmp_path / "stages"))
+    params = PrepParams("2024-01-15", "2024-02-05", 0.3, staging=str(tmp_path / "stages"), version="1")
     out = sequence_prep(inputs, params)
     assert len(out.columns) == 172 and out.columns[:2] == ["cas_pkey", "aav_1"] and out.columns[-1] == "lift_frd_in"
     text = plan(out)
@@ -185,6 +186,42 @@ def test_whole_preparation(spark, tmp_path):
         run_sequence_prep(inputs, params, str(tmp_path / "out"))
 
 
+def test_stages_are_reused_only_for_the_same_inputs(spark, tmp_path):
+    inputs = prep_inputs(spark)
+    where = {"staging": str(tmp_path / "stages"), "version": "1"}
+
+    def keys(given, **more):
+        params = PrepParams("2024-01-15", "2024-02-05", 0.3, **{**where, **more})
+        return {r.cas_pkey for r in staged_tables(given, params)["exclusions"].collect()}
+
+    every = keys(inputs)
+    kept = keys(replace(inputs, keep=F.col("cas_pkey") % 2 == 0))
+    assert kept == {k for k in every if k % 2 == 0} and kept != every
+    spared = keys(replace(inputs, exclusions=()))
+    assert spared > every
+    assert keys(inputs) == every
+    with pytest.raises(ValueError):
+        PrepParams("2024-01-15", "2024-02-05", staging="somewhere")
+
+
+@pytest.mark.parametrize("form", ["running", "bounded", "general"])
+def test_a_key_with_two_labels_gives_two_rows(spark, form):
+    mapping, features, _ = frames(spark, [(1, 10, 1, 1)], {10: (1, 2, 3, 1)}, {1: 0})
+    sample = spark.createDataFrame([(1, 0), (1, 1)], ["cas_pkey", "lift_frd_in"])
+    joined = join_history(mapping, features, sample, SPEC)
+    lists = running_lists(joined, SPEC) if form == "running" else sequence_lists(joined, SPEC, 10 if form == "bounded" else None)
+    column = SPEC.columns[0]
+    assert sorted((r.lift_frd_in, len(r[column])) for r in lists.collect()) == [(0, 1), (1, 1)]
+
+
+def test_history_without_bounds(spark):
+    _, df = history_rows(spark)
+    sample = df.select("cas_pkey")
+    bounded = history_map(df, sample, "cm15", "trans_ts", max_history=4000, lookback_days=100_000)
+    free = history_map(df, sample, "cm15", "trans_ts", max_history=None, lookback_days=None)
+    assert sorted(map(tuple, free.collect())) == sorted(map(tuple, bounded.collect()))
+
+
 def test_positional_names_and_parameters(spark):
     assert len(OUTPUT_ORDER) == 17
     data = frames(spark, [(1, 10, 1, 1)], {10: (1, 2, 3, 1)}, {1: 0})
