@@ -203,11 +203,11 @@ def alert_texts(spark: SparkSession, sf: str) -> DataFrame:
     text = (
         F.when(
             priority == "1-URGENT",
-            F.concat(code, F.lit(" got a lower-limit alert on "), F.date_format(day, "yyyy-MM-dd")),
+            F.concat(F.lit("lower-limit trouble with "), code, F.lit(", noticed "), F.date_format(day, "yyyy-MM-dd")),
         )
         .when(
             priority == "2-HIGH",
-            F.concat(F.lit("Canceled Plastic XGBoost Gen 13 variable "), code, F.lit(" got COUNT alert yesterday")),
+            F.concat(F.lit("COUNT alert of yesterday: variable "), code, F.lit(" in the canceled plastic model, xgboost gen 13")),
         )
         .when(
             priority == "3-MEDIUM",
