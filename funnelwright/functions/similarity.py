@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
-from collections.abc import Iterable
 from difflib import SequenceMatcher
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,22 +12,44 @@ from pyspark.sql import functions as F
 CONTAINED_CAP, CONTAINED_BASE, CONTAINED_SPAN = 0.99, 0.7, 0.3
 WORD_WEIGHT, SIMILARITY_WEIGHT, SCORE_THRESHOLD = 0.85, 0.75, 0.4
 
-_CHAR_BUCKETS = 64
+# Characters counted one by one for the bound on similarity; all others count together.
+LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789 "
 
 
 def _ratios(query: pd.Series, value: pd.Series) -> pd.Series:
-    return pd.Series([SequenceMatcher(None, q, v).ratio() for q, v in zip(query, value)], dtype="float64")
+    # A matcher keeps what it found out about its second text.
+    matchers: dict[str, SequenceMatcher] = {}
+    found = []
+    for q, v in zip(query, value):
+        if q is None:
+            found.append(0.0)
+            continue
+        matcher = matchers.setdefault(v, SequenceMatcher(None, "", v))
+        matcher.set_seq1(q)
+        found.append(matcher.ratio())
+    return pd.Series(found, dtype="float64")
 
 
 def similarity(query: Column, value: Column) -> Column:
-    """Ratcliff-Obershelp ratio, query first (the ratio is not symmetric)."""
+    """Ratcliff-Obershelp ratio, query first (the ratio is not symmetric); 0 for a null query."""
     return F.pandas_udf(_ratios, "double")(query, value)
 
 
-def similarity_bound(query: Column, value: Column) -> Column:
-    """The ratio cannot exceed this value."""
-    lq, lv = F.length(query), F.length(value)
-    return 2 * F.least(lq, lv) / F.greatest(lq + lv, F.lit(1))
+def letter_counts(text: Column) -> Column:
+    """How often each of LETTERS occurs, and how many other characters there are."""
+    each = [F.length(text) - F.length(F.replace(text, F.lit(c), F.lit(""))) for c in LETTERS]
+    others = F.length(F.regexp_replace(text, f"[{LETTERS}]", ""))
+    return F.array(*each, others)
+
+
+def similarity_bound(query_counts: Column, value_counts: Column) -> Column:
+    """The ratio cannot exceed this value: twice the common characters over all characters."""
+
+    def total(counts: Column) -> Column:
+        return F.aggregate(counts, F.lit(0), lambda done, n: done + n)
+
+    common = F.zip_with(query_counts, value_counts, lambda a, b: F.least(a, b))
+    return 2 * total(common) / F.greatest(total(query_counts) + total(value_counts), F.lit(1))
 
 
 def word_score(query: Column, value: Column) -> Column:
@@ -54,109 +73,3 @@ def match_score(query: Column, value: Column, sim: Column | None = None) -> Colu
         .when(value.contains(query), F.least(F.lit(CONTAINED_CAP), contained))
         .otherwise(mixed)
     )
-
-
-def _char_counts(text: str) -> np.ndarray:
-    counts = np.zeros(_CHAR_BUCKETS, dtype=np.int32)
-    for char, n in Counter(text).items():
-        counts[ord(char) % _CHAR_BUCKETS] += n
-    return counts
-
-
-class TextScorer:
-    """Scores queries against a fixed list of distinct normalised texts, inside one task.
-
-    The similarity ratio is the costly part, so it is only computed where it decides
-    something. It is at most 2 * common characters / total length, found for all texts at
-    once from character counts (hashed into buckets, which can only raise the bound).
-    """
-
-    def __init__(self, texts: Iterable[str]) -> None:
-        self.texts = list(texts)
-        self.lengths = np.array([len(t) for t in self.texts], dtype=np.int64)
-        counts = np.array([_char_counts(t) for t in self.texts]).reshape(len(self.texts), _CHAR_BUCKETS)
-        self.counts = np.ascontiguousarray(counts.T)
-        self.by_word: dict[str, list[int]] = defaultdict(list)
-        for i, text in enumerate(self.texts):
-            for word in set(text.split()):
-                self.by_word[word].append(i)
-        self._matchers: dict[int, SequenceMatcher] = {}
-
-    def query(self, query: str) -> QueryScores:
-        return QueryScores(self, query)
-
-    def ratio(self, query: str, i: int) -> float:
-        matcher = self._matchers.get(i)
-        if matcher is None:
-            matcher = self._matchers[i] = SequenceMatcher(None, "", self.texts[i])
-        matcher.set_seq1(query)
-        return matcher.ratio()
-
-
-class QueryScores:
-    """Lower and upper bounds of one query's scores; ``settle`` makes them exact where needed."""
-
-    def __init__(self, scorer: TextScorer, query: str) -> None:
-        self.scorer, self.text = scorer, query
-        words = set(query.split())
-        self.share = np.zeros(len(scorer.texts))
-        for word in words:
-            self.share[scorer.by_word.get(word, [])] += 1
-        self.share /= max(len(words), 1)
-        own = _char_counts(query)
-        common = np.zeros(len(scorer.texts), dtype=np.int64)
-        for bucket in np.nonzero(own)[0]:
-            common += np.minimum(scorer.counts[bucket], own[bucket])
-        bound = 2.0 * common / np.maximum(scorer.lengths + len(query), 1)
-
-        self.weighted = self.share * WORD_WEIGHT
-        known = self.share >= SCORE_THRESHOLD
-        self.low = np.where(known, self.weighted, 0.0)
-        self.high = np.where(known | (bound >= SCORE_THRESHOLD), np.maximum(self.low, bound * SIMILARITY_WEIGHT), 0.0)
-        # Only a text with every character of the query can contain it.
-        for i in np.nonzero(common == len(query))[0]:
-            text = scorer.texts[i]
-            if query in text:
-                span = len(query) / max(len(text), 1) * CONTAINED_SPAN
-                self.low[i] = self.high[i] = 1.0 if query == text else min(CONTAINED_CAP, CONTAINED_BASE + span)
-
-    def settle(self, ids: np.ndarray) -> None:
-        """Compute the score of the given texts where the bounds still differ."""
-        for i in ids[self.high[ids] > self.low[ids]]:
-            ratio = self.scorer.ratio(self.text, i)
-            positive = max(self.share[i], ratio) >= SCORE_THRESHOLD
-            self.low[i] = self.high[i] = max(self.weighted[i], ratio * SIMILARITY_WEIGHT) if positive else 0.0
-
-    def best_records(self, slots: np.ndarray, limit: int | None) -> tuple[int, np.ndarray, np.ndarray]:
-        """Match count, and positions and scores of the best ``limit`` records (all without one).
-
-        ``slots`` holds per field (row) and record (column) the id of the record's text, -1
-        for a blank field; a record scores the best of its fields. Records are taken in
-        column order where scores are equal.
-        """
-        # A match is a record with any positive text: settle those no bound decides.
-        low, high = self._of_records(slots)
-        self.settle(self._ids(slots, (low <= 0) & (high > 0)))
-        low, high = self._of_records(slots)
-        found = np.nonzero(low > 0)[0]
-        wanted = len(found) if limit is None else min(max(limit, 0), len(found))
-        if wanted == 0:
-            return len(found), found[:0], low[:0]
-        # No record below the wanted-th best lower bound can be among the best.
-        floor = np.partition(low[found], len(found) - wanted)[len(found) - wanted]
-        near = found[high[found] >= floor]
-        self.settle(self._ids(slots[:, near], np.ones(len(near), dtype=bool)))
-        exact, _ = self._of_records(slots[:, near])
-        order = np.argsort(-exact, kind="stable")[:wanted]
-        return len(found), near[order], exact[order]
-
-    def _of_records(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        blank = slots < 0
-        low, high = self.low[slots], self.high[slots]
-        low[blank] = high[blank] = 0.0
-        return low.max(axis=0), high.max(axis=0)
-
-    @staticmethod
-    def _ids(slots: np.ndarray, records: np.ndarray) -> np.ndarray:
-        ids = np.unique(slots[:, records])
-        return ids[ids >= 0]
