@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from funnelwright.functions.measures import age_in_days, derive_windows, in_dates
+from funnelwright.functions.measures import age_in_days, derive_windows, in_dates, safe_double
 from funnelwright.functions.text import parse_alerts, parse_structured_alerts
 from funnelwright.operators import catalog as lookups
 from funnelwright.operators import chatlog, rca
@@ -40,6 +40,7 @@ from funnelwright.plans.alert_daily import alert_requests, daily_history
 from funnelwright.plans.alert_rca import RcaTables, analyze_alerts
 from funnelwright.plans.sequence_prep import PrepInputs, PrepParams, sequence_prep
 from funnelwright.sources.batch import run_profile, run_queries
+from funnelwright.sources.catalogs import catalog_from, metadata_from
 from funnelwright.sources.tables import Source, latest_rows, profile, read_table
 
 WHOLE = ("1995-01-01", "2001-12-31")
@@ -639,6 +640,24 @@ def response_tools(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def response_shapes(spark: SparkSession, sf: str) -> DataFrame:
+    """The four other shapes of an answer, read from texts with and without JSON."""
+    item = F.concat(F.lit("case "), F.col("conv_id").cast("string"))
+    fields = F.struct(
+        F.concat(F.lit(" "), item).alias("intent_summary"), F.array(item, F.lit(" two ")).alias("constraints"),
+        F.lit("ASK").alias("task_type"), F.array("role").alias("recommended_tools"), F.col("turn").alias("message"),
+        F.col("turn").alias("finding_summary"), F.lit(" small ").alias("confidence_and_limitations"),
+    )
+    text = F.when(F.col("role") == "user", F.concat(F.lit("So: "), F.to_json(fields), F.lit(" - that is all"))).when(
+        F.col("role") == "assistant", F.concat(F.lit(" plain "), item)
+    )
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", text.alias("answer_text"))
+    for shape in ("intent", "routing", "conversation", "evaluation"):
+        rows = chatlog.parse_responses(rows, "answer_text", shape)
+    lists = ("success_criteria", "constraints", "recommended_tools", "risks_or_gaps")
+    return rows.withColumns({c: F.array_join(c, ",") for c in lists}).drop("answer_text")
+
+
 def alert_rows(spark: SparkSession, sf: str) -> DataFrame:
     """One structured alert per order, about a part of the catalog; some also quote another part."""
     return table(spark, sf, "orders").select(
@@ -700,6 +719,52 @@ def draws(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").select("o_orderkey", F.round(key_uniform("o_orderkey"), 9).alias("u"))
 
 
+def messy_metadata(spark: SparkSession, sf: str) -> DataFrame:
+    """A metadata sheet with odd headers, blanks and list cells, read into its thirteen fields."""
+    key = F.col("p_partkey").cast("string")
+    sheet = table(spark, sf, "part").select(
+        F.concat(F.lit("  PRT_"), key, F.lit(" \n ")).alias("Variable"),
+        F.concat("p_name", F.lit(" \t  "), "p_brand").alias("Full_Name"),
+        F.when(F.col("p_size") % 3 != 0, F.col("p_type")).alias(" Business_Definition"),
+        F.lit("first").alias("Type"),
+        F.concat("p_type", F.lit("  ")).alias("Variable_Type"),
+        F.concat(F.lit(" item "), key, F.lit(" |, "), "p_brand", F.lit(",, ")).alias("SYNONYMS"),
+        F.when(F.col("p_size") % 2 == 0, "").otherwise(F.concat("p_type", F.lit("|"), "p_brand")).alias("tags"),
+        F.lit("not read").alias("Comment"),
+        F.col("p_partkey").alias("file_order"),
+    )
+    lists = {c: F.array_join(c, ";") for c in ("aliases", "tags")}
+    return metadata_from(sheet).withColumns(lists).select(
+        "file_order", "variable_id", "variable_name", "description", "variable_type", "owner_team", "aliases", "tags"
+    )
+
+
+def messy_catalog(spark: SparkSession, sf: str) -> DataFrame:
+    """A catalog sheet with odd headers; of two headers for one field the last wins."""
+    sheet = table(spark, sf, "part").select(
+        F.concat(F.lit(" "), "p_name", F.lit("  x ")).alias("VARIABLE"),
+        F.col("p_brand").alias("Full-Name"),
+        F.when(F.col("p_size") > 25, F.concat("p_type", F.lit(" \n "), "p_brand")).alias("full__name "),
+        F.lit(None).cast("string").alias("Table"),
+        F.col("p_size").alias("Domain"),
+        F.col("p_partkey").alias("file_order"),
+    )
+    return catalog_from(sheet)
+
+
+def numbers_from_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Numbers read from texts, some of which are none."""
+    key, priority = F.col("o_custkey").cast("string"), F.col("o_orderpriority")
+    text = (
+        F.when(priority == "1-URGENT", key)
+        .when(priority == "2-HIGH", F.concat(F.lit("-"), key, F.lit(".25")))
+        .when(priority == "3-MEDIUM", F.concat(key, F.lit(" units")))
+        .when(priority == "4-NOT SPECIFIED", "")
+    )
+    orders = table(spark, sf, "orders").withColumn("number_text", text)
+    return orders.select("o_orderkey", "number_text", safe_double("number_text").alias("number"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "driver_top_segments": driver_top_segments,
     "driver_all_dimensions": driver_all_dimensions,
@@ -740,4 +805,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "structured_alerts": structured_alerts,
     "recent_context": recent_context,
     "response_tools": response_tools,
+    "response_shapes": response_shapes,
+    "messy_metadata": messy_metadata,
+    "messy_catalog": messy_catalog,
+    "numbers_from_text": numbers_from_text,
 }
