@@ -10,30 +10,7 @@ from pyspark.sql import functions as F
 
 from funnelwright.functions.arrays import SEQUENCE_LENGTH, expand, gap_sequence, pad_left
 
-# The bucketed features in sequence order, with the raw columns of each rule.
-# "ngttime" combines the age and the hour code.
-FEATURE_INPUTS = {
-    "aav": ["AAVMDLCD", "DYSSNCSA", "DYSSNCMA", "BILADT30", "NSBLADSC"],
-    "disruption": ["MINSNASG", "MDMTCASG", "HRSIDOV", "RESIDSE", "OVCNTFTG", "SRCOVRRD"],
-    "email": ["CUDEM30P", "EMNMMRCD", "DYSSNCNE", "IPTOCSEM", "NE04CT24", "NSEMLSC", "EMUCM2D"],
-    "ftg": [
-        "SERLLFTG", "WLSE7FTG", "CWLSEFTG", "TMIDFTG", "CNFFTG48", "CONFSE48", "SEZVAFTG", "ZVAIND", "AMOUNT",
-        "CONV_AMT",
-    ],
-    "indusamt": ["S_BFS_CD", "AMOUNT", "SBFSD30", "CUDVEVDI", "ZVAIND", "CONV_AMT"],
-    "ip": ["CUIP2D30", "CUIP4D30", "NE08CT24", "IPUCM2H", "IPDISTHM"],
-    "location": ["DISTCMSE", "DISTCHIP", "MNDIST30", "SE3HOT7", "TRSE3IND", "DISTSESE", "DSCIDCR", "RSZT4815"],
-    "time": ["TMOFDYIN", "WKNDIND", "NIGHTIND", "CNTRY_CD"],
-    "onword": ["EAPNMMI", "AIRNMT30", "MDISTAIR"],
-    "phone": ["CMPHBL30", "DCPPHNCM", "DYSSNCPN", "NSBLPHSC", "CMNEG10D", "CNTANI7D", "CNTCM7D"],
-    "seprn": ["SEPRNMAX", "SECNT48", "NEWRF12", "TIMESCR"],
-    "sepry": ["RDSE305D", "SMAMT12", "SEPRYAVG", "NCHRATIO"],
-    "stcd": ["DYSSNC79", "DYSSNC44", "DYSSNC57", "DYSSNCVP", "DYSSNCT1"],
-    "txn_att": ["TXNMDIND", "CIDMTHCD", "BTOBIND", "CDLGER31", "SRCUED10"],
-    "topmaps": ["TOPMAPIN", "MAPD30", "SE5DAMT", "CMD5"],
-    "velocity": ["HRSRGTOC", "SE5DCNT", "CMN5", "TIMESESE"],
-    "cm_char": ["DSACTEFF", "SOWYRDB", "TAAMT30", "GPRODUCT", "CASHIRT"],
-}
+# The bucketed features in sequence order; "ngttime" combines the age and the hour code.
 OUTPUT_ORDER = [
     "aav", "disruption", "email", "ftg", "indusamt", "ip", "location", "onword", "phone", "seprn", "sepry", "stcd",
     "txn_att", "topmaps", "ngttime", "velocity", "cm_char",

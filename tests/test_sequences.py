@@ -11,7 +11,6 @@ from test_measures import gap_rule, padded_rule
 
 from funnelwright.operators.history import Exclusion, apply_exclusions, history_map, number_rows
 from funnelwright.operators.sequences import (
-    FEATURE_INPUTS,
     OUTPUT_ORDER,
     SequenceSpec,
     bucketize,
@@ -153,9 +152,11 @@ def test_exclusions(spark):
 def prep_inputs(spark):
     rows, df = history_rows(spark)
     labels = df.select("cas_pkey", "trans_dt", F.when(F.col("cas_pkey") % 10 == 0, 1).otherwise(0).alias("lift_frd_in"))
-    raw = {c: (F.col("cas_pkey") * (i + 3) % 17).alias(c) for i, c in enumerate(dict.fromkeys(c for cs in FEATURE_INPUTS.values() for c in cs))}
+    # Two raw columns for each bucketed feature of the layout.
+    names = [*(n for n in OUTPUT_ORDER if n != "ngttime"), "time"]
+    raw = {f"{n}_{i}": (F.col("cas_pkey") * (3 * k + i + 3) % 17).alias(f"{n}_{i}") for k, n in enumerate(names) for i in (0, 1)}
     features = df.select("cas_pkey", F.col("trans_dt"), *raw.values())
-    rules = {f"{name}_buc_3b": [(F.col(cols[0]) < 5, 1), (F.col(cols[-1]) < 9, 2), (F.lit(True), 3)] for name, cols in FEATURE_INPUTS.items()}
+    rules = {f"{n}_buc_3b": [(F.col(f"{n}_0") < 5, 1), (F.col(f"{n}_1") < 9, 2), (F.lit(True), 3)] for n in names}
     return PrepInputs(df, labels, features, rules, [Exclusion(df.where("cas_pkey < 100"), "cas_pkey")])
 
 
