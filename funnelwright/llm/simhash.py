@@ -18,6 +18,7 @@ reduced to a forest before they leave the task. Anchors with many fingerprints (
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 from functools import cache
 
@@ -237,12 +238,15 @@ def fingerprint_hex(fp: str = "fp") -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-# Near copies by similarity of word runs: fingerprints only propose, the runs decide.
+# Near copies by similarity of word runs: fingerprints and rare runs only propose, the runs decide.
 
 #: Independent fingerprints of the distinct words, their threshold at the anchors, and the distance
-#: up to which two texts that meet at an anchor are compared. Beyond 8 bits, chains of unlike short
-#: texts join groups that have nothing in common.
+#: up to which two texts that meet at an anchor are compared. They link most copies in whole groups;
+#: no link depends on them, as ``_shared_runs`` proposes every pair that they leave. Beyond 8 bits,
+#: chains of unlike short texts join groups that have nothing in common.
 TABLES, WORD_THRESHOLD, ACCEPT = 3, 4, 8
+#: Texts whose runs tell the common runs, in how many of them a run is common, and how many are kept.
+ORDER_TEXTS, COMMON, COMMON_RUNS = 20_000, 8, 200_000
 #: A group of proposed texts is split beyond so many texts or bytes of runs.
 GROUP_TEXTS, GROUP_BYTES = 2048, 32 << 20
 
@@ -305,6 +309,172 @@ def similar_within(nodes: np.ndarray, fps: np.ndarray, runs: list[np.ndarray], s
     return found
 
 
+def prefix_size(size: int, similarity: float) -> int:
+    """So many first runs, in any order that all texts share, hold a run of every similar text."""
+    return size - math.ceil(similarity * size - 1e-9) + 1 if size else 0
+
+
+def _common_runs(docs: DataFrame, width: int, total: int) -> np.ndarray:
+    """Runs that many texts of a sample use, sorted. They decide the order of runs only, not what is found."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            sets = [np.unique(shingle_hashes(x.as_py(), width)) for x in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], names=["run"])
+
+    scale = 1 << 30
+    share = int(min(1.0, ORDER_TEXTS / max(1, total)) * scale)
+    sample = docs.where(F.pmod(F.xxhash64(F.lit(SEED), "text"), F.lit(scale)) < share).select("text").distinct()
+    counted = sample.mapInArrow(of, "run long").groupBy("run").count().where(F.col("count") >= COMMON)
+    runs = counted.orderBy(F.desc("count"), "run").limit(COMMON_RUNS).select("run").toArrow().column("run")
+    return np.sort(runs.to_numpy().view(np.uint64))
+
+
+def _prefixes(width: int, similarity: float, common: np.ndarray):
+    """(run, node, size, at): the first runs of each text, rare ones before common ones."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in pieces(batches):
+            runs, nodes, sizes = [np.empty(0, np.uint64)], [], []
+            for text in batch.column("text"):
+                node = xxhash.xxh64_intdigest(b" ".join(words(text.as_py())), SEED)
+                if node in seen:
+                    continue
+                if len(seen) < 1 << 18:
+                    seen.add(node)
+                mine = np.unique(shingle_hashes(text.as_py(), width))
+                if len(common):
+                    known = common[np.minimum(np.searchsorted(common, mine), len(common) - 1)] == mine
+                    mine = np.concatenate([mine[~known], mine[known]])
+                runs.append(mine[: prefix_size(len(mine), similarity)])
+                nodes.append(node)
+                sizes.append(len(mine))
+            many = np.array([len(r) for r in runs[1:]], np.int64)
+            at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate(runs).view(np.int64)),
+                    pa.array(np.repeat(np.array(nodes, np.uint64), many).view(np.int64)),
+                    pa.array(np.repeat(np.array(sizes, np.int32), many), pa.int32()),
+                    pa.array(at.astype(np.int32)),
+                ],
+                names=["run", "node", "size", "at"],
+            )
+
+    return of
+
+
+def _shared_runs(docs: DataFrame, width: int, similarity: float, total: int) -> DataFrame:
+    """(run, node, size, at) for the runs that two texts at least have among their first ones."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[np.ndarray] | None = None
+
+        def shared(x: list[np.ndarray]) -> pa.RecordBatch:
+            run, node = x[0], x[1]
+            new = np.ones(len(run), bool)
+            new[1:] = (run[1:] != run[:-1]) | (node[1:] != node[:-1])
+            x = [c[new] for c in x]
+            again = x[0][1:] == x[0][:-1]
+            kept = np.append(again, False) | np.insert(again, 0, False) if len(x[0]) else np.zeros(0, bool)
+            return pa.RecordBatch.from_arrays([pa.array(c[kept]) for c in x], names=["run", "node", "size", "at"])
+
+        for batch in batches:
+            now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            rest = now if rest is None else [np.concatenate(c) for c in zip(rest, now)]
+            last = int(np.searchsorted(rest[0], rest[0][-1])) if len(rest[0]) else 0
+            if last:
+                yield shared([c[:last] for c in rest])
+                rest = [c[last:] for c in rest]
+        if rest is not None:
+            yield shared(rest)
+
+    schema = "run long, node long, size int, at int"
+    first = docs.select("text").mapInArrow(_prefixes(width, similarity, _common_runs(docs, width, total)), schema)
+    return first.repartition("run").sortWithinPartitions("run", "node").mapInArrow(of, schema)
+
+
+def pairs_within(columns: list[np.ndarray], similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (a < b) of one group's rows (group, node, size, at, root; sorted by group) that can be similar.
+
+    A pair passes at the first run that both texts have if it is similar: as many runs as it needs
+    must follow there on either side.
+    """
+    group, node, size, at, root = columns
+    left, step = np.arange(max(0, len(group) - 1)), 1
+    while len(left := left[left + step < len(group)]):
+        left = left[group[left] == group[left + step]]
+        for start in range(0, len(left), 1 << 20):
+            i = left[start : start + (1 << 20)]
+            j = i + step
+            need = similarity / (1 + similarity) * (size[i].astype(float) + size[j]) - 1e-6
+            hit = (root[i] != root[j]) & (np.minimum(size[i] - at[i], size[j] - at[j]) >= need)
+            hit &= np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-6
+            i, j = i[hit], j[hit]
+            yield np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
+        step += 1
+
+
+def _pairs(similarity: float):
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[np.ndarray] | None = None
+
+        def found(x: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            change = np.ones(len(x[0]), bool)
+            change[1:] = (x[0][1:] != x[0][:-1]) | (x[1][1:] != x[1][:-1])
+            for a, b in pairs_within([np.cumsum(change), *x[2:]], similarity):
+                if len(a):
+                    a, b = np.unique(np.stack([a, b]), axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        for batch in batches:
+            now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            rest = now if rest is None else [np.concatenate(c) for c in zip(rest, now)]
+            last = int(np.searchsorted(rest[0], rest[0][-1])) if len(rest[0]) else 0
+            if last:
+                yield from found([c[:last] for c in rest])
+                rest = [c[last:] for c in rest]
+        if rest is not None:
+            yield from found(rest)
+
+    return of
+
+
+def _proposed_by_runs(shared: DataFrame, roots: DataFrame, similarity: float, one: bool) -> DataFrame:
+    """Distinct pairs (a, b) that share a first run and aren't connected yet; ``one``: of one text of each root."""
+    rooted = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    if one:
+        best = F.min(F.struct("node", "size", "at")).alias("best")
+        rooted = rooted.groupBy("run", "root").agg(best).select("run", "best.node", "best.size", "best.at", "root")
+    rooted = cut_lineage(rooted)
+    # Runs that meet two roots at least; those with many texts are split like anchors.
+    many = rooted.groupBy("run").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
+    many = many.where("low != high").select("run", F.ceil(F.col("n") / HOT_ROWS).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64(F.lit(4), "node"), F.col("parts")).cast("int")
+    places = F.transform(
+        F.sequence(F.lit(0), F.col("parts") - 1),
+        lambda j: F.least(j, part) * F.col("parts") + F.greatest(j, part),
+    )
+    dealt = rooted.join(many, "run").select("run", F.explode(places).alias("place"), "node", "size", "at", "root")
+    dealt = dealt.repartition("run", "place").sortWithinPartitions("run", "place")
+    return cut_lineage(dealt.mapInArrow(_pairs(similarity), "a long, b long").distinct())
+
+
+def _confirm(similarity: float):
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = batch.column("a").to_numpy(), batch.column("b").to_numpy()
+            good = np.zeros(len(a), bool)
+            for k, (x, y) in enumerate(zip(batch.column("runs_a"), batch.column("runs_b"))):
+                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                good[k] = common >= similarity * (len(x) + len(y) - common)
+            yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(b[good])], names=["a", "b"])
+
+    return of
+
+
 def _verify(similarity: float):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -337,8 +507,10 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, key
 
     Word sequences that are equal (A-Z in any case) are one text. Three fingerprints of a text's
     distinct words propose groups at the anchors; within a group the runs of ``width`` words are
-    compared exactly, so no pair below ``similarity`` is linked. A fingerprint can miss a pair
-    (on the test documents the three together propose over 98 % of the pairs at 0.8). Null and
+    compared exactly, so no pair below ``similarity`` is linked. Pairs beyond the fingerprints are
+    proposed by a prefix filter: of two similar texts, the first runs (rare before common) have one
+    in common. First one text of each group meets those of others, then all that aren't connected
+    yet; so texts are connected exactly as by all pairs at ``similarity``. Null and
     empty texts are one text. A text is known by 64 bits of its words' hash. Null keys take part
     but never name a group. ``row`` is a hash of id and text that equal rows share.
     """
@@ -388,8 +560,18 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, key
         .repartition("root", "place")
         .sortWithinPartitions("root", "place")
     )
-    links = dealt.mapInArrow(_verify(similarity), "a long, b long")
+    links = cut_lineage(dealt.mapInArrow(_verify(similarity), "a long, b long"))
     roots = connected_components(links)
+    shared = cut_lineage(_shared_runs(docs, width, similarity, texts.count()))
+    for one in (True, False):
+        pairs = _proposed_by_runs(shared, roots, similarity, one)
+        wanted = pairs.select("a").union(pairs.select("b")).distinct().toDF("node")
+        chosen = wanted.join(texts, "node").select(F.col("first").alias("id"), "node")
+        sets = docs.select(F.col(key).alias("id"), "text").join(chosen, "id").select("node", "text")
+        sets = cut_lineage(sets.mapInArrow(_runs(width), "node long, runs binary"))
+        both = pairs.join(sets.toDF("a", "runs_a"), "a").join(sets.toDF("b", "runs_b"), "b")
+        links = cut_lineage(links.union(both.mapInArrow(_confirm(similarity), "a long, b long")))
+        roots = connected_components(links)
     rooted = texts.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root")
     return marks.join(named.select("node", "root", "component_id"), "node").select(

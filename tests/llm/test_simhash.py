@@ -100,3 +100,25 @@ def test_similar_groups_and_one_row_stays(documents, monkeypatch):
     assert kept.columns == docs.columns
     assert sorted((r.doc_id for r in kept.collect()), key=str) == [1, 10, 2, 3, None]
     assert simhash.without_copies(documents([])).count() == 0
+
+
+def brute_similar(texts, width=5, similarity=0.8):
+    runs = [set(simhash.shingle_hashes(t, width).tolist()) for t in texts]
+    return [(i, j) for i, j in itertools.combinations(range(len(texts)), 2)
+            if runs[i] and runs[j] and len(runs[i] & runs[j]) >= similarity * len(runs[i] | runs[j])]
+
+
+def test_similar_groups_equal_brute_force_on_appended_and_short_copies(documents):
+    draw = np.random.default_rng(8)
+    name = iter(range(10**6))
+    texts = []
+    for size in (8, 12, 20, 30, 60, 60, 60, 120, 120, 300) * 6:
+        original = [f"w{draw.integers(10**6)}" for _ in range(size)]
+        texts.append(" ".join(original))
+        more = [f"n{next(name)}" for _ in range(max(1, (size - 4) // 4))]
+        texts.append(" ".join(original + more))
+        texts.append(" ".join(original[max(1, (size - 4) // 5) :]))
+    want = components(range(len(texts)), lambda a, b, near=set(brute_similar(texts)): (a, b) in near)
+    assert sum(a != b for a, b in want.items()) > 80
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(documents(list(enumerate(texts)))).collect()}
+    assert got == want
