@@ -275,7 +275,12 @@ def _word_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _runs(width: int):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in pieces(batches):
+            # Equal rows are one text: a task gives it once as far as it remembers.
+            nodes = batch.column("node").to_pylist()
+            new = [i for i, n in enumerate(nodes) if n not in seen and (len(seen) >= 1 << 18 or seen.add(n) is None)]
+            batch = batch.take(pa.array(new, pa.int64()))
             sets = [np.unique(shingle_hashes(x.as_py(), width)).tobytes() for x in batch.column("text")]
             kept = [n for n in batch.schema.names if n != "text"]
             yield pa.RecordBatch.from_arrays(
@@ -495,6 +500,8 @@ def _verify(similarity: float):
                     yield links()
                     held = []
                 place = at
+                if held and held[-1][0] == row[2].as_py():
+                    continue
                 held.append((row[2].as_py(), [x.as_py() for x in row[3 : 3 + TABLES]], row[3 + TABLES].as_py()))
         if held:
             yield links()
@@ -502,6 +509,14 @@ def _verify(similarity: float):
     return of
 
 
+def _chosen_texts(docs: DataFrame, key: str, chosen: DataFrame) -> DataFrame:
+    """``chosen`` (row and more columns) with the text of its rows; equal rows each give one.
+
+    A row hash stands for one id and text, also where ids are null or repeated.
+    """
+    return docs.select(row_hash(key).alias("row"), "text").join(chosen, "row").drop("row")
+
+
 def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, key: str = "doc_id") -> DataFrame:
     """(row, key, root, component_id): documents connected by a Jaccard similarity of their word runs.
 
@@ -522,7 +537,9 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, key
     marks = cut_lineage(marks)
     texts = cut_lineage(
         marks.groupBy("node").agg(
-            F.min("id").alias("first"), F.first("n_words").alias("n_words"), *(F.first(x).alias(x) for x in fps)
+            F.min("id").alias("first"),
+            F.min("row").alias("row"),
+            F.first("n_words").alias("n_words"), *(F.first(x).alias(x) for x in fps)
         )
     )
     proposed = None
@@ -542,13 +559,8 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, key
         F.greatest(F.ceil(F.count("*") / GROUP_TEXTS), F.ceil(F.sum("n_words") * 8 / GROUP_BYTES)).cast("int").alias("parts")
     )
     members = cut_lineage(members.join(sizes, "root"))
-    # One document stands for each text; any of the rows with its id and words does.
-    chosen = members.select(F.col("first").alias("id"), "root", "parts", "node", *fps)
-    sets = (
-        docs.select(F.col(key).alias("id"), "text")
-        .join(chosen, "id")
-        .select("root", "parts", "node", *fps, "text")
-        .mapInArrow(_runs(width), f"root long, parts int, node long, {', '.join(f'{x} long' for x in fps)}, runs binary")
+    sets = _chosen_texts(docs, key, members.select("row", "root", "parts", "node", *fps)).mapInArrow(
+        _runs(width), f"root long, parts int, node long, {', '.join(f'{x} long' for x in fps)}, runs binary"
     )
     part = F.pmod(F.xxhash64(F.lit(3), "node"), F.col("parts")).cast("int")
     places = F.transform(
@@ -558,7 +570,7 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, key
     dealt = (
         sets.select("root", F.explode(places).alias("place"), "node", *fps, "runs")
         .repartition("root", "place")
-        .sortWithinPartitions("root", "place")
+        .sortWithinPartitions("root", "place", "node")
     )
     links = cut_lineage(dealt.mapInArrow(_verify(similarity), "a long, b long"))
     roots = connected_components(links)
@@ -566,9 +578,8 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, key
     for one in (True, False):
         pairs = _proposed_by_runs(shared, roots, similarity, one)
         wanted = pairs.select("a").union(pairs.select("b")).distinct().toDF("node")
-        chosen = wanted.join(texts, "node").select(F.col("first").alias("id"), "node")
-        sets = docs.select(F.col(key).alias("id"), "text").join(chosen, "id").select("node", "text")
-        sets = cut_lineage(sets.mapInArrow(_runs(width), "node long, runs binary"))
+        sets = _chosen_texts(docs, key, wanted.join(texts, "node").select("row", "node"))
+        sets = cut_lineage(sets.mapInArrow(_runs(width), "node long, runs binary").dropDuplicates(["node"]))
         both = pairs.join(sets.toDF("a", "runs_a"), "a").join(sets.toDF("b", "runs_b"), "b")
         links = cut_lineage(links.union(both.mapInArrow(_confirm(similarity), "a long, b long")))
         roots = connected_components(links)

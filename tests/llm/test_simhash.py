@@ -122,3 +122,18 @@ def test_similar_groups_equal_brute_force_on_appended_and_short_copies(documents
     assert sum(a != b for a, b in want.items()) > 80
     got = {r.doc_id: r.component_id for r in simhash.similar_groups(documents(list(enumerate(texts)))).collect()}
     assert got == want
+
+
+def test_near_copies_with_null_ids_and_unlike_texts_under_one_id(documents):
+    def edited(text):
+        return " ".join([*text.split()[:50], "edit", *text.split()[51:]])
+
+    one, two, three = (prose(s, 200) for s in (61, 62, 63))
+    rows = [(None, one), (None, edited(one)), (7, two), (7, three), (7, three), (7, prose(64, 200)), (8, edited(three)), (9, prose(65, 200))]
+    groups = simhash.similar_groups(documents(rows)).collect()
+    by_root = {}
+    for r in groups:
+        by_root.setdefault(r.root, []).append(r.doc_id)
+    assert sorted(map(lambda x: sorted(x, key=str), by_root.values()), key=str) == [[7, 7, 8], [7], [7], [9], [None, None]]
+    kept = [r.text for r in simhash.without_copies(documents(rows)).collect()]
+    assert sorted(kept) == sorted([next(t for t in kept if t in (one, edited(one))), two, three, prose(64, 200), prose(65, 200)])
