@@ -5,9 +5,12 @@ tags LT. Its composite density is C/T, adjusted for links by a logarithm whose b
 share of link text on the page and below the node. The density sum of a node adds the densities of
 its children. From the node with the largest sum the path to body is walked; the smallest density on
 it is the threshold. The chosen subtree is the one of the largest density sum; it grows to its
-parent while it holds less than a share of the text that passes the threshold there. Inside, what a
-page marks as something other than the article is left out, and so are blocks below the threshold
-that are mostly links.
+parent while it holds less than a share of the text that passes the threshold there. A page's only
+article element is preferred where it holds that share. Inside, elements that are never part of an
+article are left out, and so are blocks below the threshold that are mostly links. Class and id words
+only count where the measures agree: a marked node goes if its density is far below the page's or
+it is mostly links, or if a whole class or id is a plain name of such a part; never if it holds most
+of the page's text.
 """
 
 from __future__ import annotations
@@ -35,6 +38,13 @@ MARKS = re.compile(
     r"|share|sharing|social|related|recommended|widget|toolbar|pagination|pager|skip)(?:$|[-_\s\d])",
     re.IGNORECASE,
 )
+#: Names that as a whole class or id say what a node is.
+NAMES = frozenset(
+    "ad ads advert adverts advertisement advertising banner sponsored cookie cookies popup modal newsletter sidebar menu nav navbar "
+    "navigation breadcrumb breadcrumbs footer comment comments replies disqus toolbar pagination pager".split()
+)
+#: A marked node below this share of the page's density is beside the article.
+SPARSE = 0.5
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot "
@@ -51,10 +61,11 @@ SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("aside", "chars", "children", "density", "links", "parent", "tag", "tags", "total", "link_tags")
+    __slots__ = ("aside", "chars", "children", "density", "links", "marked", "named", "parent", "tag", "tags", "total", "link_tags")
 
     def __init__(self, tag: str, parent: Node | None, aside: bool = False) -> None:
         self.tag, self.parent, self.aside = tag, parent, aside
+        self.marked = self.named = False
         self.children: list[Node | str] = []
         self.chars = self.tags = self.links = self.link_tags = 0
         self.density = self.total = 0.0
@@ -91,9 +102,11 @@ class Tree(HTMLParser):
             or "hidden" in given
             or given.get("aria-hidden", "").lower() == "true"
             or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", given.get("style", ""), re.IGNORECASE))
-            or (tag not in ("html", "body", "article", "main") and bool(MARKS.search(words)))
         )
         node = Node(tag, self.open, aside)
+        if tag not in ("html", "body", "article", "main"):
+            node.marked = bool(MARKS.search(words))
+            node.named = not NAMES.isdisjoint(words.lower().split())
         self.open.children.append(node)
         if tag not in VOID:
             self.open = node
@@ -169,6 +182,8 @@ def measure(root: Node) -> list[Node]:
             node.density = node.chars / tags * lift
     for node in nodes[1:]:
         node.parent.total += node.density
+        if node.marked and 2 * (node.chars - node.links) <= page.chars - page.links:
+            node.aside |= node.named or node.density < SPARSE * page.density or 2 * node.links > node.chars
     return nodes
 
 
@@ -225,22 +240,15 @@ def main_text(html: str | None) -> str:
             threshold = min(threshold, path.density)
         path = path.parent
     own = next((n for n in seen if n.tag == "article"), None) if sum(n.tag == "article" for n in seen) == 1 else None
-    if own is not None and (best is own or _holds(own, best) or _holds(best, own)):
+    passing = _passing(body, threshold)
+    if own is not None and _passing(own, threshold) >= SHARE * passing:
         best = own
     else:
-        passing = _passing(body, threshold)
         while best is not body and _passing(best, threshold) < SHARE * passing and best.parent is not None:
             best = best.parent
     return "\n".join(_blocks(best, threshold))
 
 
-def _holds(outer: Node, inner: Node) -> bool:
-    node: Node | None = inner
-    while node is not None and node is not outer:
-        node = node.parent
-    return node is outer
-
-
 def _blocks(top: Node, threshold: float) -> list[str]:
     blocks: list[str] = []
     parts: list[str] = []

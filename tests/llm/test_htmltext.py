@@ -40,3 +40,19 @@ def test_rows(spark):
     size = len(ONE)
     assert got == sorted([(1, "u", size, size), (1, "u", size, size), (None, None, 0, 0), (2, "v", 2000 * size + 1999, 2000 * size + 1999)], key=repr)
     assert extract(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        (f"<body><nav><a>x</a></nav><main><h1>Head</h1><p>{ONE}</p><article><p>A short quote.</p></article><p>{TWO}</p></main></body>",
+         f"Head\n{ONE}\nA short quote.\n{TWO}"),
+        (f"<body><nav><a>x</a></nav><div class='content with-sidebar'><div class=elementor-widget-container><p>{ONE}</p><p>{TWO}</p></div></div></body>",
+         f"{ONE}\n{TWO}"),
+        (f"<body><div id=text><p>{ONE}</p><p>{TWO}</p><section id=related-work><p>{TWO}</p></section><div class=side-effects><p>{TWO}</p></div>"
+         f"<section id=discussion><p>{TWO}</p></section></div><div class=related-links><a>One</a> <a>Two</a> <a>Three</a></div></body>",
+         f"{ONE}\n{TWO}\n{TWO}\n{TWO}\n{TWO}"),
+    ],
+)
+def test_density_decides_over_names(html, text):
+    assert main_text(html) == text
