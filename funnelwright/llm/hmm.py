@@ -6,9 +6,9 @@ model is of bounded size while the word counts that it builds on grow with the c
 probability of a text is that of its class sequence and end under the HMM, times that of each word
 within its class, (c + 1) / (class tokens + class words + 1); all of it is learnt from the training
 rows. Latent states come from STATES-state Baum-Welch: expected counts are added up within each task,
-summed by class across partitions in a shuffle, and normalised on the driver. A few rounds over a
-bounded sample break the symmetry of the states, then ROUNDS rounds use every training text, in
-windows of WINDOW tokens (a window after the first starts from the occupancy of the states).
+summed by class across partitions in a shuffle, and normalised on the driver. Each of the ROUNDS
+rounds uses every training text, in windows of WINDOW tokens (a window after the first starts from
+the occupancy of the states).
 Scoring runs the exact recursion over whole texts.
 
 The DICTIONARY commonest words (of at most LONGEST bytes) travel with the tasks; the other tokens
@@ -31,7 +31,7 @@ from funnelwright.llm.common import cut_lineage, pieces, words
 
 STATES, OWN, SUFFIXES = 8, 8192, 2048
 DICTIONARY, LONGEST = 131_072, 64
-WINDOW, ROUNDS, SAMPLE_ROUNDS, SAMPLE_DOCS = 256, 2, 8, 2000
+WINDOW, ROUNDS = 256, 10
 SMOOTHING, SEED = 5.0, 11
 #: Distinct words a task counts before it hands them on, and tokens it scores at a time.
 DISTINCT, TOKENS = 400_000, 1 << 20
@@ -355,12 +355,9 @@ def score(docs: DataFrame, learnt: Column, held_out: Column, key: str = "doc_id"
     coded = source.mapInArrow(_encode(known), schema).withColumn("row", F.monotonically_increasing_id())
     coded = cut_lineage(coded)
     training, priors = coded.where("learnt"), known.priors()
-    scale = 1 << 30
-    share = int(min(1.0, SAMPLE_DOCS / max(1, known.ends)) * scale)
-    sample = cut_lineage(training.where(F.pmod(F.xxhash64(F.lit(SEED), "row"), F.lit(scale)) < share).select("classes").repartition(6))
     model = first_model(priors)
-    for texts in [sample] * SAMPLE_ROUNDS + [training] * ROUNDS:
-        model = baum_welch(texts, model, priors)
+    for _ in range(ROUNDS):
+        model = baum_welch(training, model, priors)
     hidden = coded.select("row", "classes").mapInArrow(_score(model), "row long, hidden double")
     rare = coded.select("row", F.explode("rare").alias("word")).join(counts, "word", "left")
     n = F.coalesce("n", F.lit(0))

@@ -83,3 +83,15 @@ def test_nothing_to_learn_from(documents):
     got = hmm.score(documents([(1, "a b"), (2, None)]), F.lit(False), F.lit(True)).collect()
     assert {(r.doc_id, r.n_known, r.train_tokens) for r in got} == {(1, 0, 0), (2, 0, 0)}
     assert hmm.score(documents([]), F.lit(True), F.lit(False)).count() == 0
+
+
+def test_every_round_uses_every_training_text(documents, monkeypatch):
+    seen, whole = [], hmm.baum_welch
+
+    def counted(texts, model, priors):
+        seen.append(texts.count())
+        return whole(texts, model, priors)
+
+    monkeypatch.setattr(hmm, "baum_welch", counted)
+    hmm.score(documents([(i, f"w{i % 7} v{i % 5}") for i in range(4000)]), F.lit(True), F.lit(False))
+    assert seen == [4000] * 10
