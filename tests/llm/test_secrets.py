@@ -52,3 +52,23 @@ def test_without_labels_every_candidate_counts(documents):
 def test_main_path_has_no_python(documents):
     plan = secrets.scan(documents(rows()))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_short_values_next_to_credential_names(documents):
+    extra = [(600, "my password = Tr0ub4dor&3 is set"), (601, "db postgres://bob:q7Zx2Lw9Tk@host/db up"), (602, 'pwd="correcthorse" here'),
+             (603, "the password is there and passage goes on")]
+    extra += [(700 + i, f"{prose(i, 6)} mysql://user{i}:{hashlib.md5(str(i).encode()).hexdigest()[:11]}@db{i}/x {prose(i, 5)}") for i in range(30)]
+    docs = documents(rows() + extra)
+    found = {(r.doc_id, r.value) for r in secrets.candidates(docs).collect()}
+    assert {(600, "Tr0ub4dor&3"), (601, "q7Zx2Lw9Tk"), (602, "correcthorse")} <= found
+    assert not any(d == 603 for d, _ in found)
+    texts = {r.doc_id: r.text for r in secrets.redacted(docs, secrets.scan(docs)).collect()}
+    assert texts[600] == "my password = [secret] is set"
+    assert texts[601] == "db postgres://bob:[secret]@host/db up"
+
+
+def test_clean_values_stay_where_no_forest_can_be_trained(documents):
+    clean = [(1, "order 1234567812345678 came"), (2, f"sha {hashlib.sha1(b'a').hexdigest()} of it"), (3, "see https://a.org/2024-05-a-long-page-title now"),
+             (4, "in posts/2024/a-long-page-title here")]
+    docs = documents(clean)
+    assert {r.text for r in secrets.redacted(docs, secrets.scan(docs)).collect()} == {t for _, t in clean}
