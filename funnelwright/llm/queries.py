@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from funnelwright.llm import decontam, hmm, htmltext, langid, mixing, secrets, simhash, suffix_dedup, topk, warc
+from funnelwright.llm import (
+    alignment,
+    conversations,
+    decontam,
+    hmm,
+    htmltext,
+    langid,
+    mixing,
+    secrets,
+    simhash,
+    suffix_dedup,
+    topk,
+    toxicity,
+    warc,
+)
 from funnelwright.llm.common import crc_fold, shared_path, table
 
 
@@ -63,6 +77,22 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rest.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.linked(table(spark, sf_dir, "documents"))
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fold = crc_fold(F.col("doc_id"), 3)
+    model = toxicity.fit(toxicity.labelled(docs, table(spark, sf_dir, "labels"), fold != 1))
+    held_out, predicted = F.coalesce(fold == 1, F.lit(False)), (F.col("score") >= toxicity.TOXIC).cast("int")
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(conversations.damaged(table(spark, sf_dir, "conversations"))).digests()
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_decontamination": op2_decontamination,
@@ -74,6 +104,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_topk": op8_topk,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_simhash": op10_simhash,
+    "op11_alignment": op11_alignment,
+    "op12_toxicity": op12_toxicity,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 ORACLES: dict[str, str] = {
