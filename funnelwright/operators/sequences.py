@@ -87,21 +87,26 @@ def join_history(mapping: DataFrame, features: DataFrame, sample: DataFrame, spe
 
 
 def running_lists(joined: DataFrame, spec: SequenceSpec) -> DataFrame:
-    """Running lists of every feature up to the current row, as a window.
+    """Running lists of every feature up to the current row: one row per distinct current row and label.
 
-    One row per distinct current row and label, null values left out of the lists. Each row of a key
-    holds a growing list, so this form suits small histories; ``sequence_lists`` gives the
-    same lists with bounded memory.
+    A list holds the values of the key's rows with no larger ``seq_hist`` (equal ones ordered by the
+    historical key), null values left out. The rows of a key are gathered once, not once for each of
+    them, and only its current rows are given out: nothing is larger than the lists that are asked for.
     """
-    window = Window.partitionBy(spec.key, spec.label).orderBy("seq_hist")
-    lists = [F.collect_list(c).over(window).alias(c) for c in spec.columns]
-    return joined.distinct().select(spec.key, "seq", "seq_hist", spec.label, *lists).where(
-        F.col("seq_hist") == F.col("seq")
+    rows = joined.groupBy(spec.key, spec.label).agg(F.array_sort(F.collect_set(_row_struct(spec, "seq"))).alias("rows"))
+    current = F.explode(F.filter("rows", lambda r: r["seq_hist"] == r["seq"]))
+
+    def values(column: str) -> Column:
+        past = F.filter("rows", lambda r: r["seq_hist"] <= F.col("now.seq_hist"))
+        return F.filter(F.transform(past, lambda r: r[column]), lambda v: v.isNotNull()).alias(column)
+
+    return rows.select("*", current.alias("now")).select(
+        spec.key, "now.seq", "now.seq_hist", spec.label, *[values(c) for c in spec.columns]
     )
 
 
-def _row_struct(spec: SequenceSpec) -> Column:
-    return F.struct("seq_hist", f"{spec.key}_hist", *spec.columns)
+def _row_struct(spec: SequenceSpec, *more: str) -> Column:
+    return F.struct("seq_hist", f"{spec.key}_hist", *spec.columns, *more)
 
 
 def _null_pattern(columns: Sequence[str]) -> Column:

@@ -6,6 +6,7 @@ from dataclasses import replace
 
 import pytest
 from conftest import plan
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from test_measures import gap_rule, padded_rule
 
@@ -82,6 +83,17 @@ def test_lists_equal_the_window_form(spark):
     assert window == grouped and len(window) > 15
 
 
+def test_running_lists_equal_a_window(spark):
+    mapping, features, sample = random_history(spark, 8, keys=30)
+    joined = join_history(*frames(spark, list(dict.fromkeys(mapping)), features, sample), SPEC)
+    window = Window.partitionBy(SPEC.key, SPEC.label).orderBy("seq_hist")
+    lists = joined.distinct().select("cas_pkey", "seq", "seq_hist", *[F.collect_list(c).over(window).alias(c) for c in SPEC.columns])
+    plain = lambda df: sorted(tuple(map(str, r)) for r in df.select("cas_pkey", *[F.array_sort(c) for c in SPEC.columns]).collect())
+    found = running_lists(joined, SPEC)
+    assert plain(found) == plain(lists.where("seq_hist = seq")) and found.count() > 15
+    assert "Window" not in plan(found)
+
+
 def test_unbounded_histories_are_cut_before_the_shuffle(spark):
     joined = join_history(*frames(spark, *random_history(spark, 6)), SPEC)
     text = plan(sequence_lists(joined, SPEC))
