@@ -65,13 +65,46 @@ def top_per_dimension(counts: DataFrame, by: Sequence[str] = (), top: int = TOP_
     return counts.withColumn("segment_rank", F.row_number().over(window)).where(F.col("segment_rank") <= top)
 
 
-def driver_package(segments: DataFrame, by: Sequence[str]) -> DataFrame:
+#: What a segment of a package says.
+SEGMENT_FIELDS = ("segment_rank", "segment_value", "cnt", "total_amt")
+CHANGE_FIELDS = ("segment_rank", "segment_value", "current", "baseline", "change", "size_effect", "mix_effect")
+
+
+def driver_package(
+    segments: DataFrame, by: Sequence[str], fields: Sequence[str] = SEGMENT_FIELDS, name: str = "top_drivers"
+) -> DataFrame:
     """One array of segment structs per package key and ``by`` group; a key without rows is empty.
 
     Takes the output of ``top_per_dimension``, so a group holds at most ``top`` rows per key.
     """
-    item = F.struct("segment_rank", "segment_value", "cnt", "total_amt")
+    item = F.struct(*fields)
     arrays = [
         F.array_sort(F.collect_list(F.when(F.col("dimension") == key, item))).alias(key) for key in PACKAGE_KEYS
     ]
-    return segments.groupBy(*by).agg(*arrays).select(*by, F.struct(*PACKAGE_KEYS).alias("top_drivers"))
+    return segments.groupBy(*by).agg(*arrays).select(*by, F.struct(*PACKAGE_KEYS).alias(name))
+
+
+def segment_changes(counts: DataFrame, pairs: DataFrame, top: int = TOP_SEGMENTS) -> DataFrame:
+    """Segments whose rows a day changed most from a baseline window to the current one, per pair and dimension.
+
+    ``counts``: window_id, dimension, segment_value, cnt. ``pairs``: pair_id, role (current, baseline),
+    window_id and its number of ``days``. A segment missing in one window has 0 there. The change is
+    split into two parts that add up to it: ``size_effect`` is what the segment would have changed at
+    its old share of all rows, ``mix_effect`` what comes from the change of its share.
+    """
+    met = counts.join(pairs, "window_id")
+
+    def rows_a_day(role: str) -> Column:
+        return F.sum(F.when(F.col("role") == role, F.col("cnt")).otherwise(0)) / F.max(F.when(F.col("role") == role, F.col("days")))
+
+    def both(*by: str, suffix: str = "") -> DataFrame:
+        sums = [F.coalesce(rows_a_day(r), F.lit(0.0)).alias(r + suffix) for r in ("current", "baseline")]
+        return met.groupBy("pair_id", "dimension", *by).agg(*sums)
+
+    share = F.coalesce(F.try_divide("baseline", "baseline_all"), F.lit(0.0))
+    compared = both("segment_value").join(both(suffix="_all"), ["pair_id", "dimension"]).withColumns(
+        {"change": F.col("current") - F.col("baseline"), "size_effect": share * (F.col("current_all") - F.col("baseline_all"))}
+    )
+    compared = compared.withColumn("mix_effect", F.col("change") - F.col("size_effect"))
+    window = Window.partitionBy("pair_id", "dimension").orderBy(F.desc(F.abs("change")), F.asc_nulls_first("segment_value"))
+    return compared.withColumn("segment_rank", F.row_number().over(window)).where(F.col("segment_rank") <= top)

@@ -4,17 +4,27 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from funnelwright.functions.measures import derive_windows, in_dates
 from funnelwright.functions.text import normalize_token, parse_structured_alerts
 from funnelwright.operators.catalog import resolve
 from funnelwright.operators.daily import daily_metrics, days_of
-from funnelwright.operators.drivers import driver_package, segment_counts, top_per_dimension
+from funnelwright.operators.drivers import (
+    CHANGE_FIELDS,
+    DIMENSION_COLUMNS,
+    driver_package,
+    segment_changes,
+    segment_counts,
+    top_per_dimension,
+)
 from funnelwright.operators.funnel import FunnelRules, FunnelTables, counts_from_cells, funnel_cells
+from funnelwright.operators.quality import Profiled, daily_profile, window_checks
 from funnelwright.operators.rca import OBSERVED, rca_package
+from funnelwright.operators.sampling import join_labels
 from funnelwright.sources.tables import cut_lineage
 
 WINDOW_FIELDS = ["start_date", "end_date", "baseline_start_date", "baseline_end_date"]
@@ -26,7 +36,8 @@ class RcaTables:
 
     funnel: the funnel inputs. driver_rows: one row per transaction with trans_dt, the
     dimension columns and the amount. metric_rows: rows with trans_dt and the ``metrics``
-    columns, keyed by variable id or hint name. checks: supplied data-quality checks.
+    columns, keyed by variable id or hint name. checks: supplied data-quality checks. profiled:
+    tables that the computed checks look at.
     """
 
     funnel: FunnelTables | None = None
@@ -37,8 +48,13 @@ class RcaTables:
     metric_rows: DataFrame | None = None
     metrics: Mapping[str, Column] = field(default_factory=dict)
     checks: DataFrame | None = None
+    profiled: Mapping[str, Profiled] = field(default_factory=dict)
 
 
+#: Ranges of days that a scan is filtered by at most; beyond, the nearest ones are joined.
+MOST_RANGES = 64
+#: Segments shown of those that changed most.
+CHANGES_SHOWN = 5
 #: Candidates shown of an ambiguous reference.
 SHOWN = 10
 
@@ -90,20 +106,49 @@ def _days_scanned(windows: DataFrame, date: str = "trans_dt") -> DataFrame:
     return days_of(windows, "start_date", "end_date", ["window_id", "end_date"], date)
 
 
-def days_spanned(windows: DataFrame) -> Column:
-    """Filter on trans_dt for the days from the first window to the last, as literal dates.
+def driver_inputs(tables: FunnelTables) -> tuple[DataFrame, dict[str, Column]]:
+    """Rows and dimensions for all keys of a driver package.
 
-    Literals reach the scans as pushed filters and prune date partitions.
+    Model and path of an authorization stand in its label, the zero-value flag in the analytics (the
+    largest where there are several); both are joined by key and day.
     """
-    first, last = windows.agg(F.min("start_date"), F.max("end_date")).first()
-    return F.lit(False) if first is None else in_dates("trans_dt", first, last)
+    on = ["cas_pkey", "trans_dt"]
+    labels = tables.labels.select(*on, "lift_frd_in", "modl_id", "lift_path_ds")
+    flags = tables.analytics.groupBy(*on).agg(F.max("zero_value_auth_ind").alias("zero_value_auth_ind"))
+    rows = join_labels(tables.authorizations, labels, on, "lift_frd_in").join(flags, on, "left")
+    columns = {
+        **DIMENSION_COLUMNS, "approval_code": "appr_deny_cd", "cm15": "cm15",
+        "canceled_plastic": "cancl_plastic_cd", "zero_value_auth": "zero_value_auth_ind",
+    }
+    return rows, {name: F.col(column) for name, column in columns.items()}
+
+
+def days_covered(windows: DataFrame) -> Column:
+    """Filter on trans_dt for the days of the windows, as ranges of literal dates.
+
+    Literals reach the scans as pushed filters and prune date partitions. Windows that touch or
+    overlap make one range; of more than MOST_RANGES ranges those with the shortest gaps are joined.
+    What comes to the driver is bounded by the number of days there are.
+    """
+    days = days_of(windows, "start_date", "end_date", []).distinct()
+    # One row a day: the window has as many rows as the calendar has days.
+    before = F.lag("trans_dt").over(Window.partitionBy(F.lit(0)).orderBy("trans_dt"))
+    starts = days.withColumn("before", before).where(F.col("before").isNull() | (F.datediff("trans_dt", "before") > 1))
+    borders = sorted((r.trans_dt, r.before) for r in starts.collect())
+    if not borders:
+        return F.lit(False)
+    last = days.agg(F.max("trans_dt")).first()[0]
+    gaps = sorted(borders[1:], key=lambda b: b[1] - b[0])[: MOST_RANGES - 1]
+    firsts = [borders[0][0], *sorted(start for start, _ in gaps)]
+    lasts = [*sorted(end for _, end in gaps), last]
+    return reduce(Column.__or__, [in_dates("trans_dt", first, end) for first, end in zip(firsts, lasts)])
 
 
 def window_stage_counts(
     tables: FunnelTables, rules: FunnelRules, windows: DataFrame, days: Column | None = None
 ) -> DataFrame:
     """Rows per day of each funnel stage and window, from one scan for all windows."""
-    cells = funnel_cells(tables, rules, days_spanned(windows) if days is None else days)
+    cells = funnel_cells(tables, rules, days_covered(windows) if days is None else days)
     counts = counts_from_cells(cells, windows, rules, ["window_id"])
     length = F.datediff("end_date", "start_date") + 1
     lengths = windows.select("window_id", length.alias("days"))
@@ -112,14 +157,55 @@ def window_stage_counts(
     )
 
 
-def window_drivers(tables: RcaTables, windows: DataFrame) -> DataFrame:
-    """Driver package per window. Segments are counted per day once, then summed per window."""
+def window_segments(tables: RcaTables, windows: DataFrame) -> DataFrame:
+    """Rows and amount of every segment per window. Segments are counted per day once, then summed per window."""
     daily = segment_counts(tables.driver_rows, tables.dimensions, tables.amount, ["trans_dt"])
     in_window = daily.join(_days_scanned(windows), "trans_dt")
-    sums = in_window.groupBy("window_id", "dimension", "segment_value").agg(
+    return in_window.groupBy("window_id", "dimension", "segment_value").agg(
         F.sum("cnt").alias("cnt"), F.sum("total_amt").alias("total_amt")
     )
-    return driver_package(top_per_dimension(sums, ["window_id"]), ["window_id"])
+
+
+def window_drivers(tables: RcaTables, windows: DataFrame) -> DataFrame:
+    """Driver package per window."""
+    return driver_package(top_per_dimension(window_segments(tables, windows), ["window_id"]), ["window_id"])
+
+
+def window_pairs(alerts: DataFrame) -> DataFrame:
+    """Distinct pairs of windows: pair_id and the four dates; many alerts can share one."""
+    return alerts.select(_pair_id(), *WINDOW_FIELDS).distinct()
+
+
+def _pair_id() -> Column:
+    return F.concat_ws("_", *WINDOW_FIELDS).alias("pair_id")
+
+
+def alert_drivers(tables: RcaTables, alerts: DataFrame, windows: DataFrame) -> DataFrame:
+    """alert_id, top_drivers and baseline_drivers (packages of the two windows), driver_changes.
+
+    The segments of all windows are counted once and written; the packages and the comparison, made
+    per window and per pair of windows, start from there.
+    """
+    counts = cut_lineage(window_segments(tables, windows))
+    packages = cut_lineage(driver_package(top_per_dimension(counts, ["window_id"]), ["window_id"]))
+    long = alert_windows(alerts)
+    roles = [
+        long.where(F.col("role") == role).join(packages, "window_id").select("alert_id", F.col("top_drivers").alias(name))
+        for role, name in (("current", "top_drivers"), ("baseline", "baseline_drivers"))
+    ]
+    pairs = window_pairs(alerts)
+    sides = alert_windows(pairs.withColumnRenamed("pair_id", "alert_id")).withColumnRenamed("alert_id", "pair_id")
+    sides = sides.select("pair_id", "role", "window_id", (F.datediff("end_date", "start_date") + 1).alias("days"))
+    changed = driver_package(segment_changes(counts, sides, CHANGES_SHOWN), ["pair_id"], CHANGE_FIELDS, "driver_changes")
+    of_alert = alerts.select("alert_id", _pair_id()).join(changed, "pair_id").drop("pair_id")
+    return of_alert.join(roles[0], "alert_id", "left").join(roles[1], "alert_id", "left")
+
+
+def alert_checks(tables: RcaTables, alerts: DataFrame, days: Column) -> DataFrame:
+    """Computed checks per alert: alert_id, position, name, status, details."""
+    profile = cut_lineage(daily_profile(tables.profiled, days))
+    checks = window_checks(profile, window_pairs(alerts), list(tables.profiled))
+    return alerts.select("alert_id", _pair_id()).join(checks, "pair_id").drop("pair_id")
 
 
 def window_metrics(tables: RcaTables, windows: DataFrame) -> DataFrame:
@@ -165,6 +251,8 @@ def observed_metrics(alerts: DataFrame, windows: DataFrame, measured: DataFrame)
 def analyze_alerts(alerts: DataFrame, metadata: DataFrame, tables: RcaTables, today: str | None = None) -> DataFrame:
     """One row per alert: status, candidates and, if resolved, the package of findings.
 
+    With driver rows the package also has ``baseline_drivers`` and ``driver_changes``, the segments
+    that changed most between the windows; with profiled tables its checks are computed.
     Each fact table is scanned once for all alerts together: counts are kept per day and
     summed over the windows of the alerts afterwards. Baselines are per-day averages, so a
     3-day window compares with a 28-day one. The resolved alerts are written once to the
@@ -174,9 +262,8 @@ def analyze_alerts(alerts: DataFrame, metadata: DataFrame, tables: RcaTables, to
     good = known.where(F.col("status") == "success")
     per_alert = alert_windows(good)
     windows = per_alert.select("window_id", "start_date", "end_date").distinct()
-    current = per_alert.where(F.col("role") == "current").select("alert_id", "window_id")
 
-    days = days_spanned(windows)
+    days = days_covered(windows)
     stages = drivers = metrics = None
     if tables.funnel is not None:
         counts = window_stage_counts(tables.funnel, tables.rules, windows, days)
@@ -191,11 +278,19 @@ def analyze_alerts(alerts: DataFrame, metadata: DataFrame, tables: RcaTables, to
         )
     if tables.driver_rows is not None:
         scanned = replace(tables, driver_rows=tables.driver_rows.where(days))
-        drivers = current.join(window_drivers(scanned, windows), "window_id")
+        drivers = cut_lineage(alert_drivers(scanned, good, windows))
     if tables.metric_rows is not None:
         scanned = replace(tables, metric_rows=tables.metric_rows.where(days))
         metrics = observed_metrics(good, per_alert, window_metrics(scanned, windows))
 
-    package = rca_package(good, metrics, stages, drivers, tables.checks)
+    checks = tables.checks
+    if tables.profiled:
+        computed = alert_checks(tables, good, days)
+        # Supplied checks come after the computed ones.
+        checks = computed if checks is None else computed.unionByName(checks.withColumn("position", F.lit(99)), allowMissingColumns=True)
+
+    package = rca_package(good, metrics, stages, drivers, checks)
+    if drivers is not None:
+        package = package.join(drivers.drop("top_drivers"), "alert_id", "left")
     heads = known.select("alert_id", "status", F.when(F.col("status") != "success", F.col("candidates")).alias("candidates"))
     return heads.join(package, "alert_id", "left")

@@ -8,6 +8,7 @@ flags and referral codes, ``customer`` the analytics, ``events`` the transaction
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from funnelwright.functions.text import parse_alerts, parse_structured_alerts
 from funnelwright.operators import catalog as lookups
 from funnelwright.operators import chatlog, rca
 from funnelwright.operators.daily import daily_metric, with_delta
-from funnelwright.operators.drivers import driver_package, segment_counts, top_per_dimension, top_segments
+from funnelwright.operators.drivers import PACKAGE_KEYS, driver_package, segment_counts, top_per_dimension, top_segments
 from funnelwright.operators.funnel import (
     FunnelRules,
     FunnelTables,
@@ -26,6 +27,7 @@ from funnelwright.operators.funnel import (
     stage_frames,
 )
 from funnelwright.operators.history import Exclusion, history_map
+from funnelwright.operators.quality import Profiled, daily_profile, window_checks
 from funnelwright.operators.sampling import join_labels, key_uniform, label_preserving_sample
 from funnelwright.operators.sequences import (
     SequenceSpec,
@@ -36,8 +38,9 @@ from funnelwright.operators.sequences import (
     running_lists,
     sequence_lists,
 )
+from funnelwright.operators.scorecard import feature_shift, month_summary, score_metrics
 from funnelwright.plans.alert_daily import alert_requests, daily_history
-from funnelwright.plans.alert_rca import RcaTables, analyze_alerts
+from funnelwright.plans.alert_rca import RcaTables, analyze_alerts, driver_inputs
 from funnelwright.plans.sequence_prep import PrepInputs, PrepParams, sequence_prep
 from funnelwright.sources.batch import run_profile, run_queries
 from funnelwright.sources.catalogs import catalog_from, metadata_from
@@ -685,20 +688,47 @@ def alert_history(spark: SparkSession, sf: str) -> DataFrame:
     return history.withColumns({c: average(c) for c in ("avg_metric", "metric_delta")})
 
 
+def profiled_tables(spark: SparkSession, sf: str) -> dict[str, Profiled]:
+    """Tables behind the alerts, with their keys; some lines lack theirs."""
+    lines = table(spark, sf, "lineitem").select(
+        F.when((F.col("l_linenumber") < 7) | (F.col("l_tax") < 0.08), F.col("l_orderkey")).alias("order_key"), F.to_date("l_shipdate").alias("shipped")
+    )
+    return {"orders": Profiled(authorizations(spark, sf), ["cas_pkey", "cm13"]), "lines": Profiled(lines, ["order_key"], "shipped")}
+
+
 def alert_rca(spark: SparkSession, sf: str) -> DataFrame:
-    """The whole analysis for every alert: parse, resolve, funnel, drivers, metric, findings."""
+    """The whole analysis for every alert: parse, resolve, funnel, drivers of both windows, checks, metric, findings."""
     rows = authorizations(spark, sf)
+    funnel = funnel_tables(spark, sf)
+    driver_rows, dimensions = driver_inputs(funnel)
     tables = RcaTables(
-        funnel=funnel_tables(spark, sf),
+        funnel=funnel,
         rules=RULES,
-        driver_rows=rows,
-        dimensions={"mcc": F.col("cm11"), "country": F.col("country_cd")},
+        driver_rows=driver_rows,
+        dimensions=dimensions,
         amount=F.col("amount"),
         metric_rows=rows,
         metrics={"urgent": F.when(F.col("cm11") == "1-URGENT", F.col("amount")), "amount": F.col("amount")},
+        profiled=profiled_tables(spark, sf),
     )
     found = analyze_alerts(alert_rows(spark, sf), feature_metadata(spark, sf), tables, TODAY)
     stage = F.get(F.filter("stage_diagnostics", lambda s: s["flagged"]), F.lit(0))
+
+    def first(package: str, key: str) -> Column:
+        return F.get(f"{package}.{key}", F.lit(0))
+
+    def named(package: str, *fields: str) -> Column:
+        """``key=segment`` (and more) of the first segment of each key that has one."""
+        texts = [
+            F.when(F.size(f"{package}.{k}") > 0, F.concat(F.lit(f"{k}="), F.concat_ws(":", *[F.coalesce(first(package, k)[f].cast("string"), F.lit("none")) for f in fields])))
+            for k in PACKAGE_KEYS
+        ]
+        return F.when(F.col("status") == "success", F.concat_ws(",", *texts))
+
+    def total(field: str) -> Column:
+        return reduce(Column.__add__, [F.coalesce(first("driver_changes", k)[field], F.lit(0.0)) for k in PACKAGE_KEYS])
+
+    each = lambda field: F.array_join(F.transform("data_quality_checks", lambda c: c[field]), "|")
     return found.select(
         "alert_id",
         "status",
@@ -712,9 +742,24 @@ def alert_rca(spark: SparkSession, sf: str) -> DataFrame:
         stage["stage"].alias("flagged_stage"),
         F.get("top_drivers.mcc", F.lit(0))["segment_value"].alias("top_mcc"),
         F.get("top_drivers.mcc", F.lit(0))["cnt"].alias("top_mcc_cnt"),
+        named("top_drivers", "segment_value", "cnt").alias("drivers"),
+        named("baseline_drivers", "segment_value", "cnt").alias("drivers_before"),
+        named("driver_changes", "segment_value").alias("changed"),
+        F.when(F.col("status") == "success", average(total("change"))).alias("changed_by"),
+        F.when(F.col("status") == "success", average(total("mix_effect"))).alias("changed_by_mix"),
+        each("status").alias("check_status"),
+        each("details").alias("check_details"),
     )
 
 
+def computed_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """The computed checks of a three-day window against four weeks before, for every day with an order."""
+    tables = profiled_tables(spark, sf)
+    days = authorizations(spark, sf).select(F.col("trans_dt").alias("alert_date")).distinct()
+    found = window_checks(daily_profile(tables), derive_windows(days), list(tables), ["alert_date"])
+    return found.drop("position")
+
+
 def draws(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").select("o_orderkey", F.round(key_uniform("o_orderkey"), 9).alias("u"))
 
@@ -765,6 +810,38 @@ def numbers_from_text(spark: SparkSession, sf: str) -> DataFrame:
     return orders.select("o_orderkey", "number_text", safe_double("number_text").alias("number"))
 
 
+def scored_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Order lines with a score (some without, some in steps, so that many are tied) and a label (open ones without)."""
+    score = F.when(F.col("l_suppkey") % 3 == 0, F.floor(F.col("l_extendedprice") / 5000) * 5000).otherwise(F.col("l_extendedprice"))
+    return table(spark, sf, "lineitem").select(
+        F.when(F.col("l_linenumber") < 7, score).alias("score"),
+        F.when(F.col("l_returnflag") == "R", 1).when(F.col("l_returnflag") == "A", 0).alias("label"),
+        F.col("l_linestatus").alias("line_status"),
+        F.when(F.col("l_linenumber") != 3, F.col("l_linenumber")).alias("line"),
+    )
+
+
+def scored_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Coverage, hit rate, accuracy, KS and Gini of the scored lines, as a whole and by segment."""
+    segments = {"line_status": F.col("line_status"), "line": F.col("line")}
+    found = score_metrics(scored_lines(spark, sf), F.col("score"), F.col("label"), 40_000, segments)
+    return found.withColumns({c: F.round(c, 9) for c in ("coverage", "hitrate", "accuracy", "gini", "ks")})
+
+
+def month_shift(spark: SparkSession, sf: str) -> DataFrame:
+    """Shift of three features of the lines shipped in May and June 1998."""
+    lines = table(spark, sf, "lineitem")
+    features = {
+        "quantity": F.when(F.col("l_linenumber") < 7, F.col("l_quantity")),
+        "price": F.col("l_extendedprice"),
+        "discount": F.when(F.col("l_shipdate") < F.lit("1998-06-01").cast("date"), F.col("l_discount")),
+    }
+    summary = month_summary(lines, F.date_format("l_shipdate", "yyyy-MM"), features, {"price": 100})
+    shift = feature_shift(summary, "1998-06", "1998-05")
+    kept = ("feature", "n_current", "n_baseline")
+    return shift.select(*kept, *[F.round(c, 6).alias(c) for c in shift.columns if c not in kept])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "driver_top_segments": driver_top_segments,
     "driver_all_dimensions": driver_all_dimensions,
@@ -784,6 +861,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "rca_package": rca_package,
     "rca_compact": rca_compact,
     "alert_rca": alert_rca,
+    "computed_checks": computed_checks,
     "alert_history": alert_history,
     "history_pairs": history_pairs,
     "bucketed_features": bucketed_features,
@@ -809,4 +887,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "messy_metadata": messy_metadata,
     "messy_catalog": messy_catalog,
     "numbers_from_text": numbers_from_text,
+    "score_metrics": scored_table,
+    "feature_shift": month_shift,
 }
