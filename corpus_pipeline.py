@@ -22,8 +22,11 @@ LEAST_SCORE = 0.2
 
 
 def _without(docs: DataFrame, row: str, bad: DataFrame) -> DataFrame:
-    """``docs`` (with their row hash in column ``row``) that aren't listed, as they were."""
-    return docs.join(bad.select(row).distinct(), row, "left_anti").drop(row)
+    """``docs`` (with their row hash in column ``row``) that aren't listed, as they were.
+
+    The list is written first: where it is short, Spark sees that and moves no text.
+    """
+    return docs.join(cut_lineage(bad.select(row).distinct()), row, "left_anti").drop(row)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +38,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays (five words, similarity 0.8)."""
+    """One document of each group of near copies stays (three words, at most three differing bits)."""
     return simhash.without_copies(docs)
 
 
@@ -65,7 +68,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("source_mix", source_mix),
 ]
 
-#: Trained models and similarity of word runs can't be said in SQL; the tests use brute force.
+#: Trained models and fingerprints can't be said in SQL; the tests use brute force.
 ORACLE_SQL: str | None = None
 
 
