@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from funnelwright.sources.tables import cut_lineage, shared_folder
 
-__all__ = ["connected_components", "crc_fold", "cut_lineage", "fresh", "pieces", "row_hash", "shared_path", "table", "words"]
+__all__ = ["connected_components", "crc_fold", "cut_lineage", "fresh", "least_count", "pieces", "remembered", "row_hash", "shared_path", "table", "words"]
 
 #: A task works on texts of about so many bytes at a time.
 CHUNK_BYTES = 4 << 20
@@ -36,6 +37,30 @@ def crc_fold(key: Column, folds: int) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % folds
 
 
+class _Memory(dict):
+    """Results that stay where they were made: a copy sent to a task starts empty."""
+
+    def __reduce__(self):
+        return _Memory, ()
+
+
+def remembered(make: Callable) -> Callable:
+    """``make`` with its results kept per argument list, as a function that can travel to tasks.
+
+    ``functools.cache`` makes an object that is sent by name, which executors without this package
+    can't look up.
+    """
+    memory = _Memory()
+
+    @wraps(make)
+    def kept(*arguments):
+        if arguments not in memory:
+            memory[arguments] = make(*arguments)
+        return memory[arguments]
+
+    return kept
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """The name, or the name with underscores if a column of ``df`` has it."""
     taken = {c.lower() for c in df.columns}
@@ -49,6 +74,28 @@ def row_hash(key: str, text: str = "text") -> Column:
     return F.xxhash64(F.col(key), F.lit(7), F.col(text))
 
 
+def least_count(counted: DataFrame, most: int, column: str = "n") -> int:
+    """The smallest count that no more than ``most`` rows of ``counted`` have or pass (1 if all may stay).
+
+    Rows of equal count stay or go together, so nothing has to be sorted: first the power of two is
+    found in which the limit falls, then the counts within it are tallied.
+    """
+    power = F.floor(F.log2(column)).cast("int")
+    above = 0
+    for step in sorted(counted.groupBy(power.alias("power")).agg(F.count("*").alias("rows")).collect(), key=lambda r: -r.power):
+        if above + step.rows > most:
+            inside = counted.where(power == step.power).groupBy(F.col(column).alias("n")).agg(F.count("*").alias("rows"))
+            least = 2 ** (step.power + 1)
+            for row in sorted(inside.collect(), key=lambda r: -r.n):
+                above += row.rows
+                if above > most:
+                    break
+                least = row.n
+            return least
+        above += step.rows
+    return 1
+
+
 def words(text: str | None) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text with A-Z in lower case, as UTF-8.
 

@@ -11,14 +11,13 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from funnelwright.llm.common import pieces
+from funnelwright.llm.common import pieces, remembered
 
 LENGTH, ORDERS, UNKNOWN = 300, 3, "und"
 #: Languages a profile table may have: bounds what is sent to the tasks (20 bytes for each n-gram).
@@ -27,7 +26,7 @@ MOST_LANGUAGES = 2000
 STRIP = 1 << 20
 
 
-@cache
+@remembered
 def _letters() -> np.ndarray:
     """True for the code points that are letters."""
     return np.array([chr(c).isalpha() for c in range(0x110000)])

@@ -18,9 +18,7 @@ reduced to a forest before they leave the task. Anchors with many fingerprints (
 from __future__ import annotations
 
 import itertools
-import math
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from funnelwright.llm.common import connected_components, cut_lineage, forest, fresh, pieces, row_hash, words
+from funnelwright.llm.common import connected_components, cut_lineage, forest, fresh, pieces, remembered, row_hash, words
 
 SEED = 42
 THRESHOLD = 3
@@ -77,7 +75,7 @@ def fingerprints(docs: DataFrame, width: int = 3, key: str = "doc_id", text: str
     return docs.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(of, f"{key} {kind}, fp long")
 
 
-@cache
+@remembered
 def _cosets(reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Syndromes of the bytes of a word; for each syndrome the ways to codewords, and their levels.
 
@@ -185,11 +183,10 @@ def _compare(accept: int):
     return of
 
 
-def similar_pairs(distinct: DataFrame, threshold: int = THRESHOLD, accept: int | None = None) -> DataFrame:
+def similar_pairs(distinct: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """Links (a, b) between distinct fingerprints (column fp) at most ``threshold`` bits apart.
 
-    Enough of the links that the same fingerprints are connected as by all of them. ``accept``
-    also links those up to so many bits apart that happen to meet at an anchor.
+    Enough of the links that the same fingerprints are connected as by all of them.
     """
     replicas = distinct.mapInArrow(_replicate(threshold), "anchor long, fp long, near boolean")
     probe = distinct.where(F.pmod(F.xxhash64(F.lit(1), "fp"), F.lit(PROBE)) == 0)
@@ -213,7 +210,7 @@ def similar_pairs(distinct: DataFrame, threshold: int = THRESHOLD, accept: int |
         "near",
     )
     dealt = spread.repartition("anchor", "place").sortWithinPartitions("anchor", "place")
-    return dealt.mapInArrow(_compare(threshold if accept is None else accept), "a long, b long")
+    return dealt.mapInArrow(_compare(threshold), "a long, b long")
 
 
 def near_groups(docs: DataFrame, width: int = 3, threshold: int = THRESHOLD, key: str = "doc_id") -> DataFrame:
@@ -238,371 +235,18 @@ def fingerprint_hex(fp: str = "fp") -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-# Near copies by similarity of word runs: fingerprints and rare runs only propose, the runs decide.
+def without_copies(docs: DataFrame, width: int = 3, threshold: int = THRESHOLD, key: str = "doc_id") -> DataFrame:
+    """``docs`` with one row of each group of ``near_groups``: the one with the smallest key.
 
-#: Independent fingerprints of the distinct words, their threshold at the anchors, and the distance
-#: up to which two texts that meet at an anchor are compared. They link most copies in whole groups;
-#: no link depends on them, as ``_shared_runs`` proposes every pair that they leave. Beyond 8 bits,
-#: chains of unlike short texts join groups that have nothing in common.
-TABLES, WORD_THRESHOLD, ACCEPT = 3, 4, 8
-#: Texts whose runs tell the common runs, in how many of them a run is common, and how many are kept.
-ORDER_TEXTS, COMMON, COMMON_RUNS = 20_000, 8, 200_000
-#: A group of proposed texts is split beyond so many texts or bytes of runs.
-GROUP_TEXTS, GROUP_BYTES = 2048, 32 << 20
-
-
-def _word_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    digest = xxhash.xxh64_intdigest
-    for batch in pieces(batches):
-        nodes, sizes, fps = [], [], [[] for _ in range(TABLES)]
-        for text in batch.column("text"):
-            found = words(text.as_py())
-            nodes.append(digest(b" ".join(found), SEED))
-            sizes.append(len(found))
-            base = np.fromiter((digest(w, SEED) for w in set(found)), np.uint64)
-            for k in range(TABLES):
-                # Another hash of each word from its first: multiply and fold.
-                mixed = (base ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) & (2**64 - 1))) * np.uint64(0xC2B2AE3D27D4EB4F)
-                mixed ^= mixed >> np.uint64(29)
-                mixed *= np.uint64(0x165667B19E3779F9)
-                fps[k].append(fingerprint(mixed ^ (mixed >> np.uint64(32))))
-        longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (nodes, *fps)]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("row"), batch.column("id"), longs[0], pa.array(sizes, pa.int64()), *longs[1:]],
-            names=["row", "id", "node", "n_words", *(f"fp{k}" for k in range(TABLES))],
-        )
-
-
-def _runs(width: int):
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in pieces(batches):
-            # Equal rows are one text: a task gives it once as far as it remembers.
-            nodes = batch.column("node").to_pylist()
-            new = [i for i, n in enumerate(nodes) if n not in seen and (len(seen) >= 1 << 18 or seen.add(n) is None)]
-            batch = batch.take(pa.array(new, pa.int64()))
-            sets = [np.unique(shingle_hashes(x.as_py(), width)).tobytes() for x in batch.column("text")]
-            kept = [n for n in batch.schema.names if n != "text"]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(n) for n in kept), pa.array(sets, pa.binary())], names=[*kept, "runs"]
-            )
-
-    return of
-
-
-def similar_within(nodes: np.ndarray, fps: np.ndarray, runs: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """Links of texts (fps: a row for each) with a Jaccard similarity of their runs, as a forest.
-
-    Texts close to the majority of all fingerprints come first: an original links its copies at
-    once, and texts already connected are not compared again.
-    """
-    bits = np.unpackbits(np.ascontiguousarray(fps[:, 0]).view(np.uint8).reshape(-1, 8), axis=1)
-    centre = np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(bits)).view(np.uint64)[0]
-    order = np.argsort(np.bitwise_count(fps[:, 0] ^ centre), kind="stable")
-    label, found = np.arange(len(nodes)), []
-    sizes = np.array([len(r) for r in runs])
-    for i in order:
-        near = (np.bitwise_count(fps ^ fps[i]) <= ACCEPT).any(axis=1) & (label != label[i])
-        near &= np.minimum(sizes, sizes[i]) >= similarity * np.maximum(sizes, sizes[i])
-        for j in np.flatnonzero(near):
-            if label[i] == label[j]:
-                continue
-            common = len(np.intersect1d(runs[i], runs[j], assume_unique=True))
-            if common >= similarity * (sizes[i] + sizes[j] - common):
-                found.append((int(nodes[i]), int(nodes[j])))
-                label[label == label[j]] = label[i]
-    return found
-
-
-def prefix_size(size: int, similarity: float) -> int:
-    """So many first runs, in any order that all texts share, hold a run of every similar text."""
-    return size - math.ceil(similarity * size - 1e-9) + 1 if size else 0
-
-
-def _common_runs(docs: DataFrame, width: int, total: int) -> np.ndarray:
-    """Runs that many texts of a sample use, sorted. They decide the order of runs only, not what is found."""
-
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
-            sets = [np.unique(shingle_hashes(x.as_py(), width)) for x in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], names=["run"])
-
-    scale = 1 << 30
-    share = int(min(1.0, ORDER_TEXTS / max(1, total)) * scale)
-    sample = docs.where(F.pmod(F.xxhash64(F.lit(SEED), "text"), F.lit(scale)) < share).select("text").distinct()
-    counted = sample.mapInArrow(of, "run long").groupBy("run").count().where(F.col("count") >= COMMON)
-    runs = counted.orderBy(F.desc("count"), "run").limit(COMMON_RUNS).select("run").toArrow().column("run")
-    return np.sort(runs.to_numpy().view(np.uint64))
-
-
-def _prefixes(width: int, similarity: float, common: np.ndarray):
-    """(run, node, size, at): the first runs of each text, rare ones before common ones."""
-
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in pieces(batches):
-            runs, nodes, sizes = [np.empty(0, np.uint64)], [], []
-            for text in batch.column("text"):
-                node = xxhash.xxh64_intdigest(b" ".join(words(text.as_py())), SEED)
-                if node in seen:
-                    continue
-                if len(seen) < 1 << 18:
-                    seen.add(node)
-                mine = np.unique(shingle_hashes(text.as_py(), width))
-                if len(common):
-                    known = common[np.minimum(np.searchsorted(common, mine), len(common) - 1)] == mine
-                    mine = np.concatenate([mine[~known], mine[known]])
-                runs.append(mine[: prefix_size(len(mine), similarity)])
-                nodes.append(node)
-                sizes.append(len(mine))
-            many = np.array([len(r) for r in runs[1:]], np.int64)
-            at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate(runs).view(np.int64)),
-                    pa.array(np.repeat(np.array(nodes, np.uint64), many).view(np.int64)),
-                    pa.array(np.repeat(np.array(sizes, np.int32), many), pa.int32()),
-                    pa.array(at.astype(np.int32)),
-                ],
-                names=["run", "node", "size", "at"],
-            )
-
-    return of
-
-
-def _shared_runs(docs: DataFrame, width: int, similarity: float, total: int) -> DataFrame:
-    """(run, node, size, at) for the runs that two texts at least have among their first ones."""
-
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[np.ndarray] | None = None
-
-        def shared(x: list[np.ndarray]) -> pa.RecordBatch:
-            run, node = x[0], x[1]
-            new = np.ones(len(run), bool)
-            new[1:] = (run[1:] != run[:-1]) | (node[1:] != node[:-1])
-            x = [c[new] for c in x]
-            again = x[0][1:] == x[0][:-1]
-            kept = np.append(again, False) | np.insert(again, 0, False) if len(x[0]) else np.zeros(0, bool)
-            return pa.RecordBatch.from_arrays([pa.array(c[kept]) for c in x], names=["run", "node", "size", "at"])
-
-        for batch in batches:
-            now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            rest = now if rest is None else [np.concatenate(c) for c in zip(rest, now)]
-            last = int(np.searchsorted(rest[0], rest[0][-1])) if len(rest[0]) else 0
-            if last:
-                yield shared([c[:last] for c in rest])
-                rest = [c[last:] for c in rest]
-        if rest is not None:
-            yield shared(rest)
-
-    schema = "run long, node long, size int, at int"
-    first = docs.select("text").mapInArrow(_prefixes(width, similarity, _common_runs(docs, width, total)), schema)
-    return first.repartition("run").sortWithinPartitions("run", "node").mapInArrow(of, schema)
-
-
-def pairs_within(columns: list[np.ndarray], similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (a < b) of one group's rows (group, node, size, at, root; sorted by group) that can be similar.
-
-    A pair passes at the first run that both texts have if it is similar: as many runs as it needs
-    must follow there on either side.
-    """
-    group, node, size, at, root = columns
-    left, step = np.arange(max(0, len(group) - 1)), 1
-    while len(left := left[left + step < len(group)]):
-        left = left[group[left] == group[left + step]]
-        for start in range(0, len(left), 1 << 20):
-            i = left[start : start + (1 << 20)]
-            j = i + step
-            need = similarity / (1 + similarity) * (size[i].astype(float) + size[j]) - 1e-6
-            hit = (root[i] != root[j]) & (np.minimum(size[i] - at[i], size[j] - at[j]) >= need)
-            hit &= np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-6
-            i, j = i[hit], j[hit]
-            yield np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
-        step += 1
-
-
-def _pairs(similarity: float):
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[np.ndarray] | None = None
-
-        def found(x: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            change = np.ones(len(x[0]), bool)
-            change[1:] = (x[0][1:] != x[0][:-1]) | (x[1][1:] != x[1][:-1])
-            for a, b in pairs_within([np.cumsum(change), *x[2:]], similarity):
-                if len(a):
-                    a, b = np.unique(np.stack([a, b]), axis=1)
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-        for batch in batches:
-            now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            rest = now if rest is None else [np.concatenate(c) for c in zip(rest, now)]
-            last = int(np.searchsorted(rest[0], rest[0][-1])) if len(rest[0]) else 0
-            if last:
-                yield from found([c[:last] for c in rest])
-                rest = [c[last:] for c in rest]
-        if rest is not None:
-            yield from found(rest)
-
-    return of
-
-
-def _proposed_by_runs(shared: DataFrame, roots: DataFrame, similarity: float, one: bool) -> DataFrame:
-    """Distinct pairs (a, b) that share a first run and aren't connected yet; ``one``: of one text of each root."""
-    rooted = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    if one:
-        best = F.min(F.struct("node", "size", "at")).alias("best")
-        rooted = rooted.groupBy("run", "root").agg(best).select("run", "best.node", "best.size", "best.at", "root")
-    rooted = cut_lineage(rooted)
-    # Runs that meet two roots at least; those with many texts are split like anchors.
-    many = rooted.groupBy("run").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
-    many = many.where("low != high").select("run", F.ceil(F.col("n") / HOT_ROWS).cast("int").alias("parts"))
-    part = F.pmod(F.xxhash64(F.lit(4), "node"), F.col("parts")).cast("int")
-    places = F.transform(
-        F.sequence(F.lit(0), F.col("parts") - 1),
-        lambda j: F.least(j, part) * F.col("parts") + F.greatest(j, part),
-    )
-    dealt = rooted.join(many, "run").select("run", F.explode(places).alias("place"), "node", "size", "at", "root")
-    dealt = dealt.repartition("run", "place").sortWithinPartitions("run", "place")
-    return cut_lineage(dealt.mapInArrow(_pairs(similarity), "a long, b long").distinct())
-
-
-def _confirm(similarity: float):
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = batch.column("a").to_numpy(), batch.column("b").to_numpy()
-            good = np.zeros(len(a), bool)
-            for k, (x, y) in enumerate(zip(batch.column("runs_a"), batch.column("runs_b"))):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                good[k] = common >= similarity * (len(x) + len(y) - common)
-            yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(b[good])], names=["a", "b"])
-
-    return of
-
-
-def _verify(similarity: float):
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        place = None
-
-        def links() -> pa.RecordBatch:
-            fps = np.array([x[1] for x in held], np.int64).view(np.uint64).reshape(len(held), TABLES)
-            runs = [np.frombuffer(x[2], np.uint64) for x in held]
-            found = similar_within(np.array([x[0] for x in held]), fps, runs, similarity)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"]
-            )
-
-        for batch in batches:
-            for row in zip(*(batch.column(i) for i in range(batch.num_columns))):
-                at = (row[0].as_py(), row[1].as_py())
-                if at != place and held:
-                    yield links()
-                    held = []
-                place = at
-                if held and held[-1][0] == row[2].as_py():
-                    continue
-                held.append((row[2].as_py(), [x.as_py() for x in row[3 : 3 + TABLES]], row[3 + TABLES].as_py()))
-        if held:
-            yield links()
-
-    return of
-
-
-def _chosen_texts(docs: DataFrame, key: str, chosen: DataFrame) -> DataFrame:
-    """``chosen`` (row and more columns) with the text of its rows; equal rows each give one.
-
-    A row hash stands for one id and text, also where ids are null or repeated.
+    Null keys come last, so a group of null keys keeps one row too. Rows of one key with unlike
+    texts are told apart by a hash of both; of equal rows one stays.
     """
-    return docs.select(row_hash(key).alias("row"), "text").join(chosen, "row").drop("row")
-
-
-def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, key: str = "doc_id") -> DataFrame:
-    """(row, key, root, component_id): documents connected by a Jaccard similarity of their word runs.
-
-    Word sequences that are equal (A-Z in any case) are one text. Three fingerprints of a text's
-    distinct words propose groups at the anchors; within a group the runs of ``width`` words are
-    compared exactly, so no pair below ``similarity`` is linked. Pairs beyond the fingerprints are
-    proposed by a prefix filter: of two similar texts, the first runs (rare before common) have one
-    in common. First one text of each group meets those of others, then all that aren't connected
-    yet; so texts are connected exactly as by all pairs at ``similarity``. Null and
-    empty texts are one text. A text is known by 64 bits of its words' hash. Null keys take part
-    but never name a group. ``row`` is a hash of id and text that equal rows share.
-    """
-    fps = [f"fp{k}" for k in range(TABLES)]
-    kind = docs.schema[key].dataType.simpleString()
-    marks = docs.select(row_hash(key).alias("row"), F.col(key).alias("id"), "text").mapInArrow(
-        _word_marks, f"row long, id {kind}, node long, n_words long, {', '.join(f'{x} long' for x in fps)}"
-    )
-    marks = cut_lineage(marks)
-    texts = cut_lineage(
-        marks.groupBy("node").agg(
-            F.min("id").alias("first"),
-            F.min("row").alias("row"),
-            F.first("n_words").alias("n_words"), *(F.first(x).alias(x) for x in fps)
-        )
-    )
-    proposed = None
-    for x in fps:
-        reps = texts.groupBy(F.col(x).alias("fp")).agg(F.min("node").alias("rep"))
-        close = similar_pairs(reps.select("fp"), WORD_THRESHOLD, ACCEPT)
-        close = (
-            close.join(reps.select(F.col("fp").alias("a"), F.col("rep").alias("rep_a")), "a")
-            .join(reps.select(F.col("fp").alias("b"), F.col("rep").alias("rep_b")), "b")
-            .select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
-        )
-        same = texts.join(reps, F.col(x) == F.col("fp")).where("node != rep").select("node", "rep").toDF("a", "b")
-        proposed = close.union(same) if proposed is None else proposed.union(close).union(same)
-    groups = connected_components(proposed)
-    members = groups.join(texts, "node")
-    sizes = groups.join(texts, "node").groupBy("root").agg(
-        F.greatest(F.ceil(F.count("*") / GROUP_TEXTS), F.ceil(F.sum("n_words") * 8 / GROUP_BYTES)).cast("int").alias("parts")
-    )
-    members = cut_lineage(members.join(sizes, "root"))
-    sets = _chosen_texts(docs, key, members.select("row", "root", "parts", "node", *fps)).mapInArrow(
-        _runs(width), f"root long, parts int, node long, {', '.join(f'{x} long' for x in fps)}, runs binary"
-    )
-    part = F.pmod(F.xxhash64(F.lit(3), "node"), F.col("parts")).cast("int")
-    places = F.transform(
-        F.sequence(F.lit(0), F.col("parts") - 1),
-        lambda j: F.least(j, part) * F.col("parts") + F.greatest(j, part),
-    )
-    dealt = (
-        sets.select("root", F.explode(places).alias("place"), "node", *fps, "runs")
-        .repartition("root", "place")
-        .sortWithinPartitions("root", "place", "node")
-    )
-    links = cut_lineage(dealt.mapInArrow(_verify(similarity), "a long, b long"))
-    roots = connected_components(links)
-    shared = cut_lineage(_shared_runs(docs, width, similarity, texts.count()))
-    for one in (True, False):
-        pairs = _proposed_by_runs(shared, roots, similarity, one)
-        wanted = pairs.select("a").union(pairs.select("b")).distinct().toDF("node")
-        sets = _chosen_texts(docs, key, wanted.join(texts, "node").select("row", "node"))
-        sets = cut_lineage(sets.mapInArrow(_runs(width), "node long, runs binary").dropDuplicates(["node"]))
-        both = pairs.join(sets.toDF("a", "runs_a"), "a").join(sets.toDF("b", "runs_b"), "b")
-        links = cut_lineage(links.union(both.mapInArrow(_confirm(similarity), "a long, b long")))
-        roots = connected_components(links)
-    rooted = texts.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root")
-    return marks.join(named.select("node", "root", "component_id"), "node").select(
-        "row", F.col("id").alias(key), "root", "component_id"
-    )
-
-
-def without_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, key: str = "doc_id") -> DataFrame:
-    """``docs`` with one row of each group of ``similar_groups``: the one with the smallest key.
-
-    Of several rows with that key one stays; a group of null keys keeps one row.
-    """
-    groups = cut_lineage(similar_groups(docs, width, similarity, key))
-    best = groups.groupBy("root").agg(F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), "row")).alias("best"))
-    chosen = cut_lineage(best.select(F.col("best.row").alias("row")))
-    # Equal rows share their hash; only those are made distinct.
-    repeated = groups.groupBy("row").count().where("count > 1").select("row").join(chosen, "row", "left_semi")
-    name = fresh(docs, "row")
-    kept = docs.withColumn(name, row_hash(key)).join(
-        chosen.join(repeated.withColumn("again", F.lit(True)), "row", "left").toDF(name, f"{name}again"), name
-    )
-    single, several = kept.where(F.col(f"{name}again").isNull()), kept.where(f"{name}again").dropDuplicates([name])
+    own, row = fresh(docs, "own"), fresh(docs, "row")
+    named = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), row_hash(key).alias("row"))
+    groups = near_groups(docs.withColumn(own, named), width, threshold, own)
+    first = groups.where(F.col(own) == F.col("component_id")).groupBy(F.col(f"{own}.row").alias(row))
+    chosen = cut_lineage(first.agg((F.count("*") > 1).alias(own)))
+    kept = docs.withColumn(row, row_hash(key)).join(chosen, row)
+    # Only rows that occur again are made distinct.
+    single, several = kept.where(~F.col(own)), kept.where(F.col(own)).dropDuplicates([row])
     return single.union(several).select(docs.columns)

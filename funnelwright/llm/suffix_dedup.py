@@ -21,14 +21,13 @@ more for regions and windows.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from funnelwright.llm.common import cut_lineage, pieces, row_hash
+from funnelwright.llm.common import cut_lineage, pieces, remembered, row_hash
 
 LENGTH, CONTEXT, BATCHES = 400, 128, 4
 #: Windows of a long text that a task works on at a time; a place in them takes PLACE bits.
@@ -38,7 +37,7 @@ PLACE = 20
 PAIRED, HOT_REGIONS = 64, 8192
 
 
-@cache
+@remembered
 def _powers(which: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Values of the bytes, powers of an odd base and of its inverse, modulo 2^64."""
     base = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)[which]
