@@ -10,7 +10,7 @@ article element is preferred where it holds that share. Inside, elements that ar
 article are left out, and so are blocks below the threshold that are mostly links. Class and id words
 only count where the measures agree: a marked node goes if its density is far below the page's or
 it is mostly links, or if a whole class or id is a plain name of such a part; never if it holds most
-of the page's text.
+of the page's text. A form is such a part too, unless it holds most of the text or an article.
 """
 
 from __future__ import annotations
@@ -28,10 +28,12 @@ from funnelwright.llm.common import pieces
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Never text of a page, whatever their density.
-UNSEEN = frozenset("script style noscript template head title svg canvas iframe object math audio video map datalist".split())
+UNSEEN = frozenset("script style noscript template head title svg canvas iframe object audio video map datalist annotation annotation-xml".split())
 #: Parts of a page beside its article, by element, role or class word.
-ASIDE = frozenset("nav footer aside form button select textarea input label fieldset dialog menu".split())
-ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
+ASIDE = frozenset("nav footer aside button select textarea input label dialog menu".split())
+#: Parts that may also be wrapped around a whole page.
+FORMS = frozenset("form fieldset".split())
+ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar toolbar".split())
 MARKS = re.compile(
     r"(?:^|[-_\s])(?:ads?|adverts?|advertisements?|advertising|banner|sponsor(?:ed)?|promo(?:tion)?|cookies?|consent|gdpr|notices?|popup|modal"
     r"|newsletter|subscribe|subscription|sidebar|side|menu|nav|navbar|navigation|breadcrumbs?|footer|comments?|replies|discussion|disqus"
@@ -61,11 +63,12 @@ SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("aside", "chars", "children", "density", "links", "marked", "named", "parent", "tag", "tags", "total", "link_tags")
+    __slots__ = ("article", "aside", "chars", "children", "density", "form", "links", "marked", "named", "parent", "tag", "tags", "total", "link_tags")
 
     def __init__(self, tag: str, parent: Node | None, aside: bool = False) -> None:
         self.tag, self.parent, self.aside = tag, parent, aside
-        self.marked = self.named = False
+        self.article = tag in ("article", "main")
+        self.form = self.marked = self.named = False
         self.children: list[Node | str] = []
         self.chars = self.tags = self.links = self.link_tags = 0
         self.density = self.total = 0.0
@@ -107,6 +110,7 @@ class Tree(HTMLParser):
         if tag not in ("html", "body", "article", "main"):
             node.marked = bool(MARKS.search(words))
             node.named = not NAMES.isdisjoint(words.lower().split())
+            node.form = tag in FORMS or given.get("role", "").lower() == "form"
         self.open.children.append(node)
         if tag not in VOID:
             self.open = node
@@ -170,6 +174,7 @@ def measure(root: Node) -> list[Node]:
             up.links += node.links
             up.tags += node.tags + 1
             up.link_tags += node.link_tags + (node.tag == "a")
+            up.article |= node.article
     page = next((n for n in nodes if n.tag == "body"), root)
     page_links = page.links / page.chars if page.chars else 0.0
     for node in nodes:
@@ -182,8 +187,11 @@ def measure(root: Node) -> list[Node]:
             node.density = node.chars / tags * lift
     for node in nodes[1:]:
         node.parent.total += node.density
-        if node.marked and 2 * (node.chars - node.links) <= page.chars - page.links:
-            node.aside |= node.named or node.density < SPARSE * page.density or 2 * node.links > node.chars
+        if not node.marked and not node.form:
+            continue
+        if 2 * (node.chars - node.links) <= page.chars - page.links:
+            node.aside |= node.form and not node.article
+            node.aside |= node.marked and ( node.named or node.density < SPARSE * page.density or 2 * node.links > node.chars)
     return nodes
 
 
@@ -198,16 +206,16 @@ def _within(node: Node, tags: tuple[str, ...]) -> bool:
     return up is not None
 
 
-def _passing(node: Node, threshold: float) -> int:
-    """Characters in a subtree outside of parts that are aside or below the threshold and mostly links."""
-    total, todo = 0, [node]
-    while todo:
-        x = todo.pop()
-        if x.tag in UNSEEN or _is_aside(x) or _linky(x, threshold):
+def _passing(nodes: list[Node], threshold: float) -> dict[int, int]:
+    """Characters in each subtree outside of parts that are aside or below the threshold and mostly links."""
+    found: dict[int, int] = {}
+    for node in reversed(nodes):
+        if _is_aside(node) or _linky(node, threshold):
+            found[id(node)] = 0
             continue
-        total += sum(len("".join(c.split())) for c in x.children if isinstance(c, str))
-        todo += [c for c in x.children if isinstance(c, Node)]
-    return total
+        own = sum(len("".join(c.split())) if isinstance(c, str) else found.get(id(c), 0) for c in node.children)
+        found[id(node)] = own
+    return found
 
 
 def _linky(node: Node, threshold: float) -> bool:
@@ -221,11 +229,14 @@ def main_text(html: str | None) -> str:
     root = parse(html)
     nodes = measure(root)
     body = next((n for n in nodes if n.tag == "body"), root)
-    hidden = {id(n) for n in nodes if _is_aside(n)}
+    # Parents come first: what is hidden, or in the body, is handed down.
+    hidden, inside = set(), {id(body)}
     for node in nodes:
-        if node.parent is not None and id(node.parent) in hidden:
+        if _is_aside(node) or id(node.parent) in hidden:
             hidden.add(id(node))
-    seen = [n for n in nodes if id(n) not in hidden and n.chars and (n is body or _within(n, (body.tag,)))]
+        if id(node.parent) in inside:
+            inside.add(id(node))
+    seen = [n for n in nodes if id(n) not in hidden and n.chars and id(n) in inside]
     if not seen:
         return ""
     # Sums of what can be article only: parts beside it add nothing.
@@ -240,11 +251,12 @@ def main_text(html: str | None) -> str:
             threshold = min(threshold, path.density)
         path = path.parent
     own = next((n for n in seen if n.tag == "article"), None) if sum(n.tag == "article" for n in seen) == 1 else None
-    passing = _passing(body, threshold)
-    if own is not None and _passing(own, threshold) >= SHARE * passing:
+    passing = _passing(nodes, threshold)
+    enough = SHARE * passing[id(body)]
+    if own is not None and passing[id(own)] >= enough:
         best = own
     else:
-        while best is not body and _passing(best, threshold) < SHARE * passing and best.parent is not None:
+        while best is not body and passing[id(best)] < enough and best.parent is not None:
             best = best.parent
     return "\n".join(_blocks(best, threshold))
 
