@@ -11,7 +11,7 @@ rounds uses every training text, in windows of WINDOW tokens (a window after the
 the occupancy of the states).
 Scoring runs the exact recursion over whole texts.
 
-The DICTIONARY commonest words (of at most LONGEST bytes) travel with the tasks; the other tokens
+The commonest words (of at most LONGEST bytes; as many as DICTIONARY without a tie) travel with the tasks; the other tokens
 meet their counts in a shuffle join.
 """
 
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from funnelwright.llm.common import cut_lineage, pieces, words
+from funnelwright.llm.common import cut_lineage, least_count, pieces, words
 
 STATES, OWN, SUFFIXES = 8, 8192, 2048
 DICTIONARY, LONGEST = 131_072, 64
@@ -86,9 +86,8 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     suffix = F.pmod(F.crc32(F.substring("word", -3, 3)), F.lit(SUFFIXES)).cast("int")
     end = F.octet_length("word") == 0
     total = counts.agg(F.sum("n"), F.count("*"), F.max(F.when(end, F.col("n")))).first()
-    top = (
-        counts.where(~end & (F.octet_length("word") <= LONGEST)).orderBy(F.desc("n"), "word").limit(DICTIONARY).toArrow()
-    )
+    short = counts.where(~end & (F.octet_length("word") <= LONGEST))
+    top = short.where(F.col("n") >= least_count(short, DICTIONARY)).toArrow().sort_by([("n", "descending"), ("word", "ascending")])
     known, n = top.column("word").to_pylist(), top.column("n").to_numpy()
     class_tokens, class_words = np.zeros(SUFFIXES), np.zeros(SUFFIXES)
     for row in counts.where(~end).groupBy(suffix.alias("class")).agg(F.sum("n"), F.count("*")).collect():
@@ -167,9 +166,14 @@ def first_model(priors: np.ndarray, states: int = STATES) -> Model:
 
 
 def expected_counts(model: Model, windows: list[tuple[np.ndarray, bool, bool]]) -> tuple[np.ndarray, ...]:
-    """Baum-Welch counts of windows (classes, is first, is last): start, step, emit, and log-likelihood."""
+    """Baum-Welch counts of windows (classes, is first, is last): start, step, emit, and log-likelihood.
+
+    All windows advance together, the longest first, so that those that go on are a prefix. Arrays have
+    a row for each state: every step is a few operations along the windows.
+    """
     states = len(model.step)
-    moves, leave = model.step[:, :states], model.step[:, states]
+    moves, leave = model.step[:, :states], model.step[:, states : states + 1]
+    emit = np.ascontiguousarray(model.emit.T)
     windows = sorted(windows, key=lambda w: -len(w[0]))
     sizes = np.array([len(w[0]) for w in windows])
     first, last = (np.array([w[k] for w in windows]) for k in (1, 2))
@@ -180,40 +184,51 @@ def expected_counts(model: Model, windows: list[tuple[np.ndarray, bool, bool]])
     grid = np.zeros((longest, len(windows)), np.int64)
     for k, w in enumerate(windows):
         grid[: len(w[0]), k] = w[0]
-    ahead, scale, log = [], [], 0.0
+    ahead, given, log = [], [], 0.0
     for t in range(longest):
         n = active[t]
-        before = np.where(first[:n, None], model.start[:states], model.occupancy) if t == 0 else ahead[-1][:n] @ moves
-        now = before * model.emit[grid[t, :n]]
-        total = now.sum(axis=1, keepdims=True)
-        ahead.append(now / total)
-        scale.append(total)
+        if t == 0:
+            before = np.where(first[:n], model.start[:states, None], model.occupancy[:, None])
+        else:
+            before = moves.T @ ahead[-1][:, :n]
+        # A token's emissions over its scale: the backward pass needs the same.
+        now = emit.take(grid[t, :n], axis=1)
+        before *= now
+        total = before.sum(axis=0)
+        before /= total
+        now /= total
+        ahead.append(before)
+        given.append(now)
         log += float(np.log(total).sum())
-    found_class, found_state = [], []
-    behind = np.zeros((0, states))
+    found = np.empty((states, int(sizes.sum())))
+    behind, at = np.zeros((states, 0)), found.shape[1]
     for t in range(longest - 1, -1, -1):
         n = active[t]
         if t + 1 < longest:
             m = active[t + 1]
-            carried = behind * model.emit[grid[t + 1, :m]] / scale[t + 1]
-            steps[:, :states] += (ahead[t][:m].T @ carried) * moves
-            back = carried @ moves.T
+            carried = given[t + 1]
+            carried *= behind
+            steps[:, :states] += (ahead[t][:, :m] @ carried.T) * moves
+            back = moves @ carried
+        else:
+            m, back = 0, np.zeros((states, 0))
+        state = found[:, at - n : at]
+        if m < n:
+            ends = np.where(last[m:n], leave, 1.0)
+            ends /= np.maximum((ahead[t][:, m:] * ends).sum(axis=0), 1e-300)
+            behind = np.concatenate([back, ends], axis=1)
         else:
-            m, back = 0, np.zeros((0, states))
-        ends = np.where(last[m:n, None], leave, 1.0)
-        behind = np.vstack([back, ends / np.maximum((ahead[t][m:n] * ends).sum(axis=1, keepdims=True), 1e-300)])
-        state = ahead[t] * behind
-        state /= np.maximum(state.sum(axis=1, keepdims=True), 1e-300)
-        closing = np.flatnonzero(last[m:n]) + m
-        steps[:, states] += state[closing].sum(axis=0)
-        found_class.append(grid[t, :n])
-        found_state.append(state)
+            behind = back
+        np.multiply(ahead[t], behind, out=state)
+        state /= np.maximum(state.sum(axis=0), 1e-300)
+        if m < n:
+            steps[:, states] += state[:, m:][:, last[m:n]].sum(axis=1)
+        at -= n
         if t == 0:
-            starts[:states] += state[first[:n]].sum(axis=0)
-    classes = np.concatenate(found_class) if found_class else np.zeros(0, np.int64)
-    state = np.concatenate(found_state) if found_state else np.zeros((0, states))
-    emit = np.column_stack([np.bincount(classes, state[:, s], len(model.emit)) for s in range(states)])
-    return starts, steps, emit, log
+            starts[:states] += state[:, first[:n]].sum(axis=1)
+    classes = np.concatenate([grid[t, : active[t]] for t in range(longest)]) if longest else np.zeros(0, np.int64)
+    counted = np.column_stack([np.bincount(classes, found[s], len(model.emit)) for s in range(states)])
+    return starts, steps, counted, log
 
 
 def windows_of(classes: np.ndarray) -> list[tuple[np.ndarray, bool, bool]]:
@@ -289,24 +304,25 @@ def log_likelihoods(model: Model, texts: list[np.ndarray]) -> np.ndarray:
     All texts advance together, the longest first, so that those that go on are a prefix.
     """
     states = len(model.step)
+    moves, leave, emit = model.step[:, :states].T.copy(), model.step[:, states], np.ascontiguousarray(model.emit.T)
     order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
     sizes = np.array([len(texts[i]) for i in order])
     flat = np.concatenate([texts[i] for i in order]).astype(np.int64) if texts else np.zeros(0, np.int64)
     begin = np.cumsum(sizes) - sizes
     log = np.zeros(len(texts))
     log[sizes == 0] = np.log(model.start[states])
-    now = np.zeros((0, states))
+    now = np.zeros((states, 0))
     stop = np.searchsorted(-sizes, -np.arange(int(sizes.max(initial=0)) + 1), side="left")
     for t in range(int(sizes.max(initial=0))):
         n = int(stop[t])
-        before = model.start[:states] if t == 0 else now[:n] @ model.step[:, :states]
-        now = before * model.emit[flat[begin[:n] + t]]
-        total = now.sum(axis=1)
-        now /= total[:, None]
+        own = emit.take(flat[begin[:n] + t], axis=1)
+        now = own * (model.start[:states, None] if t == 0 else moves @ now[:, :n])
+        total = now.sum(axis=0)
+        now /= total
         log[:n] += np.log(total)
         gone = int(stop[t + 1])
         if gone < n:
-            log[gone:n] += np.log(now[gone:] @ model.step[:, states])
+            log[gone:n] += np.log(leave @ now[:, gone:])
     out = np.empty(len(texts))
     out[order] = log
     return out
