@@ -17,13 +17,14 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from funnelwright.llm.common import cut_lineage, fresh, row_hash
+from funnelwright.llm.common import cut_lineage, fresh, least_count, row_hash
 
 VALUE = r"[A-Za-z0-9+/=_\-]{16,}"
 #: Words next to a value that name credentials, and paths whose findings are samples more often.
 NAMED = r"(?i)(token|secret|passw|pwd|api.?key|access.?key|private.?key|auth|credential|bearer)"
-#: A value without quotes and closing marks; a name and its value in one word; the password of an address.
+#: A value in quotes, without what stands behind them; a value without quotes and closing marks; a name and its value in one word; the password of an address.
 SHORT_VALUE = 4
+QUOTED = r"""^[(\[{<]*(["'`])([^"'`]+)\1.*$"""
 CLOSED = r"""^["'`(\[{<]+|["'`)\]}>,;.]+$"""
 INSIDE = NAMED + r"""[A-Za-z0-9_.\-]*["'`]?\s*(?:=>|:=|[=:])["'`]?([^\s"'`,;]{4,})"""
 ADDRESS = r"""://[^\s/:@]*:([^\s@/]{4,})@"""
@@ -55,7 +56,7 @@ def candidates(docs: DataFrame, key: str = "doc_id", path: str = "source") -> Da
         return F.coalesce(F.get("tokens", i), F.lit(""))
 
     def stripped(token: Column) -> Column:
-        return F.regexp_replace(token, CLOSED, "")
+        return F.regexp_replace(F.regexp_replace(token, QUOTED, "$2"), CLOSED, "")
 
     def follows(token: Column, before: Column, two_before: Column) -> Column:
         """Is the word assigned to the name before it, or does it follow the name and have a digit?"""
@@ -87,13 +88,13 @@ def candidates(docs: DataFrame, key: str = "doc_id", path: str = "source") -> Da
 
 
 def dictionary(docs: DataFrame) -> DataFrame:
-    """(word): the DICTIONARY plain words that most documents use, over all documents."""
+    """(word): the plain words that most documents use, over all documents: as many as DICTIONARY without a tie."""
     plain = F.filter(
         F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^a-z]+"),
         lambda w: F.length(w).between(SHORTEST, LONGEST_WORD),
     )
-    used = docs.select(F.explode(F.array_distinct(plain)).alias("word")).groupBy("word").count()
-    return used.orderBy(F.desc("count"), "word").limit(DICTIONARY).select("word")
+    used = cut_lineage(docs.select(F.explode(F.array_distinct(plain)).alias("word")).groupBy("word").agg(F.count("*").alias("n")))
+    return used.where(F.col("n") >= least_count(used, DICTIONARY)).select("word")
 
 
 def _coverage(values: DataFrame, known: DataFrame) -> DataFrame:
@@ -212,7 +213,7 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, key: str = "doc_id"
     ``score`` is the forest's probability; without a forest (no findings of one label) that of
     ``by_rule``. Null and empty texts have no candidates, null paths count as empty.
     """
-    found = cut_lineage(features(candidates(docs, key, path), dictionary(docs)))
+    found = cut_lineage(features(cut_lineage(candidates(docs, key, path)), dictionary(docs)))
     forest = train(reviewed(found) if labelled is None else labelled)
     if forest is None:
         scored = found.withColumn("score", by_rule())
