@@ -34,13 +34,15 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from funnelwright.llm.common import cut_lineage, pieces
+from funnelwright.llm.common import cut_lineage, least_count, pieces
 
 TOKENIZERS = "/opt/tokenizers"
 BYTE_FILE, PIECE_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Characters of a strip, about; pairs whose counts every task holds, at most (13 bytes each).
 STRIP, COMMON = 1 << 16, 1 << 20
 B_BITS = 15
+#: Words that a task remembers, and how long they may be.
+REMEMBERED, LONGEST = 1 << 18, 64
 
 #: Fixed value: how a byte-level tokenizer of this kind cuts a text into pieces.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -124,6 +126,9 @@ class Tokens:
         for at in range(self.b.get_piece_size()):
             piece = self.b.id_to_piece(at)
             self.bytes_b.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(at) else piece.replace("▁", " ").encode())
+        # True where no piece holds a space after another character.
+        self.by_word = not any("▁" in self.b.id_to_piece(i).lstrip("▁") for i in range(len(self.bytes_b)))
+        self.seen: dict[str, list[int]] = {}
         self.size_a, self.size_b = list(map(len, self.bytes_a)), list(map(len, self.bytes_b))
         self.name_a, self.name_b = list(map(str, range(len(self.bytes_a)))), list(map(str, range(len(self.bytes_b))))
 
@@ -132,12 +137,34 @@ class Tokens:
             return self.fast.encode_ordinary(text)
         return self.a.encode(text, add_special_tokens=False).ids
 
+    def encode_b(self, text: str) -> list[int] | None:
+        """Ids of a text by the piece tokenizer, which adds a space; None if they don't give back the bytes.
+
+        A piece never goes on after a space that follows another character, so words between single
+        spaces are encoded apart, and remembered.
+        """
+        parts = text.split(" ") if self.by_word else [text]
+        if "" in parts:
+            parts = [text]
+        ids: list[int] = []
+        for part in parts:
+            known = self.seen.get(part)
+            if known is None:
+                known = self.b.encode(part)
+                if b"".join(map(self.bytes_b.__getitem__, known)) != (" " + part).encode():
+                    return None
+                if len(part) <= LONGEST:
+                    if len(self.seen) >= REMEMBERED:
+                        self.seen.clear()
+                    self.seen[part] = known
+            ids += known
+        return ids
+
     def encode(self, text: str) -> Iterator[tuple[list[int], list[int]] | None]:
         """Ids of both for each strip of a text; None where one doesn't give back the strip's bytes."""
         for strip in strips(text):
-            data = (" " + strip).encode()
-            a, b = self.encode_a(" " + strip), self.b.encode(strip)
-            same = b"".join(map(self.bytes_a.__getitem__, a)) == data and b"".join(map(self.bytes_b.__getitem__, b)) == data
+            a, b = self.encode_a(" " + strip), self.encode_b(strip)
+            same = b is not None and b"".join(map(self.bytes_a.__getitem__, a)) == (" " + strip).encode()
             yield (a, b) if same else None
 
     def links(self, text: str | None):
@@ -234,7 +261,7 @@ def linked(docs: DataFrame, key: str = "doc_id", folder: str = TOKENIZERS) -> Da
     """(key, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) for every row of ``docs`` (key, text)."""
     rows = encoded(docs, key, folder)
     known = cut_lineage(counts(rows))
-    least = _common_from(known)
+    least = least_count(known, COMMON)
     common = known.where(F.col("n") >= least).toArrow().sort_by("pair")
     pair, n, best = (common.column(c).to_numpy() for c in ("pair", "n", "best"))
     held = docs.sparkSession.sparkContext.broadcast((pair, n, best))
@@ -270,13 +297,3 @@ def linked(docs: DataFrame, key: str = "doc_id", folder: str = TOKENIZERS) -> Da
         met = met.select("row", "count_sum", "n_best").union(rest).groupBy("row").agg(F.sum("count_sum").alias("count_sum"), F.sum("n_best").alias("n_best"))
     return rows.join(met, "row").select(key, "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
-
-def _common_from(known: DataFrame) -> int:
-    """The smallest count that no more than COMMON pairs have or pass."""
-    ladder = known.groupBy(F.floor(F.log2("n")).alias("step")).agg(F.count("*").alias("pairs")).collect()
-    left, least = 0, 1
-    for step in sorted(ladder, key=lambda r: -r.step):
-        left += step.pairs
-        if left > COMMON:
-            return 2 ** (step.step + 1)
-    return least

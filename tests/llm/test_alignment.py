@@ -78,6 +78,16 @@ def test_groups_of_random_ends():
         assert cut == sorted({*a} & {*b})
 
 
+def test_words_encode_as_the_whole_text():
+    draw, letters = random.Random(6), ["a", "B", "é", "日", "▁", "\n", "\t", "0", ".", "'", "ﬁ", "\u0301", "\u3000", " ", " ", " "]
+    assert TOKENS.by_word
+    for _ in range(4000):
+        text = "".join(draw.choice(letters) for _ in range(draw.randint(1, 14)))
+        whole = TOKENS.b.encode(text)
+        same = b"".join(TOKENS.bytes_b[i] for i in whole) == (" " + text).encode()
+        assert TOKENS.encode_b(text) == (whole if same else None), repr(text)
+
+
 def test_fast_encoder_cuts_alike():
     assert TOKENS.fast
     for code in range(0x250):
