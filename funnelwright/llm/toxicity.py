@@ -26,12 +26,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from funnelwright.llm.common import cut_lineage, pieces
+from funnelwright.llm.common import cut_lineage, least_count, pieces
 
 #: Labelled rows that the model is fitted on, about; rows of a shard, about; rounds over them.
 SAMPLE_ROWS, SHARD_ROWS, ROUNDS = 20_000, 5_000, 10
 #: Rows that must hold a feature, and how many features there are at most.
-LEAST_ROWS, MOST_FEATURES = 3, 1 << 19
+LEAST_ROWS, MOST_FEATURES = 6, 1 << 19
 ALPHA, BETA, L1, L2 = 3.0, 1.0, 8.0, 0.0
 #: From this score on a text is predicted toxic.
 TOXIC = 0.7
@@ -154,16 +154,10 @@ def fit(rows: DataFrame, rounds: int = ROUNDS) -> Model:
     shards = max(1, round(coded.count() / SHARD_ROWS))
     coded = coded.withColumn("shard", F.pmod("place", F.lit(shards)))
     counts = cut_lineage(coded.select(F.explode("held").alias("place")).groupBy("place").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_ROWS))
-    # The smallest count at which no more than MOST_FEATURES places are left.
-    left, least = 0, LEAST_ROWS
-    steps = counts.groupBy(F.least("n", F.lit(SAMPLE_ROWS)).alias("n")).agg(F.count("*").alias("places"))
-    for step in sorted(steps.collect(), key=lambda r: -r.n):
-        left += step.places
-        if left > MOST_FEATURES:
-            least = step.n + 1
-            break
+    least = max(LEAST_ROWS, least_count(counts, MOST_FEATURES))
     places = np.sort(counts.where(F.col("n") >= least).select("place").toArrow().column(0).to_numpy()).astype(np.int64)
-    packed = cut_lineage(coded.groupBy("shard").applyInArrow(_pack(places), "held array<int>, ends array<int>, labels array<int>"))
+    kept = coded.select("shard", "place", "label", "held").mapInArrow(_coordinates(places), "shard int, place long, label int, held array<int>")
+    packed = cut_lineage(kept.groupBy("shard").applyInArrow(_pack, "held array<int>, ends array<int>, labels array<int>"))
     z, n = np.zeros(len(places) + 1), np.zeros(len(places) + 1)
     for _ in range(rounds):
         changes = packed.mapInArrow(_round(z, n), "at int, z double, n double")
@@ -183,20 +177,27 @@ def _known(own: np.ndarray, places: np.ndarray) -> np.ndarray:
     return at[inside][places[at[inside]] == own[inside]]
 
 
-def _pack(places: np.ndarray):
-    """A shard's rows as one row: coordinates in a row, where each text ends, labels."""
+def _coordinates(places: np.ndarray):
+    """Places to coordinates, those that don't take part left out."""
 
-    def of(table: pa.Table) -> pa.Table:
-        # In an order that only depends on ids and texts.
-        table = table.sort_by([("place", "ascending"), ("label", "ascending")])
-        rows = [_known(held.values.to_numpy(), places).astype(np.int32) for held in table.column("held")]
-        ends = np.cumsum([len(r) for r in rows]).astype(np.int32)
-        labels = table.column("label").to_numpy()
-        return pa.table({"held": [np.concatenate(rows)], "ends": [ends], "labels": [labels]})
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [_known(x.values.to_numpy(), places).astype(np.int32) for x in batch.column("held")]
+            columns = [batch.column("shard").cast(pa.int32()), batch.column("place"), batch.column("label"), pa.array(held, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["shard", "place", "label", "held"])
 
     return of
 
 
+def _pack(table: pa.Table) -> pa.Table:
+    """A shard's rows as one row: coordinates in a row, where each text ends, labels."""
+    # In an order that only depends on ids and texts.
+    table = table.sort_by([("place", "ascending"), ("label", "ascending")])
+    rows = [x.values.to_numpy() for x in table.column("held")]
+    ends = np.cumsum([len(r) for r in rows]).astype(np.int32)
+    return pa.table({"held": [np.concatenate(rows)], "ends": [ends], "labels": [table.column("label").to_numpy()]})
+
+
 def _round(z: np.ndarray, n: np.ndarray):
     """The shards' changes of the state in one round."""
 
