@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from funnelwright.operators.catalog import resolve
 from funnelwright.operators.daily import daily_metrics, days_of, with_delta
 from funnelwright.plans.alert_rca import SHOWN, parsed_requests
-from funnelwright.sources.batch import QueryRun, run_queries
+from funnelwright.sources.batch import QueryRun, run_queries, run_statements
 
 # Where the SQL of an answer comes from.
 CUSTOM_SQL, TEMPLATE = "llm_query", "fallback_template"
@@ -98,3 +98,13 @@ def daily_history(
 def run_custom_sql(spark: SparkSession, statements: Mapping[str, str]) -> list[QueryRun]:
     """Run the caller's own SQL, keyed by alert, instead of the daily template."""
     return run_queries(spark, [(f"alert_rationalization_{alert}", sql) for alert, sql in statements.items()])
+
+
+def custom_results(requests: DataFrame) -> DataFrame:
+    """alert_id, status, row_count, error, row: what the requests' own statements gave, joined to the requests.
+
+    A statement without rows, or one that failed, has one row without ``row``.
+    """
+    own = requests.where(F.col("sql_source") == CUSTOM_SQL).select("alert_id", F.col("sql_query").alias("sql"))
+    results, rows = run_statements(own)
+    return results.join(rows, "alert_id", "left")

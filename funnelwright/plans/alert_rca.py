@@ -25,6 +25,7 @@ from funnelwright.operators.funnel import FunnelRules, FunnelTables, counts_from
 from funnelwright.operators.quality import Profiled, daily_profile, window_checks
 from funnelwright.operators.rca import OBSERVED, rca_package
 from funnelwright.operators.sampling import join_labels
+from funnelwright.sources.batch import run_statements
 from funnelwright.sources.tables import cut_lineage
 
 WINDOW_FIELDS = ["start_date", "end_date", "baseline_start_date", "baseline_end_date"]
@@ -248,11 +249,35 @@ def observed_metrics(alerts: DataFrame, windows: DataFrame, measured: DataFrame)
     return found.groupBy("alert_id").agg(*[pick(*names[c]).alias(c) for c in OBSERVED])
 
 
+def stated_statements(alerts: DataFrame) -> DataFrame:
+    """(alert_id, position, name, sql): the SQL that alerts bring, as ``query`` or in ``queries`` (name, sql).
+
+    Blank texts are left out; an unnamed one is called by its place.
+    """
+    items = []
+    if "query" in alerts.columns:
+        items.append(F.array(F.struct(F.lit(0).alias("position"), F.lit("adhoc_query").alias("name"), F.col("query").alias("sql"))))
+    if "queries" in alerts.columns:
+        named = F.transform(
+            F.coalesce("queries", F.array().cast(alerts.schema["queries"].dataType)),
+            lambda q, i: F.struct(
+                (i + 1).alias("position"),
+                F.coalesce(F.nullif(F.trim(q["name"]), F.lit("")), F.concat(F.lit("query_"), (i + 1).cast("string"))).alias("name"),
+                q["sql"].alias("sql"),
+            ),
+        )
+        items.append(named)
+    listed = alerts.select("alert_id", F.inline(F.concat(*items)))
+    return listed.withColumn("sql", F.trim("sql")).where("sql <> ''")
+
+
 def analyze_alerts(alerts: DataFrame, metadata: DataFrame, tables: RcaTables, today: str | None = None) -> DataFrame:
     """One row per alert: status, candidates and, if resolved, the package of findings.
 
     With driver rows the package also has ``baseline_drivers`` and ``driver_changes``, the segments
-    that changed most between the windows; with profiled tables its checks are computed.
+    that changed most between the windows; with profiled tables its checks are computed. Alerts that
+    bring SQL of their own (``query``, ``queries``) have ``query_results``: name, status, row count and error of
+    each statement; ``run_statements(stated_statements(alerts))`` gives the rows as well.
     Each fact table is scanned once for all alerts together: counts are kept per day and
     summed over the windows of the alerts afterwards. Baselines are per-day averages, so a
     3-day window compares with a 28-day one. The resolved alerts are written once to the
@@ -293,4 +318,10 @@ def analyze_alerts(alerts: DataFrame, metadata: DataFrame, tables: RcaTables, to
     if drivers is not None:
         package = package.join(drivers.drop("top_drivers"), "alert_id", "left")
     heads = known.select("alert_id", "status", F.when(F.col("status") != "success", F.col("candidates")).alias("candidates"))
-    return heads.join(package, "alert_id", "left")
+    found = heads.join(package, "alert_id", "left")
+    if not {"query", "queries"} & set(alerts.columns):
+        return found
+    results, _ = run_statements(stated_statements(alerts))
+    item = F.struct("position", "name", "status", "row_count", "error")
+    listed = results.groupBy("alert_id").agg(F.array_sort(F.collect_list(item)).alias("query_results"))
+    return found.join(listed, "alert_id", "left")

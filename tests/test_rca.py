@@ -12,8 +12,9 @@ from funnelwright.operators.drivers import PACKAGE_KEYS, segment_changes
 from funnelwright.operators.funnel import FunnelTables
 from funnelwright.operators.quality import Profiled, daily_profile, window_checks
 from funnelwright.plans import alert_rca
-from funnelwright.plans.alert_daily import alert_requests, daily_history, run_custom_sql
-from funnelwright.plans.alert_rca import RcaTables, analyze_alerts, days_covered, driver_inputs, resolved_alerts
+from funnelwright.plans.alert_daily import alert_requests, custom_results, daily_history, run_custom_sql
+from funnelwright.plans.alert_rca import RcaTables, analyze_alerts, days_covered, driver_inputs, resolved_alerts, stated_statements
+from funnelwright.sources.batch import run_statements
 from funnelwright.sources.catalogs import METADATA_FIELDS
 
 CONTEXT = {
@@ -153,6 +154,32 @@ def test_alert_daily(spark):
     assert [(r.name, r.status, r.row_count) for r in runs] == [("alert_rationalization_4", "success", 1), ("alert_rationalization_9", "error", 0)]
 
 
+def test_custom_statements_are_joined_to_their_alerts(spark):
+    spark.range(3).createOrReplaceTempView("three")
+    asked = spark.createDataFrame(
+        [(1, "ZTQ204", "SELECT id, id AS ID, null AS none FROM three"), (2, "ZTQ204", "SELECT id, id AS ID, null AS none FROM three"),
+         (3, "ZTQ204", "SELECT nope"), (4, "ZTQ204", "SELECT id FROM three WHERE id > 5"), (5, "ZTQ204", None)],
+        "alert_id int, variable_id string, sql_query string",
+    )
+    got = custom_results(alert_requests(asked, sheet(spark), "2024-01-02")).collect()
+    by_alert = {i: sorted((r.status, r.row_count, r.row) for r in got if r.alert_id == i) for i in range(1, 6)}
+    assert by_alert[1] == by_alert[2] == [("success", 3, f'{{"id":{i},"ID_2":{i}}}') for i in range(3)]
+    assert by_alert[3] == [("error", 0, None)] and by_alert[4] == [("success", 0, None)] and by_alert[5] == []
+
+
+def test_findings_have_the_callers_statements(spark):
+    spark.range(3).createOrReplaceTempView("three")
+    asked = spark.createDataFrame(
+        [(1, "ZTQ204 drop", "SELECT count(*) AS n FROM three", [("", "SELECT 1 AS one"), ("x", " "), ("bad", "SELECT nope")]), (2, "ZTQ204 drop", None, None)],
+        "alert_id int, user_query string, query string, queries array<struct<name:string,sql:string>>",
+    )
+    got = {r.alert_id: r.query_results for r in analyze_alerts(asked, sheet(spark), RcaTables(), "2024-02-02").collect()}
+    assert [(q.name, q.status, q.row_count) for q in got[1]] == [("adhoc_query", "success", 1), ("query_1", "success", 1), ("bad", "error", 0)]
+    assert got[2] is None
+    _, rows = run_statements(stated_statements(asked))
+    assert sorted((r.alert_id, r.name, r.row) for r in rows.collect()) == [(1, "adhoc_query", '{"n":3}'), (1, "query_1", '{"one":1}')]
+
+
 def test_ambiguous_alert_stops(spark):
     rows = sheet(spark)
     requests = spark.createDataFrame([(1, "ZTQ204 drop"), (2, "for cnt"), (3, "for nothing_known")], "alert_id int, user_query string")
