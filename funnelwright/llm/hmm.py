@@ -21,6 +21,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -115,7 +116,7 @@ def _encode(vocabulary: Vocabulary):
             n_tokens, known, base, inside, classes, rare = [], [], [], [], [], []
             for text in batch.column("text"):
                 found = words(text.as_py())
-                rank = np.fromiter((ranks.get(w, none) for w in found), np.int64, len(found))
+                rank = np.fromiter(map(ranks.get, found, repeat(none)), np.int64, len(found))
                 suffix, out = suffix_of[rank], np.flatnonzero(rank == none)
                 others = [found[i] for i in out.tolist()]
                 suffix[out] = [zlib.crc32(w[-3:]) % SUFFIXES for w in others]
