@@ -58,6 +58,7 @@ def remembered(make: Callable) -> Callable:
             memory[arguments] = make(*arguments)
         return memory[arguments]
 
+    kept.cache_clear = memory.clear
     return kept
 
 

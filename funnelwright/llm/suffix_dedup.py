@@ -1,4 +1,8 @@
-"""Repeated byte strings of at least ``length`` bytes, removed by a family of sparse suffix arrays.
+"""Repeated byte strings of at least ``length`` bytes, removed by digests of sampled suffixes.
+
+Context digests that are counted and joined stand in for suffix arrays: no run keeps positions or
+lexical order, and no longest common prefix is read off a merge. Only the logarithmic family of
+runs is that of an index of suffix arrays.
 
 Sampling. Each window of ``length`` bytes names one of the suffixes that start in it: the one whose
 first ``context`` bytes have the smallest hash (the leftmost of equals). Equal windows name the same
