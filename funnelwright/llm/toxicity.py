@@ -2,16 +2,17 @@
 
 A text is the set of its features: words (runs of letters and digits in lower case), their first
 4, 5 and 6 characters as plain stems, pairs of neighbouring words, and pairs with one or two words
-left out between them. Each is hashed to one of 2^26 places. A place takes part if LEAST_ROWS or
-more of the labelled rows hold it (the commonest MOST_FEATURES of them, by a count limit).
+left out between them. Each is hashed to one of 2^26 places. A place takes part if a
+LEAST_SHARE of the labelled rows hold it, LEAST_ROWS at least (the commonest MOST_FEATURES of them).
 
 Every round, shards of the labelled rows run the online update from the shared state: each
 coordinate has its own rate ``alpha / (beta + sqrt(n))`` from its squared gradients ``n``, and its
 weight is zero until the collected gradient ``z`` exceeds ``l1``. The shards' changes of (z, n) are
-averaged by coordinate. What is left are some thousand weights, small enough for every task.
+averaged by coordinate on the driver. What is left are some thousand weights, small enough for every task.
 
 The model is fitted on about SAMPLE_ROWS labelled rows, taken by a hash of the id; everything is
-scored. Bounds: the state has at most MOST_FEATURES coordinates of 20 bytes.
+scored. Bounds: the state has at most
+MOST_FEATURES coordinates, and a round brings 12 bytes for each coordinate and shard to the driver.
 """
 
 from __future__ import annotations
@@ -30,15 +31,15 @@ from funnelwright.llm.common import cut_lineage, least_count, pieces
 
 #: Labelled rows that the model is fitted on, about; rows of a shard, about; rounds over them.
 SAMPLE_ROWS, SHARD_ROWS, ROUNDS = 20_000, 5_000, 10
-#: Rows that must hold a feature, and how many features there are at most.
-LEAST_ROWS, MOST_FEATURES = 6, 1 << 19
+#: Rows, and share of all of them, that must hold a feature; how many features there are at most.
+LEAST_ROWS, LEAST_SHARE, MOST_FEATURES = 3, 0.001, 1 << 19
 ALPHA, BETA, L1, L2 = 3.0, 1.0, 8.0, 0.0
 #: From this score on a text is predicted toxic.
 TOXIC = 0.7
 SPACE_BITS, SIEVE_BITS = 26, 22
 STEMS, GAPS = (4, 5, 6), (1, 2, 3)
-#: Words whose hashes a task remembers.
-REMEMBERED = 1 << 18
+#: Words whose hashes a task remembers; features that it tallies at a time.
+REMEMBERED, TALLIED = 1 << 18, 1 << 22
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -151,20 +152,23 @@ def fit(rows: DataFrame, rounds: int = ROUNDS) -> Model:
     """The model of labelled rows (id, text, label); without rows every score is one half."""
     dealt = rows.select(F.xxhash64("id", "text").alias("place"), "label", "text")
     coded = cut_lineage(dealt.mapInArrow(_features, "place long, label int, held array<int>"))
-    shards = max(1, round(coded.count() / SHARD_ROWS))
+    total = coded.count()
+    shards, least = max(1, round(total / SHARD_ROWS)), max(LEAST_ROWS, int(total * LEAST_SHARE))
     coded = coded.withColumn("shard", F.pmod("place", F.lit(shards)))
-    counts = cut_lineage(coded.select(F.explode("held").alias("place")).groupBy("place").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_ROWS))
-    least = max(LEAST_ROWS, least_count(counts, MOST_FEATURES))
+    tallies = coded.select("held").mapInArrow(_tally, "slice int, low binary, n binary")
+    counts = cut_lineage(tallies.groupBy("slice").applyInArrow(_merged(least), "place long, n long"))
+    least = max(least, least_count(counts, MOST_FEATURES))
     places = np.sort(counts.where(F.col("n") >= least).select("place").toArrow().column(0).to_numpy()).astype(np.int64)
     kept = coded.select("shard", "place", "label", "held").mapInArrow(_coordinates(places), "shard int, place long, label int, held array<int>")
-    packed = cut_lineage(kept.groupBy("shard").applyInArrow(_pack, "held array<int>, ends array<int>, labels array<int>"))
+    packed = cut_lineage(kept.groupBy("shard").applyInArrow(_pack, "shard int, held array<int>, ends array<int>, labels array<int>"))
     z, n = np.zeros(len(places) + 1), np.zeros(len(places) + 1)
     for _ in range(rounds):
-        changes = packed.mapInArrow(_round(z, n), "at int, z double, n double")
-        mean = changes.groupBy("at").agg((F.sum("z") / shards).alias("z"), (F.sum("n") / shards).alias("n")).toArrow()
-        at = mean.column("at").to_numpy()
-        z[at] += mean.column("z").to_numpy()
-        n[at] += mean.column("n").to_numpy()
+        # One row a shard, of at most MOST_FEATURES coordinates; added in the same order every time.
+        changes = packed.mapInArrow(_round(z, n), "shard int, at binary, z binary, n binary").toArrow().sort_by("shard")
+        for change in changes.to_pylist():
+            at = np.frombuffer(change["at"], np.int32)
+            z[at] += np.frombuffer(change["z"], np.float32) / shards
+            n[at] += np.frombuffer(change["n"], np.float32) / shards
     weights = _weights(z, n)
     kept = np.flatnonzero(weights[:-1])
     return Model(places[kept], weights[kept], float(weights[-1]))
@@ -177,6 +181,41 @@ def _known(own: np.ndarray, places: np.ndarray) -> np.ndarray:
     return at[inside][places[at[inside]] == own[inside]]
 
 
+def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many of a task's rows hold each place, as arrays for each slice of 2^16 places."""
+    parts, size = [], 0
+
+    def out() -> pa.RecordBatch:
+        places, n = np.unique(np.concatenate(parts), return_counts=True)
+        slices, first = np.unique(places >> 16, return_index=True)
+        ends = np.append(first[1:], len(places))
+        low = [x.tobytes() for x in np.split((places & 0xFFFF).astype(np.uint16), first[1:])]
+        many = [n[a:b].astype(np.uint32).tobytes() for a, b in zip(first, ends)]
+        return pa.RecordBatch.from_arrays([pa.array(slices.astype(np.int32)), pa.array(low, pa.binary()), pa.array(many, pa.binary())], names=["slice", "low", "n"])
+
+    for batch in batches:
+        for held in batch.column("held"):
+            parts.append(held.values.to_numpy())
+            size += len(parts[-1])
+        if size > TALLIED:
+            yield out()
+            parts, size = [], 0
+    if size:
+        yield out()
+
+
+def _merged(least: int):
+    """The places of a slice that ``least`` rows hold, with their number."""
+
+    def of(table: pa.Table) -> pa.Table:
+        low, n = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("low", np.uint16), ("n", np.uint32)))
+        total = np.bincount(low, n, 1 << 16).astype(np.int64)
+        kept = np.flatnonzero(total >= least)
+        return pa.table({"place": kept + (table.column("slice")[0].as_py() << 16), "n": total[kept]})
+
+    return of
+
+
 def _coordinates(places: np.ndarray):
     """Places to coordinates, those that don't take part left out."""
 
@@ -195,7 +234,7 @@ def _pack(table: pa.Table) -> pa.Table:
     table = table.sort_by([("place", "ascending"), ("label", "ascending")])
     rows = [x.values.to_numpy() for x in table.column("held")]
     ends = np.cumsum([len(r) for r in rows]).astype(np.int32)
-    return pa.table({"held": [np.concatenate(rows)], "ends": [ends], "labels": [table.column("label").to_numpy()]})
+    return pa.table({"shard": table.column("shard")[:1], "held": [np.concatenate(rows)], "ends": [ends], "labels": [table.column("label").to_numpy()]})
 
 
 def _round(z: np.ndarray, n: np.ndarray):
@@ -203,13 +242,14 @@ def _round(z: np.ndarray, n: np.ndarray):
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for held, ends, labels in zip(*batch.columns):
+            for shard, held, ends, labels in zip(*batch.columns):
                 rows = np.split(held.values.to_numpy(), ends.values.to_numpy()[:-1])
                 new_z, new_n = z.copy(), n.copy()
                 run_shard(rows, labels.values.to_pylist(), new_z, new_n)
                 at = np.flatnonzero((new_n != n) | (new_z != z))
-                changed = [pa.array(at.astype(np.int32)), pa.array(new_z[at] - z[at]), pa.array(new_n[at] - n[at])]
-                yield pa.RecordBatch.from_arrays(changed, names=["at", "z", "n"])
+                parts = at.astype(np.int32), (new_z[at] - z[at]).astype(np.float32), (new_n[at] - n[at]).astype(np.float32)
+                columns = [pa.array([shard.as_py()], pa.int32()), *(pa.array([x.tobytes()]) for x in parts)]
+                yield pa.RecordBatch.from_arrays(columns, names=["shard", "at", "z", "n"])
 
     return of
 
