@@ -18,7 +18,7 @@ SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Bounds what a Python worker is handed at once where rows are long texts.
-    "spark.sql.execution.arrow.maxBytesPerBatch": str(32 << 20),
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
     # The JVM never compiles methods above 8000 bytes of code; beyond that, Spark's split-up
     # expression code is faster than one generated method.
     "spark.sql.codegen.hugeMethodLimit": "8000",
