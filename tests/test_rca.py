@@ -296,3 +296,10 @@ def test_findings_compare_both_windows(spark):
     assert [(s.segment_value, round(s.change, 6)) for s in row.driver_changes.mcc] == [("fuel", 3.0), ("food", round(-81 / 28, 6))]
     assert all(len(row.top_drivers[k]) for k in PACKAGE_KEYS) and {s.segment_value for s in row.top_drivers.model_id} == {"m1", None}
     assert [c.status for c in row.data_quality_checks] == ["pass", "pass", "pass"]
+
+
+def test_alerts_are_dealt_out_before_they_are_parsed(spark):
+    alerts = spark.range(0, 100, 1, 1).selectExpr("id as alert_id", "concat('variable item_', id, ' saw a drop') as user_query")
+    parsed = alert_rca.parsed_requests(alerts, "2024-01-10")
+    assert "REPARTITION_BY_COL" in plan(parsed)
+    assert parsed.count() == 100
