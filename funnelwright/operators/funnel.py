@@ -11,7 +11,7 @@ Two forms with equal counts:
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -107,29 +107,37 @@ def sampled_authorizations(tables: FunnelTables, rules: FunnelRules, days: Colum
 
 
 def stage_frames(
-    tables: FunnelTables, start: str | Column, end: str | Column, rules: FunnelRules = FunnelRules()
+    tables: FunnelTables,
+    start: str | Column,
+    end: str | Column,
+    rules: FunnelRules = FunnelRules(),
+    staged: Callable[[DataFrame], DataFrame] = lambda df: df,
 ) -> dict[str, DataFrame]:
-    """The rows of every stage of one window, by stage name."""
+    """The rows of every stage of one window, by stage name.
+
+    ``staged`` is applied after every join; with ``cut_lineage`` a caller that reads several frames
+    runs each join once, not once for each frame behind it.
+    """
     days = F.col("trans_dt").between(as_date(start), as_date(end))
     key_date = ["cas_pkey", "trans_dt"]
-    base = sampled_authorizations(tables, rules, days).where(
-        maturity_rule("first_id_dt", as_date(end), rules.maturity_days)
+    base = staged(
+        sampled_authorizations(tables, rules, days).where(maturity_rule("first_id_dt", as_date(end), rules.maturity_days))
     )
     analytics = tables.analytics.where(days).select(*key_date, "zero_value_auth_ind")
-    with_zva = base.join(analytics, key_date, "inner")
+    with_zva = staged(base.join(analytics, key_date, "inner"))
     with_ff = with_zva.withColumn("app_flag", code_flag("appr_deny_cd", rules.approval_codes))
     noncanc = with_ff.where(F.col("plstcnci") == rules.not_canceled)
     nonzva = noncanc.where(zero_value_ok("zero_value_auth_ind"))
-    dedupe = nonzva.join(tables.credit_flags.select("cas_pkey"), "cas_pkey", "left_anti")
+    dedupe = staged(nonzva.join(tables.credit_flags.select("cas_pkey"), "cas_pkey", "left_anti"))
     referrals = tables.referrals.select("cas_pkey", "referral_rsn_cd")
-    with_poldec = (
+    with_poldec = staged(
         dedupe.join(referrals, "cas_pkey", "left")
         .withColumn("poldec_flag", code_flag("referral_rsn_cd", rules.policy_codes))
         .drop("referral_rsn_cd")
     )
     non_derived = with_poldec.where(F.col("poldec_flag") != 1)
     abusers = tables.first_party.where(F.col("frap_in") == 1).select("cm13")
-    notfrap = non_derived.join(abusers, "cm13", "left_anti")
+    notfrap = staged(non_derived.join(abusers, "cm13", "left_anti"))
     notff = notfrap.where(not_friendly_fraud(rules))
     frames = [base, with_zva, with_ff, noncanc, nonzva, dedupe, with_poldec, non_derived, notfrap, notff]
     return dict(zip(STAGES, frames))

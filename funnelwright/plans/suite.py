@@ -44,7 +44,7 @@ from funnelwright.plans.alert_rca import RcaTables, analyze_alerts, driver_input
 from funnelwright.plans.sequence_prep import PrepInputs, PrepParams, sequence_prep
 from funnelwright.sources.batch import run_profile, run_queries
 from funnelwright.sources.catalogs import catalog_from, metadata_from
-from funnelwright.sources.tables import Source, latest_rows, profile, read_table
+from funnelwright.sources.tables import Source, cut_lineage, latest_rows, profile, read_table
 
 WHOLE = ("1995-01-01", "2001-12-31")
 CURRENT = ("1998-07-01", "2001-12-31")
@@ -353,7 +353,7 @@ def stage_funnel(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stage_funnel_chained(spark: SparkSession, sf: str) -> DataFrame:
-    return count_frames(stage_frames(funnel_tables(spark, sf), *WHOLE, RULES))
+    return count_frames(stage_frames(funnel_tables(spark, sf), *WHOLE, RULES, cut_lineage))
 
 
 def funnel_final_rows(spark: SparkSession, sf: str) -> DataFrame:

@@ -8,8 +8,9 @@ from conftest import plan
 from pyspark.sql import functions as F
 
 from funnelwright.operators.drivers import dimension_column, driver_package, segment_counts, top_per_dimension, top_segments
-from funnelwright.operators.funnel import FunnelRules, FunnelTables, count_frames, stage_counts, stage_frames
+from funnelwright.operators.funnel import STAGES, FunnelRules, FunnelTables, count_frames, stage_counts, stage_frames
 from funnelwright.operators.sampling import join_labels, key_uniform, label_preserving_sample, sample_rule
+from funnelwright.sources.tables import cut_lineage
 
 DAYS = [dt.date(2024, 1, d) for d in range(1, 11)]
 
@@ -109,3 +110,24 @@ def test_top_segments_and_package(spark):
     package = driver_package(ranked, ["id"]).first().top_drivers
     assert len(package.mcc) == 25 and package.mcc[0].cnt == 13 and package.country[1].segment_value is None
     assert package.cm15 == []
+
+
+def test_frames_are_staged_after_each_join(spark):
+    rows = spark.createDataFrame(
+        [(i, 1, 1, "1", "2024-01-02", 5.0, "false", "1", "x", "us") for i in range(3)],
+        "cas_pkey int, cm15 int, cm13 int, appr_deny_cd string, trans_dt string, amount double, cancl_plastic_cd string, arm_proc_ind string, cm11 string, country_cd string",
+    ).withColumn("trans_dt", F.col("trans_dt").cast("date"))
+    tables = FunnelTables(
+        authorizations=rows,
+        labels=rows.select("cas_pkey", "trans_dt", F.lit(1).alias("lift_frd_in"), F.lit("m").alias("modl_id"), F.lit("p").alias("lift_path_ds"), F.col("trans_dt").alias("first_id_dt")),
+        analytics=rows.select("cas_pkey", "trans_dt", F.lit("0").alias("zero_value_auth_ind")),
+        credit_flags=rows.where("cas_pkey = 0").select("cas_pkey"),
+        referrals=rows.select("cas_pkey", F.lit("99").alias("referral_rsn_cd")),
+        first_party=rows.select("cm13", F.lit(0).alias("frap_in")),
+    )
+    window = ("2024-01-01", "2024-01-31", FunnelRules())
+    plain = count_frames(stage_frames(tables, *window))
+    staged = count_frames(stage_frames(tables, *window, cut_lineage))
+    assert sorted(map(tuple, staged.collect())) == sorted(map(tuple, plain.collect()))
+    assert [r.stage for r in staged.orderBy("stage_order").collect()] == STAGES
+    assert "Join" not in plan(staged)
