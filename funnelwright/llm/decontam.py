@@ -4,7 +4,7 @@ Words are hashed to TERMS columns. Their document frequencies are counted over a
 SVD of the TF-IDF matrix of passages is computed from the term side: the matrix is applied to a
 random block and to its orthonormal basis, each time as one pass over the passages whose
 contributions are summed by term in a shuffle; only the term block (TERMS x RANK) reaches the
-driver. The latent axes are fitted on a bounded sample of documents (SAMPLE_DOCS, by hash), scaled to
+driver. The latent axes are fitted on the passages of all documents, scaled to
 equal spread, and every passage of every document is then searched: sliding windows of words are folded
 into the latent space and compared by cosine with the benchmark's windows, which cover items all along.
 A word search finds what the cosine can't: a text with PARAPHRASED of an item's words has MEET at least
@@ -36,7 +36,6 @@ TERMS, RANK, OVERSAMPLE = 1 << 14, 64, 8
 #: Windows have STRIDE * SPREAD words and start at every STRIDE-th word.
 STRIDE, SPREAD = 8, 3
 WIDE = STRIDE * SPREAD
-SAMPLE_DOCS = 20_000
 COSINE, COPIED, PARAPHRASED, ANSWERED = 0.65, 0.8, 0.6, 0.8
 BLOCK_BYTES, SEED = 2 << 20, 5
 #: Rare words of an item that must stand together in a text.
@@ -102,7 +101,7 @@ def _matrix(weights: np.ndarray):
                 value = count * weights[cols]
                 value /= np.maximum(np.sqrt(np.bincount(rows, value**2)), 1e-12)[rows]
                 starts = np.flatnonzero(np.diff(rows, prepend=-1))
-                parts = (starts.astype(np.int32), cols.astype(np.int32), value)
+                parts = (starts.astype(np.int32), cols.astype(np.uint16), value)
                 yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()]) for x in parts], names=["starts", "cols", "vals"])
 
     return of
@@ -115,7 +114,7 @@ def _applied(block: np.ndarray):
         total = np.zeros((TERMS, block.shape[1]))
         for batch in batches:
             for strip in zip(*(c.to_pylist() for c in batch.columns)):
-                starts, cols, value = (np.frombuffer(x, t) for x, t in zip(strip, (np.int32, np.int32, np.float64)))
+                starts, cols, value = (np.frombuffer(x, t) for x, t in zip(strip, (np.int32, np.uint16, np.float64)))
                 image = np.add.reduceat(value[:, None] * block[cols], starts, axis=0)
                 order = np.argsort(cols, kind="stable")
                 back = value[order, None] * image[np.searchsorted(starts, order, side="right") - 1]
@@ -374,11 +373,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, key: st
     """
     kind = docs.schema[key].dataType.simpleString()
     source = docs.select(F.col(key).alias("id"), "text")
-    weights, total = inverse_frequencies(source)
-    scale = 1 << 30
-    share = int(min(1.0, SAMPLE_DOCS / max(1, total)) * scale)
-    sample = source.where(F.pmod(F.xxhash64(F.lit(SEED), "id", "text"), F.lit(scale)) < share).select("text")
-    axes = latent_axes(sample.coalesce(16), weights)
+    weights, _ = inverse_frequencies(source)
+    axes = latent_axes(source, weights)
     folded = (weights[:, None] * axes).astype(np.float32)
     answer = F.col("answer") if "answer" in benchmark.columns else F.lit(None).cast("string")
     items = benchmark.where("text is not null").select(F.col("item_id").cast("long"), "text", answer.alias("answer"))

@@ -78,3 +78,14 @@ def test_short_items_paraphrases_and_middles_equal_brute_force(spark, documents)
     benchmark = spark.createDataFrame([(n, " ".join(x), " ".join(x[-4:])) for n, x in enumerate(items)], "item_id long, text string, answer string")
     assert len(want) == len(items)
     assert {(r.doc_id, r.item_id) for r in decontam.leaks(documents(rows), benchmark).collect()} == want
+
+
+def test_axes_come_from_every_document(spark, monkeypatch):
+    fitted = []
+    real = decontam.latent_axes
+    monkeypatch.setattr(decontam, "latent_axes", lambda docs, *a, **k: fitted.append(docs.count()) or real(docs, *a, **k))
+    # Above the 20,000 documents to which a sample was cut before.
+    docs = spark.range(20_600).selectExpr("id as doc_id", "concat('word', id % 90, ' other', id % 70) as text")
+    benchmark = spark.createDataFrame([(1, "word1 other1")], "item_id long, text string")
+    decontam.leaks(docs, benchmark)
+    assert fitted == [20_600]
