@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 from llm.made import prose
 
 from funnelwright.llm import decontam
@@ -89,3 +90,39 @@ def test_axes_come_from_every_document(spark, monkeypatch):
     benchmark = spark.createDataFrame([(1, "word1 other1")], "item_id long, text string")
     decontam.leaks(docs, benchmark)
     assert fitted == [20_600]
+
+
+def test_axes_equal_a_dense_matrix_and_little_is_written(spark, documents, monkeypatch):
+    written, real = [], decontam.cut_lineage
+    monkeypatch.setattr(decontam, "cut_lineage", lambda df: written.append(real(df)) or written[-1])
+    axes, found = [], decontam.latent_axes
+    monkeypatch.setattr(decontam, "latent_axes", lambda docs, w, *a: axes.append((w, found(docs, w, *a))) or axes[-1][1])
+    draw = random.Random(8)
+    texts = [" ".join(f"w{int(draw.expovariate(0.02))}" for _ in range(n)) for n in [0, 1, 23, 24, 25, 400, *range(30, 130)]]
+    decontam.leaks(documents([*enumerate(texts), (None, None)]), spark.createDataFrame([(1, "w1 w2 w3")], "item_id long, text string"))
+    weights, got = axes[0]
+    rows = []
+    for text in texts:
+        cols = decontam.columns_of(decontam.words(text))
+        for at in range(0, len(cols), decontam.WIDE):
+            row = np.bincount(cols[at : at + decontam.WIDE], minlength=decontam.TERMS) * weights
+            rows.append(row / max(np.linalg.norm(row), 1e-12))
+    matrix = np.array(rows)
+    block = np.random.default_rng(decontam.SEED).standard_normal((decontam.TERMS, decontam.RANK + decontam.OVERSAMPLE))
+    basis, _ = np.linalg.qr(matrix.T @ (matrix @ block))
+    squares, turn = np.linalg.eigh((matrix @ basis).T @ (matrix @ basis))
+    want = basis @ turn[:, ::-1][:, : decontam.RANK] / np.sqrt(squares[::-1][: decontam.RANK])
+    # Axes may point either way.
+    assert np.allclose((matrix @ got) @ (matrix @ got).T, (matrix @ want) @ (matrix @ want).T, atol=1e-3)
+    kinds = [(c, f.dataType.simpleString()) for c, f in zip(written[0].columns, written[0].schema.fields)]
+    size = sum(r[0] or 0 for c, kind in kinds if kind == "binary" for r in written[0].selectExpr(f"sum(octet_length({c}))").collect())
+    assert size <= 2 * sum(len(x.split()) for x in texts)
+
+
+def test_hashes_of_whole_texts():
+    texts = [b"", b" \t", b"one two\x0bthree  ", "é ü x ".encode(), b"a" * 64 + b" " + b"b" * 65 + b" " + b"c" * 5000 + b" d", b"x"]
+    hashes, begin = decontam.hashed(texts)
+    for text, at, end in zip(texts, begin, begin[1:]):
+        assert hashes[at:end].tolist() == decontam.hashes_of(text.split()).tolist()
+    assert len(hashes) == begin[-1]
+    assert [len(x) for x in decontam.hashed([])] == [0, 1]
