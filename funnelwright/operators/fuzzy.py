@@ -7,12 +7,17 @@ queries and one of texts are arrays in a row; two bounds are computed for the wh
 first from the letters that both have, then from the longest common subsequence (one machine word
 for each query, a step for each character of the texts). The ratio itself is computed for the pairs
 that are left.
+
+A character that no query has matches nothing, whichever it is: within a block, queries go together
+by the digits they hold, and texts that differ in other characters only are one text to them. Thousands
+of codes are then a few.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -23,11 +28,16 @@ from funnelwright.functions.similarity import LETTERS, SCORE_THRESHOLD, SIMILARI
 from funnelwright.sources.tables import cut_lineage
 
 #: Queries and texts of a block, about.
-QUERY_BLOCK, TEXT_BLOCK = 128, 1024
+QUERY_BLOCK, TEXT_BLOCK = 512, 8192
+#: Texts that meet the queries of a block together.
+TOGETHER = 1024
+#: Rows that a task hands on at a time.
+ROWS = 1 << 16
 #: How many classes up or down a text of four times or a quarter of the length can be.
 REACH = 2
 #: Longest query whose common subsequence fits in a machine word.
 WORD_BITS = 64
+DIGITS = frozenset("0123456789")
 #: Pairs of a block that go through the second bound together.
 STEP = 1 << 15
 
@@ -64,14 +74,16 @@ def _coded(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     row = np.repeat(np.arange(len(texts)), lengths)
     width = len(LETTERS) + 1
     counts = np.bincount(row * width + flat, minlength=len(texts) * width).reshape(len(texts), width)
-    return lengths, counts.astype(np.int32), codes
+    # A byte for each letter, if no text can have more of one.
+    return lengths, counts.astype(np.uint8 if lengths.max() < 256 else np.int32), codes
 
 
 def common_letters(q_counts: np.ndarray, t_counts: np.ndarray) -> np.ndarray:
     """Number of letters that each query has in common with each text."""
-    common = np.zeros((len(q_counts), len(t_counts)), np.int32)
-    for letter in range(q_counts.shape[1]):
-        common += np.minimum(q_counts[:, letter, None], t_counts[None, :, letter])
+    common = np.zeros((len(q_counts), len(t_counts)), np.result_type(q_counts, t_counts))
+    held, own = np.ascontiguousarray(q_counts.T), np.ascontiguousarray(t_counts.T)
+    for letter in np.flatnonzero(held.any(axis=1) & own.any(axis=1)):
+        common += np.minimum(held[letter][:, None], own[letter][None, :])
     return common
 
 
@@ -91,13 +103,41 @@ def common_sequence(q_codes: np.ndarray, q_lengths: np.ndarray, t_codes: np.ndar
     return q_lengths[q_at] - np.bitwise_count(open_ & full)
 
 
+class _Others(dict):
+    """A table for ``str.translate`` that makes all characters but those of ``kept`` one and the same, which is none of them."""
+
+    def __init__(self, kept: set[str]) -> None:
+        self.other = next(i for i in count() if chr(i) not in kept)
+        super().__init__((ord(c), ord(c)) for c in kept)
+
+    def __missing__(self, point: int) -> int:
+        self[point] = self.other
+        return self.other
+
+
 def _block_pairs(queries: list[str], texts: list[str]) -> Iterator[tuple[str, str, float]]:
     """(query, text, score) of the pairs that score by similarity and aren't contained."""
+    by_digits: dict[frozenset[str], list[str]] = {}
+    for query in queries:
+        by_digits.setdefault(frozenset(query) & DIGITS, []).append(query)
+    for own in by_digits.values():
+        # A space always counts: it parts words.
+        table, alike = _Others(set("".join(own)) | {" "}), {}
+        for text in texts:
+            alike.setdefault(text.translate(table), []).append(text)
+        shown = list(alike)
+        for start in range(0, len(shown), TOGETHER):
+            for query, text, score in _pairs(own, shown[start : start + TOGETHER]):
+                for each in alike[text]:
+                    yield query, each, score
+
+
+def _pairs(queries: list[str], texts: list[str]) -> Iterator[tuple[str, str, float]]:
     q_lengths, q_counts, q_codes = _coded(queries)
     t_lengths, t_counts, t_codes = _coded(texts)
     both = q_lengths[:, None] + t_lengths[None, :]
     # Divided as the ratio is, so that a pair on the threshold isn't lost to rounding.
-    q_all, t_all = np.nonzero(2 * common_letters(q_counts, t_counts) / both >= SCORE_THRESHOLD)
+    q_all, t_all = np.nonzero(2 * common_letters(q_counts, t_counts).astype(np.int32) / both >= SCORE_THRESHOLD)
     q_words = [set(q.split(" ")) for q in queries]
     t_words = [set(t.split(" ")) for t in texts]
     order = np.argsort(t_all, kind="stable")
@@ -128,9 +168,10 @@ def _block_pairs(queries: list[str], texts: list[str]) -> Iterator[tuple[str, st
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for queries, texts in zip(batch.column("queries"), batch.column("texts")):
-            found = list(_block_pairs(queries.as_py(), texts.as_py()))
-            q, text, score = zip(*found) if found else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(q, pa.string()), pa.array(text, pa.string()), pa.array(score, pa.float64())], names=["q", "text", "score"])
+            pairs = _block_pairs(queries.as_py(), texts.as_py())
+            while found := list(islice(pairs, ROWS)):
+                q, text, score = zip(*found)
+                yield pa.RecordBatch.from_arrays([pa.array(q, pa.string()), pa.array(text, pa.string()), pa.array(score, pa.float64())], names=["q", "text", "score"])
 
 
 def block_pairs(queries: DataFrame, texts: DataFrame) -> DataFrame:
