@@ -15,6 +15,10 @@ the space. Null and empty texts, and those whose tokens don't give back the byte
 texts are encoded in strips, cut at single spaces between ASCII letters: there both tokenizers begin a
 token whatever stands around, as no token goes on after a space that follows a letter.
 
+For the same reason, at single spaces between other characters than white space, the groups of a strip
+are those of its words. The words that a task has not seen lately are joined into a strip of their own,
+encoded and aligned as such, and remembered with their groups and links; the others come from memory.
+
 Ids must be below 2^16 and 2^15, so that a pair is one int.
 """
 
@@ -24,8 +28,9 @@ import hashlib
 import json
 import os
 import re
-from collections.abc import Iterator
-from itertools import accumulate
+from collections.abc import Iterable, Iterator
+from itertools import chain, groupby
+from operator import itemgetter
 from pathlib import Path
 
 import numpy as np
@@ -40,8 +45,10 @@ TOKENIZERS = "/opt/tokenizers"
 BYTE_FILE, PIECE_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Characters of a strip, about; pairs whose counts every task holds, at most (13 bytes each).
 STRIP, COMMON = 1 << 16, 1 << 20
+#: Characters whose new words a task encodes at a time, about.
+AT_ONCE = 1 << 20
 B_BITS = 15
-#: Words that a task remembers, and how long they may be.
+#: Words that a task remembers at most, and how long they may be.
 REMEMBERED, LONGEST = 1 << 18, 64
 
 #: Fixed value: how a byte-level tokenizer of this kind cuts a text into pieces.
@@ -49,6 +56,15 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Beyond these letters, two libraries may know different versions of Unicode.
 _LATER = re.compile("[^\x00-\u024f]")
 _CUT = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
+#: A space between words, and one that may not be a cut: with white space on one side only it is, but not on both.
+#: Python's white space takes in all that the pattern's does.
+_BETWEEN = re.compile(r"(?<=\S) (?=\S)")
+_UNSURE = re.compile(r" \s")
+
+#: A stretch of text with its groups written out and the pairs of its links (int32): tokens a, tokens b, groups, both texts.
+Aligned = tuple[int, int, int, str, bytes]
+#: A stretch whose tokens don't give back its bytes.
+NONE: Aligned = (0, 0, 0, "", b"")
 
 
 def align(ends_a: list[int], ends_b: list[int]) -> Iterator[tuple[int, int, int, int]]:
@@ -128,8 +144,13 @@ class Tokens:
             self.bytes_b.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(at) else piece.replace("▁", " ").encode())
         # True where no piece holds a space after another character.
         self.by_word = not any("▁" in self.b.id_to_piece(i).lstrip("▁") for i in range(len(self.bytes_b)))
+        # Where the pattern is known too, both begin a token at each space between words.
+        self.by_words = self.by_word and self.fast is not None and all(t["special"] for t in described["added_tokens"])
         self.seen: dict[str, list[int]] = {}
-        self.size_a, self.size_b = list(map(len, self.bytes_a)), list(map(len, self.bytes_b))
+        # Words met since the last change, and those of the time before.
+        self.words: dict[str, Aligned] = {}
+        self.older: dict[str, Aligned] = {}
+        self.size_a, self.size_b = np.array(list(map(len, self.bytes_a))), np.array(list(map(len, self.bytes_b)))
         self.name_a, self.name_b = list(map(str, range(len(self.bytes_a)))), list(map(str, range(len(self.bytes_b))))
 
     def encode_a(self, text: str) -> list[int]:
@@ -154,51 +175,126 @@ class Tokens:
                 if b"".join(map(self.bytes_b.__getitem__, known)) != (" " + part).encode():
                     return None
                 if len(part) <= LONGEST:
-                    if len(self.seen) >= REMEMBERED:
+                    if len(self.seen) >= REMEMBERED // 4:
                         self.seen.clear()
                     self.seen[part] = known
             ids += known
         return ids
 
-    def encode(self, text: str) -> Iterator[tuple[list[int], list[int]] | None]:
-        """Ids of both for each strip of a text; None where one doesn't give back the strip's bytes."""
-        for strip in strips(text):
-            a, b = self.encode_a(" " + strip), self.encode_b(strip)
-            same = b is not None and b"".join(map(self.bytes_a.__getitem__, a)) == (" " + strip).encode()
-            yield (a, b) if same else None
-
-    def links(self, text: str | None):
-        """(tokens a, tokens b, groups, digest of the groups, pairs of all links) of a text."""
-        n_a = n_b = groups = 0
-        digest, between, pairs = hashlib.sha256(), "", []
-        for ids in self.encode(text) if text else ():
-            if ids is None:
-                return 0, 0, 0, "", np.empty(0, np.int64)
-            a, b = ids
-            n_a, n_b = n_a + len(a), n_b + len(b)
-            ends_a, ends_b = list(accumulate(map(self.size_a.__getitem__, a))), list(accumulate(map(self.size_b.__getitem__, b)))
-            names_a, names_b = list(map(self.name_a.__getitem__, a)), list(map(self.name_b.__getitem__, b))
-            # A stretch has a link for each token, another group one for each step along its ends.
-            linked_a, linked_b, written = [], [], []
-            for from_a, to_a, from_b, to_b in align(ends_a, ends_b):
-                if ends_a[from_a] == ends_b[from_b]:
-                    linked_a += a[from_a:to_a]
-                    linked_b += b[from_b:to_b]
-                    written += map("|".join, zip(names_a[from_a:to_a], names_b[from_b:to_b]))
-                    groups += to_a - from_a
-                    continue
-                groups += 1
+    def encode(self, strip: str) -> tuple[list[int], list[int]] | None:
+        """Ids of both for a strip; None where one doesn't give back its bytes."""
+        a, b = self.encode_a(" " + strip), self.encode_b(strip)
+        same = b is not None and b"".join(map(self.bytes_a.__getitem__, a)) == (" " + strip).encode()
+        return (a, b) if same else None
+
+    def aligned(self, a: list[int], b: list[int], cuts: list[int]) -> list[Aligned]:
+        """The groups and links of both ids of a strip, for each part; parts end at the bytes ``cuts``, where groups do."""
+        ids_a, ids_b = np.array(a, np.int32), np.array(b, np.int32)
+        after_a, after_b = self.size_a[ids_a].cumsum(), self.size_b[ids_b].cumsum()
+        ends_a, ends_b = after_a.tolist(), after_b.tolist()
+        names_a, names_b = list(map(self.name_a.__getitem__, a)), list(map(self.name_b.__getitem__, b))
+        written, group_ends = [], []
+        for from_a, to_a, from_b, to_b in align(ends_a, ends_b):
+            if ends_a[from_a] == ends_b[from_b]:
+                written += map("|".join, zip(names_a[from_a:to_a], names_b[from_b:to_b]))
+                group_ends += ends_a[from_a:to_a]
+            else:
                 written.append(",".join(names_a[from_a:to_a]) + "|" + ",".join(names_b[from_b:to_b]))
-                x, y = from_a, from_b
-                while x < to_a:
-                    linked_a.append(a[x])
-                    linked_b.append(b[y])
-                    step = ends_a[x] - ends_b[y]
-                    x, y = x + (step <= 0), y + (step >= 0)
-            pairs.append((np.array(linked_a, np.int64) << B_BITS) | np.array(linked_b, np.int64))
-            digest.update((between + ";".join(written)).encode())
-            between = ";"
-        return n_a, n_b, groups, digest.hexdigest() if pairs else "", np.concatenate(pairs) if pairs else np.empty(0, np.int64)
+                group_ends.append(ends_a[to_a - 1])
+        # Between two neighbouring ends, of whichever side, lies one token of each: a link.
+        is_end = np.zeros(ends_a[-1] + 1, bool)
+        is_end[after_a] = is_end[after_b] = True
+        link_ends = np.flatnonzero(is_end)
+        pairs = ((ids_a[after_a.searchsorted(link_ends)] << B_BITS) | ids_b[after_b.searchsorted(link_ends)]).tobytes()
+        if len(cuts) == 1:
+            return [(len(a), len(b), len(written), ";".join(written), pairs)]
+        upto_a, upto_b, upto_group, upto_link = (
+            np.searchsorted(ends, cuts, "right").tolist() for ends in (after_a, after_b, group_ends, link_ends)
+        )
+        out, a0, b0, group0, link0 = [], 0, 0, 0, 0
+        for a1, b1, group1, link1 in zip(upto_a, upto_b, upto_group, upto_link):
+            out.append((a1 - a0, b1 - b0, group1 - group0, ";".join(written[group0:group1]), pairs[4 * link0 : 4 * link1]))
+            a0, b0, group0, link0 = a1, b1, group1, link1
+        return out
+
+    def alone(self, strip: str) -> Aligned:
+        """The groups and links of a strip; NONE if it is empty or its bytes are not given back."""
+        ids = self.encode(strip) if strip else None
+        return self.aligned(*ids, [len(strip.encode()) + 1])[0] if ids else NONE
+
+    def together(self, parts: list[str]) -> Iterator[tuple[str, Aligned]]:
+        """Each of some words with its groups and links; all are encoded and aligned as one strip."""
+        held, b, cuts, end = [], [], [], 0
+        for part, ids in zip(parts, self.b.encode(parts, num_threads=1)):
+            data = (" " + part).encode()
+            if b"".join(map(self.bytes_b.__getitem__, ids)) == data:
+                end += len(data)
+                held.append(part)
+                cuts.append(end)
+                b += ids
+            else:
+                yield part, NONE
+        if held:
+            strip = " " + " ".join(held)
+            a = self.encode_a(strip)
+            same = b"".join(map(self.bytes_a.__getitem__, a)) == strip.encode()
+            yield from zip(held, self.aligned(a, b, cuts) if same else map(self.alone, held))
+
+    def resolved(self, some: list[str]) -> Iterator[Aligned]:
+        """The groups and links of strips, by words where they can be cut into such; NONE if a word has none."""
+        if not self.by_words:
+            yield from map(self.alone, some)
+            return
+        # A space at an end of a strip is none between words.
+        cut = [_BETWEEN.split(s) if s.startswith(" ") or s.endswith(" ") or _UNSURE.search(s) else s.split(" ") for s in some]
+        new: dict[bool, list[str]] = {False: [], True: []}
+        apart: dict[str, Aligned] = {}
+        for part in set(chain.from_iterable(cut)).difference(self.words):
+            known = self.older.get(part)
+            if known is not None:
+                self.words[part] = known
+            elif not 0 < len(part) <= LONGEST or part[0].isspace() or part[-1].isspace():
+                apart[part] = self.alone(part)
+            else:
+                new[not part.isascii() and bool(_LATER.search(part))].append(part)
+        for parts in new.values():
+            self.words.update(self.together(parts))
+        for parts in cut:
+            found = list(map(self.words.get, parts))
+            if apart:
+                found = [apart[part] if x is None else x for x, part in zip(found, parts)]
+            n_a, n_b, groups, written, pairs = zip(*found)
+            yield (sum(n_a), sum(n_b), sum(groups), ";".join(written), b"".join(pairs)) if 0 not in n_a else NONE
+        if len(self.words) >= REMEMBERED // 2:
+            self.older, self.words = self.words, {}
+
+    def links(self, texts: Iterable[str | None]) -> Iterator[tuple[int, int, int, str, np.ndarray]]:
+        """(tokens a, tokens b, groups, digest of the groups, pairs of all links) of each text."""
+
+        def by_strips() -> Iterator[tuple[int, Aligned]]:
+            rows, held, size = [], [], 0
+            for row, text in enumerate(texts):
+                for strip in strips(text or ""):
+                    rows.append(row)
+                    held.append(strip)
+                    size += len(strip)
+                    if size >= AT_ONCE:
+                        yield from zip(rows, self.resolved(held))
+                        rows, held, size = [], [], 0
+            yield from zip(rows, self.resolved(held))
+
+        for _, some in groupby(by_strips(), itemgetter(0)):
+            n_a = n_b = groups = 0
+            digest, between, pairs, whole = hashlib.sha256(), "", [], True
+            for _, (more_a, more_b, more, written, linked) in some:
+                n_a, n_b, groups, whole = n_a + more_a, n_b + more_b, groups + more, whole and more_a > 0
+                digest.update((between + written).encode())
+                pairs.append(linked)
+                between = ";"
+            if whole:
+                yield n_a, n_b, groups, digest.hexdigest(), np.frombuffer(b"".join(pairs), np.int32)
+            else:
+                yield 0, 0, 0, "", np.empty(0, np.int32)
 
 
 def strips(text: str) -> Iterator[str]:
@@ -227,11 +323,10 @@ def encoded(docs: DataFrame, key: str = "doc_id", folder: str = TOKENIZERS) -> D
         tokens = Tokens(SparkFiles.get(BYTE_FILE), SparkFiles.get(PIECE_FILE))
         for batch in pieces(batches):
             rows, pairs, times = [], [], []
-            for text in batch.column("text"):
-                *row, keys = tokens.links(text.as_py())
+            for *row, keys in tokens.links(text.as_py() for text in batch.column("text")):
                 own, n = np.unique(keys, return_counts=True)
                 rows.append((*row, len(keys)))
-                pairs.append(own.astype(np.int32))
+                pairs.append(own)
                 times.append(n.astype(np.int32))
             n_a, n_b, groups, digests, links = zip(*rows)
             longs = [pa.array(x, pa.int64()) for x in (n_a, n_b, groups, links)]

@@ -119,3 +119,37 @@ def test_pairs_name_the_tokens(documents):
     rows = alignment.encoded(documents([(1, "plain words")])).collect()
     pairs = [(TOKENS.bytes_a[p >> alignment.B_BITS], TOKENS.bytes_b[p % (1 << alignment.B_BITS)]) for p in rows[0].pairs]
     assert sorted(pairs) == [(b" plain", b" plain"), (b" words", b" words")]
+
+
+def fresh_tokens():
+    return alignment.Tokens(f"{alignment.TOKENIZERS}/{alignment.BYTE_FILE}", f"{alignment.TOKENIZERS}/{alignment.PIECE_FILE}")
+
+
+def listed(tokens, texts):
+    return [(*row, pairs.tolist()) for *row, pairs in tokens.links(texts)]
+
+
+def test_a_word_is_aligned_once(monkeypatch):
+    seen, whole = [], alignment.align
+    monkeypatch.setattr(alignment, "align", lambda a, b: seen.append(len(a)) or whole(a, b))
+    tokens = fresh_tokens()
+    first = listed(tokens, ["plainly worded texts", "texts worded plainly"] * 50)
+    once = len(tokens.encode_a(" plainly worded texts"))
+    assert sum(seen) == once and first[0][:3] == first[1][:3] and first[0][3] != first[1][3]
+    listed(tokens, ["worded texts"])
+    assert sum(seen) == once
+
+
+@pytest.mark.parametrize(("strip", "at_once", "remembered"), [(1 << 16, 1 << 20, 1 << 18), (12, 40, 16)])
+def test_words_align_as_the_whole_text(monkeypatch, strip, at_once, remembered):
+    draw = random.Random(8)
+    letters = ["a", "B", "é", "日", "▁", "\n", "\t", "0", ".", "'s", "ﬁ", "\u0301", "\u3000", "\u0085", "\x1c", "<|endoftext|>", "ab", "cd", "  "] + [" "] * 6
+    texts = [None, "", *("".join(draw.choice(letters) for _ in range(draw.randint(1, 30))) for _ in range(4000)), "", "x y"]
+    tokens, plain = fresh_tokens(), fresh_tokens()
+    assert tokens.by_words
+    plain.by_words = False
+    want = listed(plain, texts)
+    assert {bool(r[0]) for r in want} == {True, False}
+    for name, value in (("STRIP", strip), ("AT_ONCE", at_once), ("REMEMBERED", remembered)):
+        monkeypatch.setattr(alignment, name, value)
+    assert listed(tokens, texts) == want
