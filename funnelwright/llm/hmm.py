@@ -33,6 +33,8 @@ from funnelwright.llm.common import cut_lineage, least_count, pieces, words
 STATES, OWN, SUFFIXES = 8, 8192, 2048
 DICTIONARY, LONGEST = 131_072, 64
 WINDOW, ROUNDS = 256, 10
+#: Steps between two scalings of the probabilities in training: a step's are above 1e-30, the smallest number is 1e-308.
+SCALED = 8
 SMOOTHING, SEED = 5.0, 11
 #: Distinct words a task counts before it hands them on, and tokens it scores at a time.
 DISTINCT, TOKENS = 400_000, 1 << 20
@@ -166,68 +168,80 @@ def first_model(priors: np.ndarray, states: int = STATES) -> Model:
     return Model(start, step / step.sum(axis=1, keepdims=True), emit / emit.sum(axis=0), np.full(states, 1 / states))
 
 
-def expected_counts(model: Model, windows: list[tuple[np.ndarray, bool, bool]]) -> tuple[np.ndarray, ...]:
+def expected_counts(
+    model: Model, windows: list[tuple[np.ndarray, bool, bool]], room: np.ndarray | None = None
+) -> tuple[np.ndarray, ...]:
     """Baum-Welch counts of windows (classes, is first, is last): start, step, emit, and log-likelihood.
 
     All windows advance together, the longest first, so that those that go on are a prefix. Arrays have
-    a row for each state: every step is a few operations along the windows.
+    a row for each state: every step is a few operations along the windows. Probabilities are scaled at
+    every SCALED-th step. ``room`` holds 3 * states numbers for each token, at least, and is overwritten.
     """
     states = len(model.step)
     moves, leave = model.step[:, :states], model.step[:, states : states + 1]
-    emit = np.ascontiguousarray(model.emit.T)
+    onward, emit = np.ascontiguousarray(moves.T), np.ascontiguousarray(model.emit.T)
     windows = sorted(windows, key=lambda w: -len(w[0]))
-    sizes = np.array([len(w[0]) for w in windows])
-    first, last = (np.array([w[k] for w in windows]) for k in (1, 2))
+    sizes = np.array([len(w[0]) for w in windows], np.int64)
+    first, last = (np.array([w[k] for w in windows], bool) for k in (1, 2))
     starts, steps = np.zeros(states + 1), np.zeros((states, states + 1))
     starts[states] = np.count_nonzero(sizes == 0)
-    longest = int(sizes.max(initial=0))
-    active = [int(np.searchsorted(-sizes, -t, side="left")) for t in range(longest)]
-    grid = np.zeros((longest, len(windows)), np.int64)
-    for k, w in enumerate(windows):
-        grid[: len(w[0]), k] = w[0]
-    ahead, given, log = [], [], 0.0
+    longest, tokens = int(sizes.max(initial=0)), int(sizes.sum())
+    if not tokens:
+        return starts, steps, np.zeros_like(model.emit), 0.0
+    active = np.searchsorted(-sizes, -np.arange(longest + 1), side="left")
+    upto = np.cumsum(active).tolist()
+    active = active.tolist()
+    flat, begin = np.concatenate([w[0] for w in windows]).astype(np.int64), np.cumsum(sizes) - sizes
+    classes = np.concatenate([flat.take(begin[: active[t]] + t) for t in range(longest)])
+    if room is None:
+        room = np.empty(3 * states * tokens)
+    # Each step's block has a row for each state; the rows of the found counts go through all steps.
+    ahead, given = (
+        [part[(end - n) * states : end * states].reshape(states, n) for n, end in zip(active[:-1], upto)]
+        for part in (room[: tokens * states], room[tokens * states : 2 * tokens * states])
+    )
+    found = room[2 * tokens * states : 3 * tokens * states].reshape(states, tokens)
+    log = 0.0
     for t in range(longest):
-        n = active[t]
+        n, before, now = active[t], ahead[t], given[t]
+        emit.take(classes[upto[t] - n : upto[t]], axis=1, out=now, mode="clip")
         if t == 0:
-            before = np.where(first[:n], model.start[:states, None], model.occupancy[:, None])
+            np.multiply(np.where(first[:n], model.start[:states, None], model.occupancy[:, None]), now, out=before)
         else:
-            before = moves.T @ ahead[-1][:, :n]
-        # A token's emissions over its scale: the backward pass needs the same.
-        now = emit.take(grid[t, :n], axis=1)
-        before *= now
-        total = before.sum(axis=0)
-        before /= total
-        now /= total
-        ahead.append(before)
-        given.append(now)
-        log += float(np.log(total).sum())
-    found = np.empty((states, int(sizes.sum())))
-    behind, at = np.zeros((states, 0)), found.shape[1]
+            np.matmul(onward, ahead[t - 1][:, :n], out=before)
+            before *= now
+        if t % SCALED == 0:
+            # A token's emissions over its scale: the backward pass needs the same.
+            total = before.sum(axis=0)
+            over = 1 / total
+            before *= over
+            now *= over
+            log += float(np.log(total).sum())
+        if active[t + 1] < n:
+            log += float(np.log(before[:, active[t + 1] :].sum(axis=0)).sum())
+    behind = np.zeros((states, 0))
     for t in range(longest - 1, -1, -1):
-        n = active[t]
-        if t + 1 < longest:
-            m = active[t + 1]
+        n, m = active[t], active[t + 1]
+        back = behind
+        if m:
             carried = given[t + 1]
             carried *= behind
-            steps[:, :states] += (ahead[t][:, :m] @ carried.T) * moves
+            steps[:, :states] += ahead[t][:, :m] @ carried.T
             back = moves @ carried
-        else:
-            m, back = 0, np.zeros((states, 0))
-        state = found[:, at - n : at]
+        state = found[:, upto[t] - n : upto[t]]
         if m < n:
             ends = np.where(last[m:n], leave, 1.0)
             ends /= np.maximum((ahead[t][:, m:] * ends).sum(axis=0), 1e-300)
             behind = np.concatenate([back, ends], axis=1)
         else:
             behind = back
+        # Their sum over the states is 1 at every step, as it is where a window ends.
         np.multiply(ahead[t], behind, out=state)
-        state /= np.maximum(state.sum(axis=0), 1e-300)
         if m < n:
             steps[:, states] += state[:, m:][:, last[m:n]].sum(axis=1)
-        at -= n
         if t == 0:
             starts[:states] += state[:, first[:n]].sum(axis=1)
-    classes = np.concatenate([grid[t, : active[t]] for t in range(longest)]) if longest else np.zeros(0, np.int64)
+    steps[:, :states] *= moves
     counted = np.column_stack([np.bincount(classes, found[s], len(model.emit)) for s in range(states)])
     return starts, steps, counted, log
 
@@ -245,21 +259,25 @@ def _expect(model: Model):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts, steps, emit = np.zeros(states + 1), np.zeros((states, states + 1)), np.zeros_like(model.emit)
         held: list[tuple[np.ndarray, bool, bool]] = []
-        size = 0
+        size, room = 0, np.empty(0)
 
         def add() -> None:
-            for total, more in zip((starts, steps, emit), expected_counts(model, held)):
+            nonlocal room
+            if len(room) < 3 * states * size:
+                room = np.empty(3 * states * size)
+            for total, more in zip((starts, steps, emit), expected_counts(model, held, room)):
                 total += more
             held.clear()
 
         for batch in batches:
             for x in batch.column("classes"):
-                classes = np.frombuffer(x.as_py(), np.uint16).astype(np.int64)
-                held += windows_of(classes)
-                size += len(classes)
-                if size >= TOKENS // 4:
-                    add()
-                    size = 0
+                classes = np.frombuffer(x.as_py(), np.uint16)
+                for window in windows_of(classes):
+                    held.append(window)
+                    size += len(window[0])
+                    if size >= TOKENS // 4:
+                        add()
+                        size = 0
         if held:
             add()
         # Classes from 0, then the steps (-1 - from state), and the starts last; the end is column "end".

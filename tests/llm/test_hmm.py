@@ -95,3 +95,50 @@ def test_every_round_uses_every_training_text(documents, monkeypatch):
     monkeypatch.setattr(hmm, "baum_welch", counted)
     hmm.score(documents([(i, f"w{i % 7} v{i % 5}") for i in range(4000)]), F.lit(True), F.lit(False))
     assert seen == [4000] * 10
+
+
+def test_counts_between_scalings_and_of_windows(monkeypatch):
+    model, draw = small_model(), np.random.default_rng(4)
+    texts = [draw.integers(0, 5, n) for n in (10, 9, 8, 1, 0, 10)]
+    flags = [(True, True), (True, False), (False, False), (False, True), (True, True), (False, True)]
+    want = np.zeros(4), np.zeros((3, 4)), np.zeros((5, 3))
+    log = 0.0
+    for text, (first, last) in zip(texts, flags):
+        text = text.tolist()
+        start = model.start[:3] if first else model.occupancy
+        ways = []
+        for path in itertools.product(range(3), repeat=len(text)) if text else ():
+            p = start[path[0]]
+            for t, (s, c) in enumerate(zip(path, text)):
+                p *= model.emit[c, s] * (model.step[s, path[t + 1]] if t + 1 < len(path) else 1)
+            ways.append((path, p, p * (model.step[path[-1], 3] if last else 1)))
+        log += math.log(sum(p for _, p, _ in ways)) if ways else 0.0
+        total = sum(p for *_, p in ways)
+        want[0][3] += not text
+        for path, _, p in ways:
+            want[0][path[0]] += first * p / total
+            for t, (s, c) in enumerate(zip(path, text)):
+                want[2][c, s] += p / total
+                if t + 1 < len(path) or last:
+                    want[1][s, path[t + 1] if t + 1 < len(path) else 3] += p / total
+    windows = [(x.astype(np.uint16), *f) for x, f in zip(texts, flags)]
+    for scaled, room in ((1, None), (3, np.full(3 * 3 * 38, 7.0)), (hmm.SCALED, np.full(1000, np.nan))):
+        monkeypatch.setattr(hmm, "SCALED", scaled)
+        *counts, found = hmm.expected_counts(model, windows, room)
+        for mine, exact in zip((*counts, found), (*want, log)):
+            assert mine == pytest.approx(exact)
+
+
+def test_a_long_text_is_trained_in_portions(monkeypatch):
+    sizes, whole = [], hmm.expected_counts
+
+    def counted(model, windows, *room):
+        sizes.append(sum(len(w[0]) for w in windows))
+        return whole(model, windows, *room)
+
+    monkeypatch.setattr(hmm, "expected_counts", counted)
+    monkeypatch.setattr(hmm, "TOKENS", 4096)
+    text = np.arange(20_000, dtype=np.uint16) % 5
+    (out,) = hmm._expect(small_model())(iter([hmm.pa.RecordBatch.from_arrays([hmm.pa.array([text.tobytes()], hmm.pa.binary())], names=["classes"])]))
+    assert sum(sizes) == 20_000 and max(sizes) <= 1024 + hmm.WINDOW
+    assert sum(out.column(f"s{k}")[r].as_py() for k in range(3) for r in range(5)) == pytest.approx(20_000)
