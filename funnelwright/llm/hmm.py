@@ -275,7 +275,7 @@ def _expect(model: Model):
                 for window in windows_of(classes):
                     held.append(window)
                     size += len(window[0])
-                    if size >= TOKENS // 4:
+                    if size >= TOKENS // 8:
                         add()
                         size = 0
         if held:
