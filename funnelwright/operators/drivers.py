@@ -84,27 +84,30 @@ def driver_package(
     return segments.groupBy(*by).agg(*arrays).select(*by, F.struct(*PACKAGE_KEYS).alias(name))
 
 
-def segment_changes(counts: DataFrame, pairs: DataFrame, top: int = TOP_SEGMENTS) -> DataFrame:
+def segment_changes(counts: DataFrame, pairs: DataFrame, top: int = TOP_SEGMENTS, totals: DataFrame | None = None) -> DataFrame:
     """Segments whose rows a day changed most from a baseline window to the current one, per pair and dimension.
 
-    ``counts``: window_id, dimension, segment_value, cnt. ``pairs``: pair_id, role (current, baseline),
-    window_id and its number of ``days``. A segment missing in one window has 0 there. The change is
+    ``counts``: window_id, dimension, segment_value, cnt; a segment of a window can come in parts. ``pairs``:
+    pair_id, role (current, baseline), window_id and its number of ``days``. ``totals``: window_id, dimension, cnt
+    of all segments together, where that is known already. A segment missing in one window has 0 there. The change is
     split into two parts that add up to it: ``size_effect`` is what the segment would have changed at
     its old share of all rows, ``mix_effect`` what comes from the change of its share.
+
+    Counts that lie together by dimension and segment stay where they are: the change does not depend on the
+    totals, so only the segments shown leave their task.
     """
-    met = counts.join(pairs, "window_id")
 
     def rows_a_day(role: str) -> Column:
         return F.sum(F.when(F.col("role") == role, F.col("cnt")).otherwise(0)) / F.max(F.when(F.col("role") == role, F.col("days")))
 
-    def both(*by: str, suffix: str = "") -> DataFrame:
+    def both(rows: DataFrame, *by: str, suffix: str = "") -> DataFrame:
         sums = [F.coalesce(rows_a_day(r), F.lit(0.0)).alias(r + suffix) for r in ("current", "baseline")]
-        return met.groupBy("pair_id", "dimension", *by).agg(*sums)
+        return rows.join(pairs, "window_id").groupBy("pair_id", "dimension", *by).agg(*sums)
 
-    share = F.coalesce(F.try_divide("baseline", "baseline_all"), F.lit(0.0))
-    compared = both("segment_value").join(both(suffix="_all"), ["pair_id", "dimension"]).withColumns(
-        {"change": F.col("current") - F.col("baseline"), "size_effect": share * (F.col("current_all") - F.col("baseline_all"))}
-    )
-    compared = compared.withColumn("mix_effect", F.col("change") - F.col("size_effect"))
+    compared = both(counts, "segment_value").withColumn("change", F.col("current") - F.col("baseline"))
     window = Window.partitionBy("pair_id", "dimension").orderBy(F.desc(F.abs("change")), F.asc_nulls_first("segment_value"))
-    return compared.withColumn("segment_rank", F.row_number().over(window)).where(F.col("segment_rank") <= top)
+    most = compared.withColumn("segment_rank", F.row_number().over(window)).where(F.col("segment_rank") <= top)
+    share = F.coalesce(F.try_divide("baseline", "baseline_all"), F.lit(0.0))
+    split = most.join(both(counts if totals is None else totals, suffix="_all"), ["pair_id", "dimension"])
+    split = split.withColumn("size_effect", share * (F.col("current_all") - F.col("baseline_all")))
+    return split.withColumn("mix_effect", F.col("change") - F.col("size_effect"))

@@ -5,6 +5,8 @@ Every table is keyed by ``alert_id``; one job covers any number of alerts.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +45,7 @@ OBSERVED = [
     "denominator_baseline",
 ]
 _STAGE_TYPE = "array<struct<stage:string,current_count:double,baseline_count:double,pct_change:double,flagged:boolean>>"
+CHECKS_TYPE = "array<struct<name:string,status:string,details:string>>"
 
 
 def alert_summary(alert_type: Column, metric: Column, baseline: Column) -> Column:
@@ -239,7 +242,14 @@ def rca_package(
         else:
             df = df.join(table.select("alert_id", column), "alert_id", "left")
             df = df.withColumn(column, F.coalesce(F.col(column), default))
+    return packaged(df)
+
 
+def packaged(df: DataFrame, more: Sequence[str] = ()) -> DataFrame:
+    """The findings of resolved alerts whose observed values, stages, drivers and checks stand beside them.
+
+    ``more`` names columns that stay as they are, after the findings.
+    """
     meta = F.col("metadata")
     df = df.withColumns(
         {
@@ -291,6 +301,7 @@ def rca_package(
         "data_quality_checks",
         "hypotheses",
         summary.alias("analyst_summary"),
+        *more,
     )
 
 

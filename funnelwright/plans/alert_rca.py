@@ -23,7 +23,17 @@ from funnelwright.operators.drivers import (
 )
 from funnelwright.operators.funnel import FunnelRules, FunnelTables, counts_from_cells, funnel_cells
 from funnelwright.operators.quality import Profiled, daily_profile, window_checks
-from funnelwright.operators.rca import OBSERVED, rca_package
+from funnelwright.operators.rca import (
+    CHECKS_TYPE,
+    OBSERVED,
+    check_records,
+    default_checks,
+    empty_diagnostics,
+    empty_drivers,
+    packaged,
+    rca_package,
+    stage_diagnostics,
+)
 from funnelwright.operators.sampling import join_labels
 from funnelwright.sources.batch import run_statements
 from funnelwright.sources.tables import cut_lineage
@@ -58,6 +68,8 @@ MOST_RANGES = 64
 CHANGES_SHOWN = 5
 #: Candidates shown of an ambiguous reference.
 SHOWN = 10
+#: Rows of segments and windows that a task sums, about.
+ROWS_A_PART = 1_000_000
 
 
 def parsed_requests(alerts: DataFrame, today: str | None = None) -> DataFrame:
@@ -104,6 +116,12 @@ def alert_windows(alerts: DataFrame) -> DataFrame:
     return long.withColumn("window_id", F.concat_ws("_", "start_date", "end_date"))
 
 
+def _window_id(role: str) -> Column:
+    """The id that ``alert_windows`` gives the current or the baseline window."""
+    before = "baseline_" if role == "baseline" else ""
+    return F.concat_ws("_", f"{before}start_date", f"{before}end_date").alias(role)
+
+
 def _days_scanned(windows: DataFrame, date: str = "trans_dt") -> DataFrame:
     return days_of(windows, "start_date", "end_date", ["window_id", "end_date"], date)
 
@@ -159,18 +177,24 @@ def window_stage_counts(
     )
 
 
-def window_segments(tables: RcaTables, windows: DataFrame) -> DataFrame:
-    """Rows and amount of every segment per window. Segments are counted per day once, then summed per window."""
-    daily = segment_counts(tables.driver_rows, tables.dimensions, tables.amount, ["trans_dt"])
-    in_window = daily.join(_days_scanned(windows), "trans_dt")
-    return in_window.groupBy("window_id", "dimension", "segment_value").agg(
-        F.sum("cnt").alias("cnt"), F.sum("total_amt").alias("total_amt")
-    )
+def window_segments(daily: DataFrame, days: DataFrame) -> DataFrame:
+    """Rows and amount of every segment on every day of every window: window_id, dimension, segment_value, cnt, total_amt.
+
+    ``daily``: segments counted per day. ``days``: window_id, trans_dt. A day lies in dozens of windows, so the rows
+    are many times those of ``daily``. They are made where all days of a segment lie together, and summing them by window
+    and segment needs no shuffle of them. The number of parts follows from that of the rows.
+    """
+    calendar = days.agg(F.count(F.lit(1)), F.count_distinct("trans_dt")).first()
+    parts = 1 + int(daily.count() * calendar[0] / max(calendar[1], 1) / ROWS_A_PART)
+    return daily.repartition(parts, "dimension", "segment_value").join(days, "trans_dt").drop("trans_dt")
 
 
-def window_drivers(tables: RcaTables, windows: DataFrame) -> DataFrame:
+def window_drivers(segments: DataFrame) -> DataFrame:
     """Driver package per window."""
-    return driver_package(top_per_dimension(window_segments(tables, windows), ["window_id"]), ["window_id"])
+    counts = segments.groupBy("window_id", "dimension", "segment_value").agg(
+        F.sum("cnt").alias("cnt"), F.sum("total_amt").alias("total_amt")
+    )
+    return driver_package(top_per_dimension(counts, ["window_id"]), ["window_id"])
 
 
 def window_pairs(alerts: DataFrame) -> DataFrame:
@@ -182,32 +206,59 @@ def _pair_id() -> Column:
     return F.concat_ws("_", *WINDOW_FIELDS).alias("pair_id")
 
 
-def alert_drivers(tables: RcaTables, alerts: DataFrame, windows: DataFrame) -> DataFrame:
-    """alert_id, top_drivers and baseline_drivers (packages of the two windows), driver_changes.
+def pair_sides(pairs: DataFrame) -> DataFrame:
+    """pair_id, role (current, baseline), window_id and its number of days."""
+    sides = alert_windows(pairs.withColumnRenamed("pair_id", "alert_id")).withColumnRenamed("alert_id", "pair_id")
+    return sides.select("pair_id", "role", "window_id", (F.datediff("end_date", "start_date") + 1).alias("days"))
 
-    The segments of all windows are counted once and written; the packages and the comparison, made
-    per window and per pair of windows, start from there.
+
+def found_drivers(tables: RcaTables, pairs: DataFrame, windows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Packages per window (window_id, top_drivers) and changes per pair of windows (pair_id, driver_changes).
+
+    The segments of all days are counted once and written. Windows and pairs go by numbers until the few segments
+    shown are left.
     """
-    counts = cut_lineage(window_segments(tables, windows))
-    packages = cut_lineage(driver_package(top_per_dimension(counts, ["window_id"]), ["window_id"]))
+    daily = cut_lineage(segment_counts(tables.driver_rows, tables.dimensions, tables.amount, ["trans_dt"]))
+    numbered = cut_lineage(windows.withColumn("window_no", F.monotonically_increasing_id()))
+    pair_numbers = pairs.select("pair_id").withColumn("pair_no", F.monotonically_increasing_id())
+    window_numbers = numbered.select("window_id", "window_no")
+    sides = cut_lineage(pair_sides(pairs).join(window_numbers, "window_id").join(pair_numbers, "pair_id"))
+    days = cut_lineage(days_of(numbered, "start_date", "end_date", [F.col("window_no").alias("window_id")]))
+    segments = window_segments(daily, days)
+    ids = numbered.select(F.col("window_no").alias("window_id"), F.col("window_id").alias("id"))
+    packages = cut_lineage(window_drivers(segments).join(ids, "window_id").select(F.col("id").alias("window_id"), "top_drivers"))
+
+    totals = daily.groupBy("trans_dt", "dimension").agg(F.sum("cnt").alias("cnt")).join(days, "trans_dt")
+    by_number = sides.select(F.col("pair_no").alias("pair_id"), "role", F.col("window_no").alias("window_id"), "days")
+    most = segment_changes(segments.drop("total_amt"), by_number, CHANGES_SHOWN, totals.drop("trans_dt"))
+    changed = driver_package(most, ["pair_id"], CHANGE_FIELDS, "driver_changes")
+    ids = sides.select(F.col("pair_no"), "pair_id").distinct()
+    changed = changed.withColumnRenamed("pair_id", "pair_no").join(ids, "pair_no").select("pair_id", "driver_changes")
+    return packages, cut_lineage(changed)
+
+
+def alert_drivers(alerts: DataFrame, packages: DataFrame, changed: DataFrame) -> DataFrame:
+    """alert_id, top_drivers and baseline_drivers (packages of the two windows), driver_changes."""
     long = alert_windows(alerts)
     roles = [
         long.where(F.col("role") == role).join(packages, "window_id").select("alert_id", F.col("top_drivers").alias(name))
         for role, name in (("current", "top_drivers"), ("baseline", "baseline_drivers"))
     ]
-    pairs = window_pairs(alerts)
-    sides = alert_windows(pairs.withColumnRenamed("pair_id", "alert_id")).withColumnRenamed("alert_id", "pair_id")
-    sides = sides.select("pair_id", "role", "window_id", (F.datediff("end_date", "start_date") + 1).alias("days"))
-    changed = driver_package(segment_changes(counts, sides, CHANGES_SHOWN), ["pair_id"], CHANGE_FIELDS, "driver_changes")
     of_alert = alerts.select("alert_id", _pair_id()).join(changed, "pair_id").drop("pair_id")
     return of_alert.join(roles[0], "alert_id", "left").join(roles[1], "alert_id", "left")
 
 
-def alert_checks(tables: RcaTables, alerts: DataFrame, days: Column) -> DataFrame:
-    """Computed checks per alert: alert_id, position, name, status, details."""
-    profile = cut_lineage(daily_profile(tables.profiled, days))
-    checks = window_checks(profile, window_pairs(alerts), list(tables.profiled))
-    return alerts.select("alert_id", _pair_id()).join(checks, "pair_id").drop("pair_id")
+def stages_of(sides: DataFrame, counts: DataFrame, by: str) -> DataFrame:
+    """(by, stage, current, baseline): rows a day of every stage in both windows."""
+    return (
+        sides.select(by, "role", "window_id")
+        .join(counts, "window_id")
+        .groupBy(by, "stage")
+        .agg(
+            F.max(F.when(F.col("role") == "current", F.col("rows_per_day"))).alias("current"),
+            F.max(F.when(F.col("role") == "baseline", F.col("rows_per_day"))).alias("baseline"),
+        )
+    )
 
 
 def window_metrics(tables: RcaTables, windows: DataFrame) -> DataFrame:
@@ -272,6 +323,103 @@ def stated_statements(alerts: DataFrame) -> DataFrame:
     return listed.withColumn("sql", F.trim("sql")).where("sql <> ''")
 
 
+def _measured_by_pair(pairs: DataFrame, measured: DataFrame) -> DataFrame:
+    """pair_id, measured: a map from the metric to its average and its sum a day, in both windows."""
+    values = F.struct(F.col("value_avg").alias("average"), (F.col("value_sum") / F.col("days")).alias("a_day"))
+    sides = [F.max(F.when(F.col("role") == role, values)).alias(role) for role in ("current", "baseline")]
+    both = pair_sides(pairs).join(measured, "window_id").groupBy("pair_id", "metric").agg(*sides)
+    entry = F.struct("metric", F.struct("current", "baseline").alias("sides"))
+    return both.groupBy("pair_id").agg(F.map_from_entries(F.collect_list(entry)).alias("measured"))
+
+
+def _observed(measured: Column) -> dict[str, Column]:
+    """The six observed values of an alert, as ``observed_metrics`` gives them, from the map of its pair of windows."""
+    fields = {"variable_id": "average", "numerator_hint": "a_day", "denominator_hint": "a_day"}
+    values = [
+        F.try_element_at(measured, normalize_token(F.col("metadata")[name]))[role][value]
+        for name, value in fields.items()
+        for role in ("current", "baseline")
+    ]
+    return dict(zip(OBSERVED, values))
+
+
+def _of_key(table: DataFrame, key: str) -> DataFrame:
+    """Rows by another key than the alert's, for the functions that go by alert_id."""
+    return table.withColumnRenamed(key, "alert_id")
+
+
+def packages_by_pair(
+    alerts: DataFrame,
+    pairs: DataFrame,
+    stages: DataFrame | None,
+    drivers: tuple[DataFrame, DataFrame] | None,
+    measured: DataFrame | None,
+    computed: DataFrame | None,
+    supplied: DataFrame | None,
+) -> DataFrame:
+    """The package of every alert, for alerts that each have an id of their own.
+
+    All findings except the alert's metadata and supplied checks belong to its pair of windows, and many alerts share
+    one. They are put together once per pair; the alerts' own columns are all that is shuffled for each of them.
+    """
+    parts = pairs.select("pair_id", _window_id("current"), _window_id("baseline"))
+    if stages is not None:
+        listed = stage_diagnostics(_of_key(stages_of(pair_sides(pairs), stages, "pair_id"), "pair_id"))
+        parts = parts.join(listed.withColumnRenamed("alert_id", "pair_id"), "pair_id", "left")
+    if drivers is not None:
+        packages, changed = drivers
+        parts = parts.join(changed, "pair_id", "left")
+        for role, name in (("current", "top_drivers"), ("baseline", "baseline_drivers")):
+            parts = parts.join(packages.select(F.col("window_id").alias(role), F.col("top_drivers").alias(name)), role, "left")
+    if measured is not None:
+        parts = parts.join(_measured_by_pair(pairs, measured), "pair_id", "left")
+    if computed is not None:
+        records = check_records(_of_key(computed, "pair_id")).withColumnRenamed("alert_id", "pair_id")
+        parts = parts.join(records.withColumnRenamed("data_quality_checks", "computed_checks"), "pair_id", "left")
+    parts = cut_lineage(parts.drop("current", "baseline"))
+
+    df = alerts
+    if supplied is not None:
+        records = check_records(supplied).withColumnRenamed("data_quality_checks", "supplied_checks")
+        df = df.join(records, "alert_id", "left")
+    df = df.withColumn("pair_id", _pair_id()).join(parts, "pair_id", "left")
+    checks = [F.col(c) for c in ("computed_checks", "supplied_checks") if c in df.columns]
+    both = F.concat(*[F.coalesce(c, F.array().cast(CHECKS_TYPE)) for c in checks]) if len(checks) == 2 else None
+    stages_or_none = [] if stages is None else [F.col("stage_diagnostics")]
+    drivers_or_none = [] if drivers is None else [F.col("top_drivers")]
+    df = df.withColumns(
+        {
+            **(dict.fromkeys(OBSERVED, F.lit(None).cast("double")) if measured is None else _observed(F.col("measured"))),
+            "stage_diagnostics": F.coalesce(*stages_or_none, empty_diagnostics()),
+            "top_drivers": F.coalesce(*drivers_or_none, empty_drivers()),
+            "data_quality_checks": F.coalesce(*(checks if both is None else [F.when(F.size(both) > 0, both)]), default_checks()),
+        }
+    )
+    # What stands beside the package is taken along under a key of its own.
+    return packaged(df, [] if drivers is None else ["baseline_drivers", "driver_changes"])
+
+
+def packages_by_alert(
+    alerts: DataFrame,
+    stages: DataFrame | None,
+    drivers: tuple[DataFrame, DataFrame] | None,
+    measured: DataFrame | None,
+    computed: DataFrame | None,
+    supplied: DataFrame | None,
+) -> DataFrame:
+    """The package of every alert, put together by alert_id: rows of one id share their findings."""
+    per_alert = alert_windows(alerts)
+    own_stages = None if stages is None else stages_of(per_alert, stages, "alert_id")
+    own_drivers = None if drivers is None else cut_lineage(alert_drivers(alerts, *drivers))
+    metrics = None if measured is None else observed_metrics(alerts, per_alert, measured)
+    checks = supplied
+    if computed is not None:
+        own = alerts.select("alert_id", _pair_id()).join(computed, "pair_id").drop("pair_id")
+        checks = own if supplied is None else own.unionByName(supplied, allowMissingColumns=True)
+    package = rca_package(alerts, metrics, own_stages, own_drivers, checks)
+    return package if own_drivers is None else package.join(own_drivers.drop("top_drivers"), "alert_id", "left")
+
+
 def analyze_alerts(alerts: DataFrame, metadata: DataFrame, tables: RcaTables, today: str | None = None) -> DataFrame:
     """One row per alert: status, candidates and, if resolved, the package of findings.
 
@@ -282,47 +430,45 @@ def analyze_alerts(alerts: DataFrame, metadata: DataFrame, tables: RcaTables, to
     Each fact table is scanned once for all alerts together: counts are kept per day and
     summed over the windows of the alerts afterwards. Baselines are per-day averages, so a
     3-day window compares with a 28-day one. The resolved alerts are written once to the
-    shared folder, because every branch starts from them.
+    shared folder, because every branch starts from them. Findings are made per window and pair of windows;
+    each alert meets those of its pair. Alerts that share an id share their findings, by joins on the id.
     """
     known = cut_lineage(resolved_alerts(alerts, metadata, today))
     good = known.where(F.col("status") == "success")
-    per_alert = alert_windows(good)
-    windows = per_alert.select("window_id", "start_date", "end_date").distinct()
+    pairs = cut_lineage(window_pairs(good))
+    windows = cut_lineage(alert_windows(_of_key(pairs, "pair_id")).select("window_id", "start_date", "end_date").distinct())
 
     days = days_covered(windows)
-    stages = drivers = metrics = None
+    stages = drivers = measured = computed = None
     if tables.funnel is not None:
-        counts = window_stage_counts(tables.funnel, tables.rules, windows, days)
-        stages = (
-            per_alert.select("alert_id", "role", "window_id")
-            .join(counts, "window_id")
-            .groupBy("alert_id", "stage")
-            .agg(
-                F.max(F.when(F.col("role") == "current", F.col("rows_per_day"))).alias("current"),
-                F.max(F.when(F.col("role") == "baseline", F.col("rows_per_day"))).alias("baseline"),
-            )
-        )
+        stages = cut_lineage(window_stage_counts(tables.funnel, tables.rules, windows, days))
     if tables.driver_rows is not None:
-        scanned = replace(tables, driver_rows=tables.driver_rows.where(days))
-        drivers = cut_lineage(alert_drivers(scanned, good, windows))
+        drivers = found_drivers(replace(tables, driver_rows=tables.driver_rows.where(days)), pairs, windows)
     if tables.metric_rows is not None:
-        scanned = replace(tables, metric_rows=tables.metric_rows.where(days))
-        metrics = observed_metrics(good, per_alert, window_metrics(scanned, windows))
-
-    checks = tables.checks
+        measured = cut_lineage(window_metrics(replace(tables, metric_rows=tables.metric_rows.where(days)), windows))
+    supplied = tables.checks
     if tables.profiled:
-        computed = alert_checks(tables, good, days)
+        profile = cut_lineage(daily_profile(tables.profiled, days))
+        computed = cut_lineage(window_checks(profile, pairs, list(tables.profiled)))
         # Supplied checks come after the computed ones.
-        checks = computed if checks is None else computed.unionByName(checks.withColumn("position", F.lit(99)), allowMissingColumns=True)
-
-    package = rca_package(good, metrics, stages, drivers, checks)
-    if drivers is not None:
-        package = package.join(drivers.drop("top_drivers"), "alert_id", "left")
+        supplied = None if supplied is None else supplied.withColumn("position", F.lit(99))
+
+    found = (stages, drivers, measured, computed, supplied)
+    repeated = cut_lineage(known.groupBy("alert_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("alert_id"))
+    single = known.join(repeated, "alert_id", "left_anti")
+    of_pair = single.where((F.col("status") == "success") & F.col("alert_id").isNotNull())
+    package = packages_by_pair(of_pair, pairs, *found)
+    result = package.withColumns({"status": F.lit("success"), "candidates": F.lit(None).cast(known.schema["candidates"].dataType)})
+    result = result.select("alert_id", "status", "candidates", *[c for c in package.columns if c != "alert_id"])
     heads = known.select("alert_id", "status", F.when(F.col("status") != "success", F.col("candidates")).alias("candidates"))
-    found = heads.join(package, "alert_id", "left")
+    bare = heads.join(repeated, "alert_id", "left_anti").where((F.col("status") != "success") | F.col("alert_id").isNull())
+    result = result.unionByName(bare, allowMissingColumns=True)
+    if not repeated.isEmpty():
+        shared = packages_by_alert(good.join(repeated, "alert_id", "left_semi"), *found)
+        result = result.unionByName(heads.join(repeated, "alert_id", "left_semi").join(shared, "alert_id", "left"))
     if not {"query", "queries"} & set(alerts.columns):
-        return found
+        return result
     results, _ = run_statements(stated_statements(alerts))
     item = F.struct("position", "name", "status", "row_count", "error")
     listed = results.groupBy("alert_id").agg(F.array_sort(F.collect_list(item)).alias("query_results"))
-    return found.join(listed, "alert_id", "left")
+    return result.join(listed, "alert_id", "left")

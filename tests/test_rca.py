@@ -303,3 +303,62 @@ def test_alerts_are_dealt_out_before_they_are_parsed(spark):
     parsed = alert_rca.parsed_requests(alerts, "2024-01-10")
     assert "REPARTITION_BY_COL" in plan(parsed)
     assert parsed.count() == 100
+
+
+def of_days(spark):
+    """Rows of an authorization table over thirty days of March 2031, with labels and flags for its drivers."""
+    auth = spark.createDataFrame(
+        [(i, i % 3, i % 3, "0", dt.date(2031, 3, 1 + i % 30), 10.0, "false", "1", "food" if i % 30 < 27 else "fuel", "DE") for i in range(90)],
+        "cas_pkey int, cm15 int, cm13 int, appr_deny_cd string, trans_dt date, amount double, cancl_plastic_cd string, arm_proc_ind string, cm11 string, country_cd string",
+    )
+    labels = auth.where("cas_pkey % 2 = 0").select("cas_pkey", "trans_dt", F.lit(1).alias("lift_frd_in"), F.lit("m1").alias("modl_id"), F.lit("p1").alias("lift_path_ds"))
+    flags = auth.select("cas_pkey", "trans_dt", F.lit("0").alias("zero_value_auth_ind"))
+    rows, dimensions = driver_inputs(FunnelTables(auth, labels, flags, auth, auth, auth))
+    return {
+        "driver_rows": rows, "dimensions": dimensions, "amount": F.col("amount"), "profiled": {"auth": Profiled(auth, ["cas_pkey"])},
+        "metric_rows": auth, "metrics": {"ZTQ204": F.col("amount"), "late_refunds": F.col("amount") * 2},
+    }
+
+
+def test_findings_are_put_together_per_pair_of_windows(spark):
+    tables = of_days(spark)
+    asked = [(1, "ZTQ204 dropped on 2031-03-30"), (2, "ZTQ204 dropped on 2031-03-30"), (3, "ZTQ204 dropped on 2031-03-28"), (4, "no idea"), (None, "ZTQ204 dropped on 2031-03-28")]
+    frame = spark.createDataFrame(asked, "alert_id int, user_query string")
+    supplied = spark.createDataFrame([(2, "late_files", "warn", "2 files"), (2, "early_files", None, None)], CHECKS)
+    found = analyze_alerts(frame, sheet(spark), RcaTables(**tables, checks=supplied), "2031-04-01")
+    got = {r.alert_id: r for r in found.collect()}
+    # The way by alert_id gives the same for every alert; a spare row of one id makes it take that way.
+    twice = spark.createDataFrame([*asked, *asked], "alert_id int, user_query string")
+    shared = {r.alert_id: r for r in analyze_alerts(twice, sheet(spark), RcaTables(**tables), "2031-04-01").collect()}
+    for i in (1, 3):
+        alone, other = got[i].asDict(True), shared[i].asDict(True)
+        assert [c["name"] for c in alone.pop("data_quality_checks")] == [c["name"] for c in other.pop("data_quality_checks")][::2]
+        assert alone == other and alone["top_drivers"]["mcc"] and alone["alert_summary"]["metric_value"] == 10.0
+    assert [c.name for c in got[2].data_quality_checks] == ["missing_key_fields", "row_count_gap", "ingestion_lag", "early_files", "late_files"]
+    assert (got[4].status, got[4].input_context) == ("not_found", None)
+    assert (got[None].status, got[None].input_context, got[None].driver_changes) == ("success", None, None)
+    # No package is carried by alert: alerts meet the findings of their pair, and by id only the ids that repeat.
+    joins = [line for line in plan(analyze_alerts(frame, sheet(spark), RcaTables(**tables), "2031-04-01")).splitlines() if "Join [" in line]
+    assert {("LeftAnti" if "alert_id" in line else "pair_id" in line) for line in joins} == {"LeftAnti", True}
+
+
+def test_alerts_of_one_id_share_their_findings(spark):
+    tables = RcaTables(profiled=of_days(spark)["profiled"])
+    asked = [(1, "ZTQ204 dropped on 2031-03-30"), (1, "ZTQ204 dropped on 2031-03-28"), (2, "ZTQ204 dropped on 2031-03-30")]
+    found = analyze_alerts(spark.createDataFrame(asked, "alert_id int, user_query string"), sheet(spark), tables, "2031-04-01")
+    got = found.select("alert_id", F.size("data_quality_checks").alias("checks"), "analysis_window.end_date").collect()
+    assert sorted((r.alert_id, r.checks, r.end_date.day) for r in got) == [(1, 6, 28), (1, 6, 28), (1, 6, 30), (1, 6, 30), (2, 3, 30)]
+
+
+def test_segments_are_summed_where_their_days_lie(spark):
+    day = lambda d: dt.date(2031, 3, d)
+    rows = [(day(d), "mcc", s, d, float(d)) for d in range(1, 21) for s in ("a", "b", None)]
+    daily = spark.createDataFrame(rows, "trans_dt date, dimension string, segment_value string, cnt long, total_amt double")
+    days = spark.createDataFrame([(w, day(d)) for w in range(1, 19) for d in range(w, w + 3)], "window_id long, trans_dt date").localCheckpoint()
+    segments = alert_rca.window_segments(daily, F.broadcast(days))
+    counts = segments.groupBy("window_id", "dimension", "segment_value").agg(F.sum("cnt").alias("cnt"))
+    text = plan(counts)
+    assert text.count("Exchange hashpartitioning") == 1 and "hashpartitioning(dimension" in text
+    assert {(r.window_id, r.segment_value): r.cnt for r in counts.collect()} == {(w, s): 3 * w + 3 for w in range(1, 19) for s in ("a", "b", None)}
+    packages = {r.window_id: r.top_drivers for r in alert_rca.window_drivers(segments).collect()}
+    assert [(s.segment_rank, s.segment_value, s.cnt, s.total_amt) for s in packages[4].mcc] == [(1, None, 15, 15.0), (2, "a", 15, 15.0), (3, "b", 15, 15.0)]
