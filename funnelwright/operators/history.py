@@ -20,6 +20,10 @@ LOOKBACK_DAYS = 30
 BLOCK_ROWS = 4096
 # Unit of time within which an entity's rows are numbered by one task.
 TIME_BUCKET = "minute"
+# Pairs that a task takes at most, about, where they are carried along with their features.
+PAIRS_A_PART = 250_000
+# From here on the planner's size is a guess.
+UNKNOWN_SIZE = 1 << 44
 
 
 def initial_sample(
@@ -90,6 +94,7 @@ def history_map(
     lookback_days: int | None = LOOKBACK_DAYS,
     block_rows: int = BLOCK_ROWS,
     bucket: str = TIME_BUCKET,
+    carried: DataFrame | None = None,
 ) -> DataFrame:
     """(current, historical) pairs: each sampled transaction with the latest rows of its entity.
 
@@ -102,9 +107,15 @@ def history_map(
 
     ``max_history=None`` keeps all earlier rows and ``lookback_days=None`` any age; without a
     bound on the history the pairs come from a join of the entity's rows, as many as the result has.
+
+    ``carried`` has columns by ``key`` that each historical row brings along, as by a join on its key; a row with none
+    there is in no pair. They meet the transactions, not the pairs, which are many times as many, and the result is
+    one row per current row: its pairs are the array ``pairs`` (see ``join_history``). It needs ``max_history``.
     """
     if max_history is not None and not 1 <= max_history <= block_rows:
         raise ValueError("max_history must be between 1 and block_rows")
+    if max_history is None and carried is not None:
+        raise ValueError("carried columns need max_history")
     keys = sample.select(key).distinct().withColumn("sampled", F.lit(True))
     slim = transactions.select(key, entity, time, date).where(F.col(entity).isNotNull())
     if entity in sample.columns:
@@ -120,20 +131,56 @@ def history_map(
         now = numbered.where("sampled").select(entity, key, "seq", date)
         return _named_pairs(now.join(past, entity).where((F.col("seq_hist") <= F.col("seq")) & recent), key, date)
 
+    brought = []
+    if carried is not None:
+        columns = [c for c in carried.columns if c != key]
+        own = carried.groupBy(key).agg(F.collect_list(F.struct(*columns)).alias("brought"))
+        numbered = numbered.join(own, key, "left")
+        brought = [F.col("brought")]
+
     block = F.floor((F.col("seq") - 1) / block_rows)
     position = (F.col("seq") - 1) % block_rows
-    carried = position >= block_rows - (max_history - 1)
-    copies = F.when(carried, F.array(block, block + 1)).otherwise(F.array(block))
+    copied = position >= block_rows - (max_history - 1)
+    copies = F.when(copied, F.array(block, block + 1)).otherwise(F.array(block))
     blocks = numbered.withColumn("own_block", block).withColumn("block", F.explode(copies))
 
     window = Window.partitionBy(entity, "block").orderBy("seq").rowsBetween(1 - max_history, 0)
     item = F.struct(
-        F.col(key).alias("key_hist"), F.col("seq").alias("seq_hist"), F.col(date).alias("date_hist")
+        F.col(key).alias("key_hist"), F.col("seq").alias("seq_hist"), F.col(date).alias("date_hist"), *brought
     )
     current = blocks.withColumn("items", F.collect_list(item).over(window)).where(
         F.col("sampled") & (F.col("block") == F.col("own_block"))
     )
-    return _named_pairs(current.select(key, "seq", date, F.inline("items")).where(recent), key, date)
+    if carried is None:
+        return _named_pairs(current.select(key, "seq", date, F.inline("items")).where(recent), key, date)
+    if lookback_days is not None:
+        oldest = F.date_sub(F.col(date), lookback_days)
+        current = current.withColumn("items", F.filter("items", lambda i: i["date_hist"] >= oldest))
+
+    def pairs_with(item: Column) -> Column:
+        names = [item["key_hist"].alias(f"{key}_hist"), item["seq_hist"].cast("int").alias("seq_hist")]
+        rows = F.transform(item["brought"], lambda b: F.struct(*names, *[b[c].alias(c) for c in columns]))
+        return F.coalesce(rows, F.array())
+
+    fields = [f"{key}_hist", "seq_hist", *columns]
+    listed = current.select(key, F.col("seq").cast("int").alias("seq"), date, F.flatten(F.transform("items", pairs_with)).alias("pairs"))
+    # Shuffled as an array for each field, with the distance in place of the number: both compress better.
+    apart = listed.select(key, "seq", date, *[F.col("pairs")[c].alias(c) for c in fields])
+    apart = apart.withColumn("seq_hist", F.transform("seq_hist", lambda s: F.col("seq") - s))
+    parts = _parts_for(transactions, max_history)
+    dealt = apart.repartition(parts, key) if parts else apart.repartition(key)
+    dealt = dealt.withColumn("seq_hist", F.transform("seq_hist", lambda s: F.col("seq") - s))
+    return dealt.select(key, "seq", date, F.arrays_zip(*fields).alias("pairs"))
+
+
+def _parts_for(transactions: DataFrame, max_history: int) -> int | None:
+    """In how many parts the pairs are dealt out, by the planner's size of the transactions; None where it has none.
+
+    Shuffled arrays are small beside the pairs that a task sorts of them, so their size says little.
+    """
+    size = int(str(transactions._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    rows = size // transactions._jdf.schema().defaultSize()
+    return 1 + rows * max_history // PAIRS_A_PART if size < UNKNOWN_SIZE else None
 
 
 def _named_pairs(pairs: DataFrame, key: str, date: str) -> DataFrame:

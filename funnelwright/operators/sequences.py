@@ -74,15 +74,22 @@ def standard_spec(**changes: object) -> SequenceSpec:
     return SequenceSpec(**{**values, **changes})
 
 
-def join_history(mapping: DataFrame, features: DataFrame, sample: DataFrame, spec: SequenceSpec) -> DataFrame:
+def join_history(mapping: DataFrame, features: DataFrame | None, sample: DataFrame, spec: SequenceSpec) -> DataFrame:
     """History pairs with the features of the historical row and the label of the current one.
 
-    The sample goes first: it removes most pairs before the wide features are joined.
+    The sample goes first: it removes most pairs before the wide features are joined. Without ``features`` the
+    mapping has them, as ``history_map`` carries them along: then a current row meets its label with
+    its pairs still in one array, and they lie together by key from there on.
     """
     key, hist = spec.key, f"{spec.key}_hist"
-    pairs = mapping.select(key, hist, "seq", "seq_hist").join(sample.select(key, spec.label), key)
-    wide = features.select(F.col(key).alias(hist), *spec.columns)
-    joined = pairs.join(wide, hist)
+    labels = sample.select(key, spec.label)
+    if features is None:
+        pairs = mapping.select(key, "seq", "pairs").join(labels, key).select(key, "seq", spec.label, F.inline("pairs"))
+        joined = pairs.select(hist, key, "seq", "seq_hist", spec.label, *spec.columns)
+    else:
+        pairs = mapping.select(key, hist, "seq", "seq_hist").join(labels, key)
+        wide = features.select(F.col(key).alias(hist), *spec.columns)
+        joined = pairs.join(wide, hist)
     return joined.fillna(0, spec.columns) if spec.align else joined
 
 

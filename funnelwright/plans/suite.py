@@ -157,15 +157,16 @@ def event_spec(**changes: object) -> SequenceSpec:
     return SequenceSpec(**{**values, **changes})
 
 
-def event_history(spark: SparkSession, sf: str, max_history: int = 25) -> DataFrame:
+def event_history(spark: SparkSession, sf: str, max_history: int = 25, carried: DataFrame | None = None) -> DataFrame:
     rows = transactions(spark, sf)
     return history_map(
-        rows, rows.select("cas_pkey"), "cm15", "trans_ts", max_history=max_history, lookback_days=20, block_rows=50
+        rows, rows.select("cas_pkey"), "cm15", "trans_ts", max_history=max_history, lookback_days=20, block_rows=50, carried=carried
     )
 
 
 def event_joined(spark: SparkSession, sf: str) -> DataFrame:
-    return join_history(event_history(spark, sf), event_features(spark, sf), event_labels(spark, sf), event_spec())
+    history = event_history(spark, sf, carried=event_features(spark, sf))
+    return join_history(history, None, event_labels(spark, sf), event_spec())
 
 
 def feature_catalog(spark: SparkSession, sf: str) -> DataFrame:

@@ -244,3 +244,41 @@ def test_positional_names_and_parameters(spark):
         PrepParams("2024-1-1", "2024-02-01")
     with pytest.raises(ValueError):
         PrepParams("2024-02-02", "2024-02-01")
+
+
+@pytest.mark.parametrize("align", [False, True])
+def test_carried_features_give_the_rows_of_a_join(spark, align):
+    spec = replace(SPEC, align=align)
+    _, df = history_rows(spark)
+    # A row that comes twice, one without a key, features twice, features that differ, features that are missing.
+    df = df.unionByName(df.where("cas_pkey = 7")).unionByName(df.where("cas_pkey = 9").withColumn("cas_pkey", F.lit(None).cast("long")))
+    known = df.where("cas_pkey % 5 <> 0").select("cas_pkey", *[F.nullif(F.col("cas_pkey") % (i + 3), F.lit(1)).cast("int").alias(c) for i, c in enumerate(spec.columns)])
+    more = known.where("cas_pkey in (7, 8)").unionByName(known.where("cas_pkey = 8").withColumn(spec.columns[0], F.lit(6)))
+    features = known.unionByName(more)
+    labels = df.select("cas_pkey", (F.col("cas_pkey") % 2).cast("int").alias("lift_frd_in"))
+    labels = labels.unionByName(labels.where("cas_pkey = 12").withColumn("lift_frd_in", F.lit(1)))
+    how = {"max_history": 6, "lookback_days": 9, "block_rows": 8}
+    mapping = history_map(df, labels.where("cas_pkey % 3 <> 1"), "cm15", "trans_ts", **how)
+    listed = history_map(df, labels.where("cas_pkey % 3 <> 1"), "cm15", "trans_ts", **how, carried=features)
+    want, got = join_history(mapping, features, labels, spec), join_history(listed, None, labels, spec)
+    assert got.columns == want.columns and [f.dataType for f in got.schema] == [f.dataType for f in want.schema]
+    rows = sorted(map(repr, want.collect()))
+    assert sorted(map(repr, got.collect())) == rows and len(set(rows)) < len(rows)
+    assert sorted(map(repr, sequence_lists(got, spec).collect())) == sorted(map(repr, sequence_lists(want, spec).collect()))
+    with pytest.raises(ValueError):
+        history_map(df, labels, "cm15", "trans_ts", max_history=None, carried=features)
+
+
+def test_carried_pairs_are_shuffled_once(spark, tmp_path):
+    _, df = history_rows(spark)
+    df.write.parquet(str(tmp_path / "rows"))
+    df = spark.read.parquet(str(tmp_path / "rows"))
+    features = df.select("cas_pkey", *[F.lit(1).alias(c) for c in SPEC.columns])
+    labels = df.select("cas_pkey", F.lit(0).alias("lift_frd_in"))
+    listed = history_map(df, labels, "cm15", "trans_ts", max_history=6, lookback_days=9, block_rows=8, carried=features)
+    lists = sequence_lists(join_history(listed, None, labels, SPEC), SPEC)
+    lines = plan(lists).splitlines()
+    unfolded = [i for i, line in enumerate(lines) if "Generate inline(pairs" in line]
+    dealt = [i for i, line in enumerate(lines) if "REPARTITION_BY_NUM" in line]
+    assert unfolded and dealt and not [line for line in lines[: unfolded[0]] if "Exchange" in line]
+    assert lists.count() == features.where("cas_pkey is not null").join(df.where("cm15 is not null"), "cas_pkey", "left_semi").count()
