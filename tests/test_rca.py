@@ -350,7 +350,8 @@ def test_alerts_of_one_id_share_their_findings(spark):
     assert sorted((r.alert_id, r.checks, r.end_date.day) for r in got) == [(1, 6, 28), (1, 6, 28), (1, 6, 30), (1, 6, 30), (2, 3, 30)]
 
 
-def test_segments_are_summed_where_their_days_lie(spark):
+def test_segments_are_summed_where_their_days_lie(spark, monkeypatch):
+    monkeypatch.setattr(alert_rca, "ROWS_A_PART", 20)
     day = lambda d: dt.date(2031, 3, d)
     rows = [(day(d), "mcc", s, d, float(d)) for d in range(1, 21) for s in ("a", "b", None)]
     daily = spark.createDataFrame(rows, "trans_dt date, dimension string, segment_value string, cnt long, total_amt double")
